@@ -1,0 +1,4 @@
+"""All queries of the reference operators."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
