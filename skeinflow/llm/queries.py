@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, licenses, simhash
+from . import ann, bpe, chat, licenses, lines, simhash, vector_dedup
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -28,9 +28,21 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(chat.hostile_turns(spark)))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op4_chat, op9_licenses)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op4_chat, op5_ann, op6_vector_dedup, op8_line_dedup, op9_licenses)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
