@@ -180,13 +180,14 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with column ``ids`` array<int> (an input column of that name gives way), for any further columns."""
     content, key = _spread(docs, path)
     kept = docs.drop("ids")
+    names = [*kept.columns, "ids"]
 
     def run(batches):
         vocabulary = _vocabulary(content.value, key)
         for batch in batches:
             found = [[int(i) for group in vocabulary.encode(t or "")[0] for i in group.split(" ")] for t in batch.column("_bpe_text").to_pylist()]
             kept_columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_bpe_text"]
-            yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(found, pa.list_(pa.int32()))], [*kept.columns, "ids"])
+            yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(found, pa.list_(pa.int32()))], names)
 
     return kept.withColumn("_bpe_text", F.col("text").cast("string")).mapInArrow(run, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, licenses, lines, simhash, vector_dedup
+from . import ann, bpe, chat, licenses, lines, mixing, quality, simhash, vector_dedup
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -23,6 +23,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digests(turns.unionByName(chat.hostile_turns(spark)))
@@ -44,5 +49,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op4_chat, op5_ann, op6_vector_dedup, op8_line_dedup, op9_licenses)}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("row_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_chat, op5_ann, op6_vector_dedup, op8_line_dedup, op9_licenses, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op10_mixing": mixing.ORACLE}
