@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, licenses, lines, mixing, quality, simhash, vector_dedup
+from . import ann, bpe, chat, licenses, lines, mixing, quality, simhash, toxicity, vector_dedup
 
 #: A parameter: the vocabulary file that the BPE queries read.
 VOCABULARY = os.environ.get("BPE_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,10 @@ def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_groups(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -55,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("row_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_chat, op5_ann, op6_vector_dedup, op8_line_dedup, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_chat, op5_ann, op6_vector_dedup, op7_toxicity, op8_line_dedup, op9_licenses, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op10_mixing": mixing.ORACLE}
