@@ -9,7 +9,7 @@ first.
 2. Lines that can't have a partner are left out by an exact filter. Let m be the shorter length of a pair within one edit and
    cut 0..m into s segments: the pair agrees in all that is left and right of one of them. So every line emits, for its own
    length and for one less, s hashes that leave one segment out, and a line whose hashes nobody shares has no partner. This
-   runs with s = 2 on hashes alone, and with s = 8 on the texts that are left.
+   runs with s = 2 on hashes alone, and with s = ``SEGMENTS`` on the texts that are left.
 3. The lines left emit their deletion neighbourhood: the hash of the whole line, and of each text with one character less
    with the position of that character. Lines that share hash and position differ by a replaced character; a line whose
    whole hash is another's variant differs by a deleted one. So a line meets only the earliest line of its (hash, position)
@@ -25,10 +25,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .filters import only_keys
 from .store import settle
 
 MAX_EDITS = 1
 MIN_NEAR_CHARS = 20
+SEGMENTS = 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -62,10 +64,11 @@ def _sharing(hashes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(first, line) of these places."""
-    named = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    at = firsts.select(F.col("first.d").alias("fd"), F.col("first.h").alias("fh")).distinct()
-    few = named.join(at, F.col("_h").eqNullSafe(F.col("fh")) & F.col("_d").eqNullSafe(F.col("fd")), "left_semi")
-    return _lines(few.dropDuplicates(["_d", "_h"])).join(firsts, F.col("place") == F.col("first"), "left_semi").select(F.col("place").alias("first"), "line")
+    document = lambda d, h: F.struct(d.alias("d"), h.alias("h"))
+    named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    few = only_keys(named, firsts, document(F.col("doc_id"), F.xxhash64("text")), document(F.col("first.d"), F.col("first.h")))
+    lines = _lines(few.dropDuplicates(["doc_id", "text"]))
+    return lines.join(firsts.hint("merge"), F.col("place") == F.col("first"), "left_semi").select(F.col("place").alias("first"), "line")
 
 
 def _variants() -> Column:
@@ -93,7 +96,7 @@ def line_drops(docs: DataFrame) -> DataFrame:
     keys = settle(_first_places(docs, halves), "lines")
     suspects = settle(_sharing(keys.where("hashes is not null").select("first", "hashes")), "sharing")
     left = settle(_texts(docs, suspects), "suspects")
-    left = left.join(_sharing(left.select("first", _but_one(8).alias("hashes"))), "first", "left_semi")
+    left = settle(left.join(_sharing(left.select("first", _but_one(SEGMENTS).alias("hashes"))), "first", "left_semi"), "suspects")
     near = near_later(left).select(F.col("first").alias("near_first"))
     marked = keys.join(near, F.col("first") == F.col("near_first"), "left").where("many or near_first is not null")
     marked = marked.select("key", "first", F.col("near_first").isNotNull().alias("near"))
