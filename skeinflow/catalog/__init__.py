@@ -1,6 +1,6 @@
 """All queries of the reference operators: ``QUERIES`` by name, and ``ORACLE_SQL``, the same for DuckDB."""
 
 from .registry import ORACLE_SQL, QUERIES
-from . import scalars, windows  # noqa: F401
+from . import detect, scalars, sessions, windows  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

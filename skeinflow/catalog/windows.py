@@ -16,16 +16,16 @@ DST = f""", a AS (SELECT {D} AS window_us, dst_ip, src_ip, count(*) AS c, count(
    CASE WHEN ui > 0 THEN ui / (coalesce(uo, 0) + 1) ELSE 0 END AS amplification FROM b LEFT JOIN o ON o.window_us = b.window_us AND o.dst_ip = b.dst_ip)"""
 SRC = f""", src AS (SELECT {D} AS window_us, src_ip, count(*) AS n, count(DISTINCT dst_port) AS dst_ports, count(DISTINCT dst_ip) AS dst_ips, count(*) FILTER (WHERE syn) AS syn, count(*) FILTER (WHERE syn) / count(*) AS syn_ratio FROM fv GROUP BY ALL)"""
 PAIR = """, k AS (SELECT src_ip, dst_ip, ts_us, row_number() OVER w AS r, (ts_us - lead(ts_us) OVER w) / 1e6 AS gap FROM fv WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts_us DESC, event_id DESC)),
- k2 AS (SELECT * FROM (SELECT src_ip, dst_ip, r, CASE WHEN r < 64 AND gap > 0.05 THEN gap END AS gap FROM k WHERE r <= 64)),
- l AS (SELECT src_ip, dst_ip, count(*) AS samples, count(gap) AS ng, avg(gap) AS m, stddev_pop(gap) AS s FROM k2 GROUP BY ALL),
+ k2 AS (SELECT * FROM (SELECT src_ip, dst_ip, r, ts_us, CASE WHEN r < 64 AND gap > 0.05 THEN gap END AS gap FROM k WHERE r <= 64)),
+ l AS (SELECT src_ip, dst_ip, count(*) AS samples, max(ts_us) AS last_us, count(gap) AS ng, avg(gap) AS m, stddev_pop(gap) AS s FROM k2 GROUP BY ALL),
  g AS (SELECT k2.src_ip, k2.dst_ip, gap - m AS c, row_number() OVER (PARTITION BY k2.src_ip, k2.dst_ip ORDER BY r DESC) AS i FROM k2 JOIN l USING (src_ip, dst_ip) WHERE gap IS NOT NULL),
  ac AS (SELECT src_ip, dst_ip, max(v) AS peak FROM (SELECT a.src_ip, a.dst_ip, b.i - a.i AS lag, sum(a.c * b.c) AS v FROM g a JOIN g b ON a.src_ip = b.src_ip AND a.dst_ip = b.dst_ip AND b.i - a.i BETWEEN 1 AND 9 GROUP BY ALL) GROUP BY ALL),
- pair AS (SELECT l.src_ip, l.dst_ip, samples, CASE WHEN ok THEN m ELSE 0 END AS iat_mean, CASE WHEN ok THEN s ELSE 0 END AS iat_std, CASE WHEN ok THEN s / m END AS iat_cv,
+ pair AS (SELECT l.src_ip, l.dst_ip, samples, last_us, CASE WHEN ok THEN m ELSE 0 END AS iat_mean, CASE WHEN ok THEN s ELSE 0 END AS iat_std, CASE WHEN ok THEN s / m END AS iat_cv,
    CASE WHEN NOT ok OR ng < 4 THEN 0 WHEN s * s <= 1e-6 THEN 1 ELSE peak / (ng * s * s) END AS iat_autocorr FROM (SELECT *, samples >= 4 AND ng >= 3 AS ok FROM l) l LEFT JOIN ac ON ac.src_ip = l.src_ip AND ac.dst_ip = l.dst_ip)"""
 LABEL_ENTROPY = "(SELECT log2(sum(c)) - sum(c * log2(c)) / sum(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split({x}, '')) AS ch) GROUP BY ch))"
 DOMAIN = f""", e AS (SELECT label, greatest(0, log2(sum(c)) - sum(c * log2(c)) / sum(c)) AS h FROM (SELECT label, ch, count(*) AS c FROM (SELECT label, unnest(string_split(label, '')) AS ch FROM (SELECT DISTINCT split_part(dns_query, '.', 1) AS label FROM fv WHERE dns_query IS NOT NULL)) GROUP BY ALL) GROUP BY label),
- q AS (SELECT src_ip AS client, regexp_replace(dns_query, '^[^.]*\\.', '') AS domain, dns_query, dns_qtype, h, row_number() OVER (PARTITION BY src_ip, regexp_replace(dns_query, '^[^.]*\\.', '') ORDER BY ts_us DESC, event_id DESC) AS r FROM fv JOIN e ON e.label = split_part(dns_query, '.', 1)),
- dom AS (SELECT client, domain, count(*) AS queries, avg(length(dns_query)) FILTER (WHERE r <= 50) AS avg_length, max(h) FILTER (WHERE r <= 50) AS max_entropy, count(*) FILTER (WHERE dns_qtype = 'TXT') / count(*) AS txt_ratio FROM q GROUP BY ALL)"""
+ q AS (SELECT src_ip AS client, regexp_replace(dns_query, '^[^.]*\\.', '') AS domain, dns_query, dns_qtype, h, ts_us, row_number() OVER (PARTITION BY src_ip, regexp_replace(dns_query, '^[^.]*\\.', '') ORDER BY ts_us DESC, event_id DESC) AS r FROM fv JOIN e ON e.label = split_part(dns_query, '.', 1)),
+ dom AS (SELECT client, domain, count(*) AS queries, max(ts_us) AS last_us, avg(length(dns_query)) FILTER (WHERE r <= 50) AS avg_length, max(h) FILTER (WHERE r <= 50) AS max_entropy, count(*) FILTER (WHERE dns_qtype = 'TXT') / count(*) AS txt_ratio FROM q GROUP BY ALL)"""
 
 
 def R(*columns: str) -> str:
@@ -50,7 +50,7 @@ def categorical_entropy(spark, sf_dir):
 
 @query(duck(PAIR + f" SELECT src_ip, dst_ip, samples, {R('iat_mean', 'iat_std', 'iat_cv', 'iat_autocorr')} FROM pair"))
 def pair_features(spark, sf_dir):
-    return rounded(W.pair_features(flow_view(spark, sf_dir)))
+    return rounded(W.pair_features(flow_view(spark, sf_dir)).drop("last_us"))
 
 
 @query(duck(PAIR + f" SELECT src_ip, dst_ip, {R('iat_autocorr')} FROM pair WHERE samples >= 8"))
@@ -65,7 +65,7 @@ def periodicity_flags(spark, sf_dir):
 
 @query(duck(DOMAIN + f" SELECT client, domain, queries, {R('avg_length', 'max_entropy', 'txt_ratio')} FROM dom"))
 def domain_features(spark, sf_dir):
-    return rounded(W.domain_features(flow_view(spark, sf_dir)))
+    return rounded(W.domain_features(flow_view(spark, sf_dir)).drop("last_us"))
 
 
 SLIDE_DST = f""", p AS (SELECT a.event_id, b.src_ip, count(*) AS c, count(*) FILTER (WHERE b.syn) AS syn, count(*) FILTER (WHERE b.ack) AS ack FROM fv a JOIN fv b ON a.dst_ip = b.dst_ip AND b.ts_us BETWEEN a.ts_us - {DAY_US} AND a.ts_us GROUP BY ALL),

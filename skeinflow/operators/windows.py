@@ -69,8 +69,8 @@ def pair_gaps(flows: DataFrame, max_samples: int = 64, min_gap_s: float = 0.05)
     before = F.lead("ts_us").over(newest)
     gaps = kept.withColumn("gap", (F.col("ts_us") - before) / 1e6).withColumn("gap", F.when(F.col("gap") > min_gap_s, F.col("gap")))
     listed = F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct((-F.col("r")).alias("o"), "gap"))))
-    out = gaps.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("samples"), listed.alias("g"))
-    return out.select("src_ip", "dst_ip", "samples", F.transform("g", lambda x: x["gap"]).alias("gaps"))
+    out = gaps.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("samples"), F.max("ts_us").alias("last_us"), listed.alias("g"))
+    return out.select("src_ip", "dst_ip", "samples", "last_us", F.transform("g", lambda x: x["gap"]).alias("gaps"))
 
 
 def pair_features(flows: DataFrame, max_samples: int = 64, parity: bool = False) -> DataFrame:
@@ -86,7 +86,7 @@ def pair_features(flows: DataFrame, max_samples: int = 64, parity: bool = False)
     gaps = gaps.withColumn("std", F.when(enough, F.sqrt(square / n)))
     missing = F.lit(0.0) if parity else F.lit(None).cast("double")
     return gaps.select(
-        "src_ip", "dst_ip", "samples", F.coalesce("mean", F.lit(0.0)).alias("iat_mean"), F.coalesce("std", F.lit(0.0)).alias("iat_std"),
+        "src_ip", "dst_ip", "samples", "last_us", F.coalesce("mean", F.lit(0.0)).alias("iat_mean"), F.coalesce("std", F.lit(0.0)).alias("iat_std"),
         F.coalesce(F.col("std") / F.col("mean"), missing).alias("iat_cv"), F.when(enough, autocorr_peak(F.col("gaps"))).otherwise(0.0).alias("iat_autocorr"),
     )
 
@@ -105,10 +105,10 @@ def domain_features(flows: DataFrame, key: str = "parent", newest: int = 50) ->
     rows = rows.withColumn("r", F.row_number().over(order))
     late = F.col("r") <= newest
     out = rows.groupBy("client", "domain").agg(
-        F.count("*").alias("queries"), F.avg(F.when(late, F.length("dns_query"))).alias("avg_length"),
+        F.count("*").alias("queries"), F.max("ts_us").alias("last_us"), F.avg(F.when(late, F.length("dns_query"))).alias("avg_length"),
         F.max(F.when(late, shannon_entropy(F.split_part("dns_query", F.lit("."), F.lit(1))))).alias("max_entropy"), count_if(F.col("dns_qtype") == "TXT").alias("txt"),
     )
-    return out.select("client", "domain", "queries", "avg_length", "max_entropy", (F.col("txt") / F.col("queries")).alias("txt_ratio"))
+    return out.select("client", "domain", "queries", "last_us", "avg_length", "max_entropy", (F.col("txt") / F.col("queries")).alias("txt_ratio"))
 
 
 def periodicity_flags(pairs: DataFrame, spectral: Column | None = None) -> DataFrame:
