@@ -75,7 +75,7 @@ def incident_operations(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir):
-    return CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class", "severity")
+    return CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class", "severity").persist()
 
 
 #: Leaves, and roots of blocks of ten by four folds.
