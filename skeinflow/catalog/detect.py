@@ -49,7 +49,7 @@ def dns_tunnel(spark, sf_dir) -> DataFrame:
 
 
 def tls(spark, sf_dir) -> DataFrame:
-    flows = X.tls_flow_features(XC.sessions(spark, sf_dir)).join(XC.sessions(spark, sf_dir).select(*X.KEYS, "session", F.col("start_us").alias("ts_us")), [*X.KEYS, "session"])
+    flows = X.tls_flow_features(XC.sessions(spark, sf_dir)).withColumnRenamed("start_us", "ts_us")
     return R.detect_tls(N.ja3_intel_join(flows, C.ja3_intel(spark)), T)
 
 

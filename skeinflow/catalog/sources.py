@@ -6,7 +6,7 @@ from ..functions.scalars import ip_to_long
 from ..operators import networks as N, periodicity as P, windows as W
 from ..plans.flow_view import duck, flow_view
 from ..plans.stages import new_path
-from ..sources import flow_logs as L, netflow as X
+from ..sources import captures as C, flow_logs as L, netflow as X, tls as T
 from . import alerts as CA
 from .registry import query, rounded
 
@@ -110,3 +110,89 @@ def netflow_decode(spark, sf_dir):
 @query()
 def spectral_profile(spark, sf_dir):
     return rounded(P.spectral_profile(flow_view(spark, sf_dir)))
+
+
+def _text_bytes(c: Column) -> Column:
+    return F.encode(c, "UTF-8")
+
+
+def _sized(body: Column, size: int) -> Column:
+    """``body`` with its length in ``size`` bytes before it."""
+    return F.concat(_be(F.length(body), size), body)
+
+
+def _join(*parts: Column) -> Column:
+    return F.concat(*parts)
+
+
+def client_hello(k: Column, name: Column) -> Column:
+    """A client hello with a reserved cipher, two others, a server name, curves and formats."""
+    sni = _sized(_sized(F.concat(_be(0, 1), _sized(_text_bytes(name), 2)), 2), 2)
+    extensions = F.concat(_be(0, 2), sni, _be(10, 2), _sized(_sized(F.concat(_be(29, 2), _be(23, 2)), 2), 2), _be(11, 2), _sized(_sized(_be(0, 1), 1), 2), _be(0x1A1A, 2), _be(0, 2))
+    ciphers = F.concat(_be(0x0A0A, 2), _be(F.lit(4865) + k % 3, 2), _be(49195, 2))
+    body = F.concat(_be(0x0303, 2), _be(0, 32), _sized(F.unhex(F.lit("")), 1), _sized(ciphers, 2), _sized(_be(0, 1), 1), _sized(extensions, 2))
+    return F.concat(_be(22, 1), _be(0x0301, 2), _sized(F.concat(_be(1, 1), _sized(body, 3)), 2))
+
+
+def server_hello(k: Column) -> Column:
+    extensions = F.concat(_be(43, 2), _sized(_be(0x0304, 2), 2), _be(65281, 2), _be(0, 2))
+    body = F.concat(_be(0x0303, 2), _be(0, 32), _sized(F.unhex(F.lit("")), 1), _be(F.lit(4865) + k % 3, 2), _be(0, 1), _sized(extensions, 2))
+    return F.concat(_be(22, 1), _be(0x0303, 2), _sized(F.concat(_be(2, 1), _sized(body, 3)), 2))
+
+
+def dns_message(name: Column, kind: Column) -> Column:
+    label, rest = F.split_part(name, F.lit("."), F.lit(1)), (F.lit("example"), F.lit("com"))
+    names = F.concat(*[_sized(_text_bytes(x), 1) for x in (label, *rest)], _be(0, 1))
+    return F.concat(_be(7, 2), _be(0x0100, 2), _be(1, 2), _be(0, 6), names, _be(F.when(kind == "TXT", 16).otherwise(1), 2), _be(1, 2))
+
+
+def frames(spark, sf_dir):
+    """(capture, seq, ts_us, linktype, frame): an Ethernet frame for each flow of the view; TCP ones carry hellos, UDP ones
+    names; some have a VLAN tag, some are fragments or no IP."""
+    flows = flow_view(spark, sf_dir)
+    k, udp = F.col("event_id"), F.col("protocol") == "UDP"
+    bits = F.col("fin").cast("int") + F.col("syn").cast("int") * 2 + F.col("rst").cast("int") * 4 + F.col("ack").cast("int") * 16
+    name = F.concat(F.lit("host"), (k % 40).cast("string"), F.lit(".example.com"))
+    payload = F.when(udp, dns_message(F.col("dns_query"), F.col("dns_qtype"))).when(k % 3 == 0, client_hello(k, name)).when(k % 3 == 1, server_hello(k)).otherwise(_text_bytes(F.lit("hello")))
+    tcp = F.concat(_be(F.col("src_port"), 2), _be(F.col("dst_port"), 2), _be(k * 10 + 1, 4), _be(0, 4), _be(0x50, 1), _be(bits, 1), _be(0, 6), payload)
+    l4 = F.when(udp, F.concat(_be(F.col("src_port"), 2), _be(F.col("dst_port"), 2), _be(F.length(payload) + 8, 2), _be(0, 2), payload)).otherwise(tcp)
+    ip = F.concat(_be(0x4500, 2), _be(F.length(l4) + 20, 2), _be(0, 2), _be(F.when(k % 29 == 28, 3).otherwise(0), 2), _be(64, 1), _be(F.when(udp, 17).otherwise(6), 1), _be(0, 2), _be(ip_to_long(F.col("src_ip")), 4), _be(ip_to_long(F.col("dst_ip")), 4), l4)
+    frame = F.concat(_be(0, 12), F.when(k % 7 == 6, F.concat(_be(0x8100, 2), _be(5, 2))).otherwise(F.unhex(F.lit(""))), _be(F.when(k % 31 == 30, 0x0806).otherwise(0x0800), 2), ip)
+    return flows.select(F.col("dst_ip").alias("capture"), k.alias("seq"), "ts_us", F.lit(1).alias("linktype"), frame.alias("frame"))
+
+
+def _little(value: Column | int, size: int) -> Column:
+    return F.concat(*[F.substring(_be(value, size), i, 1) for i in range(size, 0, -1)])
+
+
+@query(duck(" SELECT dst_ip AS capture, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) - 1 AS seq, ts_us, CAST(1 AS INTEGER) AS linktype FROM fv"))
+def capture_frames(spark, sf_dir):
+    head = F.concat(_be(0xD4C3B2A1, 4), _be(0, 16), _little(1, 4))
+    record = F.concat(_little(F.floor(F.col("ts_us") / 1_000_000), 4), _little(F.col("ts_us") % 1_000_000, 4), _little(F.length("frame"), 4), _little(F.length("frame"), 4), F.col("frame"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", record.alias("r"))))
+    content = frames(spark, sf_dir).groupBy("capture").agg(listed.alias("l")).select("capture", F.aggregate("l", head, lambda a, x: F.concat(a, x["r"])).alias("content"))
+    return C.split_captures(content).select("capture", "seq", "ts_us", "linktype")
+
+
+@query(duck(""" SELECT event_id AS seq, CASE WHEN event_id % 31 = 30 THEN 'no_ip' WHEN event_id % 29 = 28 THEN 'fragment' ELSE 'ok' END AS status, CASE WHEN o THEN src_ip END AS src_ip, CASE WHEN o THEN dst_port END AS dst_port, CASE WHEN o THEN protocol END AS l4_proto,
+ CASE WHEN o THEN CASE WHEN protocol = 'UDP' THEN 'DNS' WHEN event_id % 3 < 2 THEN 'TLS' ELSE 'TCP' END END AS app_proto, CASE WHEN o THEN syn END AS syn, CASE WHEN o THEN dns_query END AS dns_query, CASE WHEN o THEN dns_qtype END AS dns_qtype, CASE WHEN o AND protocol = 'TCP' THEN event_id * 10 + 1 END AS tcp_seq
+ FROM (SELECT *, event_id % 31 <> 30 AND event_id % 29 <> 28 AS o FROM fv)"""))
+def decode_frames(spark, sf_dir):
+    return C.decode_frames(frames(spark, sf_dir)).select("seq", "status", "src_ip", "dst_port", "l4_proto", "app_proto", "syn", "dns_query", "dns_qtype", "tcp_seq")
+
+
+def _payloads(spark, sf_dir, kind: int):
+    return C.decode_frames(frames(spark, sf_dir)).where((F.col("app_proto") == "TLS") & (F.col("seq") % 3 == kind)).select("seq", "payload")
+
+
+WHOLE = "protocol = 'TCP' AND event_id % 31 <> 30 AND event_id % 29 <> 28"
+
+
+@query(duck(f", t AS (SELECT event_id AS seq, '771,' || (4865 + event_id % 3) || '-49195,0-10-11,29-23,0' AS ja3_string, 'host' || (event_id % 40) || '.example.com' AS sni FROM fv WHERE {WHOLE} AND event_id % 3 = 0) SELECT seq, ja3_string, md5(ja3_string) AS ja3, sni FROM t"))
+def ja3_fingerprint(spark, sf_dir):
+    return T.ja3_fingerprint(_payloads(spark, sf_dir, 0), "payload").drop("payload")
+
+
+@query(duck(f", t AS (SELECT event_id AS seq, '771,' || (4865 + event_id % 3) || ',43-65281' AS ja3s_string FROM fv WHERE {WHOLE} AND event_id % 3 = 1) SELECT seq, ja3s_string, md5(ja3s_string) AS ja3s FROM t"))
+def ja3s_fingerprint(spark, sf_dir):
+    return T.ja3s_fingerprint(_payloads(spark, sf_dir, 1), "payload").drop("payload")

@@ -61,7 +61,7 @@ def exfil_features(sessions: DataFrame) -> DataFrame:
 def tls_flow_features(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Sessions with a fingerprint: it and the first ``n`` signed sizes, filled up with zeros."""
     sizes = F.slice(F.concat("sizes", F.array_repeat(F.lit(0).cast("long"), n)), 1, n)
-    return sessions.where("tls_ja3 is not null").select(*KEYS, "session", "initiator", "responder", "tls_ja3", sizes.alias("pst_sequence"))
+    return sessions.where("tls_ja3 is not null").select(*KEYS, "session", "start_us", "initiator", "responder", "tls_ja3", sizes.alias("pst_sequence"))
 
 
 def tcp_duplicates(flows: DataFrame, timeout_us: int) -> DataFrame:
