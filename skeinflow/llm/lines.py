@@ -2,7 +2,7 @@
 
 Lines are what newlines separate; blank lines (spaces, tabs and carriage returns only) take no part and stay. A line goes if
 the same text stood earlier, or, for lines of ``MIN_NEAR_CHARS`` characters or more, if a text within one edit (a character
-inserted, deleted or replaced) has its first place earlier. Places are in order of (doc_id, text hash, line number), nulls
+inserted, deleted or replaced) has its first place earlier. Places are in order of (doc_id, line number), nulls
 first.
 
 1. Equal lines become one row, keyed by 128 bits of MD5, with their first place; partial aggregation takes the hot ones.
@@ -11,13 +11,13 @@ first.
    length and for one less, s hashes that leave one segment out, and a line whose hashes nobody shares has no partner. This
    runs with s = 2 on hashes alone, and with s = ``SEGMENTS`` on the texts that are left.
 3. The lines left emit their deletion neighbourhood: the hash of the whole line, and of each text with one character less
-   with the position of that character. Lines that share hash and position differ by a replaced character; a line whose
+   with the position of that character, within the segments whose hash they share. Lines that share hash and position differ by a replaced character; a line whose
    whole hash is another's variant differs by a deleted one. So a line meets only the earliest line of its (hash, position)
    and the one whole line of its hash, never all the others. ``levenshtein`` verifies the texts.
 4. Numbers of lines to drop are gathered by document, and its text is put together from the rest.
 
 Defined results: a null text stays null; an empty text stays empty; a document all of whose lines go keeps an empty text;
-rows that repeat (doc_id, text) share their places, so the repeats stay alike; rows with a null doc_id take part as earliest;
+rows that repeat a doc_id share their places, so equal lines in one place stay alike; rows with a null doc_id take part as earliest;
 other columns stay as they are; an empty table gives an empty table.
 """
 
@@ -34,87 +34,102 @@ SEGMENTS = 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place struct<d, h, pos>, line) of every line that is not blank."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where("text is not null")
+    """(d, h, pos, line) of every line that is not blank; d is the doc_id, or the smallest long where it is null."""
+    rows = docs.select(_id(F.col("doc_id")).alias("d"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.select("d", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length(F.translate("line", " \t\r", "")) > 0).select(F.struct("d", "h", "pos").alias("place"), "line")
+    return rows.where("trim(LEADING ' \\t\\r' FROM line) <> ''")
 
 
-def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    return _lines(docs).select(F.unhex(F.md5("line")).alias("key"), "place", *more)
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-def _but_one(segments: int) -> Column:
-    """The hashes of ``line`` that leave one segment out, for its length and for one less."""
-    n = F.length("line")
+def _key() -> Column:
+    return F.unhex(F.md5("line"))
+
 
-    def key(m: Column, j: int) -> Column:
-        left, right = F.floor(m * j / segments).cast("int"), m - F.floor(m * (j + 1) / segments).cast("int")
-        return F.xxhash64(m, F.lit(j), F.substring("line", F.lit(1), left), F.substring("line", n - right + 1, right))
+def _place() -> Column:
+    """(d, pos) as one number in the same order, which a hash aggregation can keep the least of."""
+    return (F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")).cast("decimal(33,0)")
 
-    return F.array(*(key(m, j) for m in (n, n - 1) for j in range(segments)))
+
+def _hash_without(m: Column, j: Column, segments: int) -> Column:
+    """The hash of ``line``, cut for the length m, without segment j."""
+    n = F.length("line")
+    left, right = F.floor(m * j / segments).cast("int"), m - F.floor(m * (j + 1) / segments).cast("int")
+    return F.xxhash64(m, j, F.substring("line", F.lit(1), left), F.substring("line", n - right + 1, right))
 
 
 def _sharing(hashes: DataFrame) -> DataFrame:
-    """(first) of the rows (first, hashes) that share one of their hashes with another row."""
-    each = hashes.select("first", F.explode("hashes").alias("hash"))
-    shared = each.groupBy("hash").agg(F.min("first").alias("one"), F.max("first").alias("two")).where("one <> two")
-    return each.join(shared.select("hash"), "hash", "left_semi").select("first").distinct()
+    """(p, i): the place i in ``hashes`` of what a row (p, hashes) shares with another row."""
+    each = hashes.select("p", F.posexplode("hashes").alias("i", "hash"))
+    shared = each.groupBy("hash").agg(F.min("p").alias("one"), F.max("p").alias("two")).where("one <> two")
+    return each.join(shared.select("hash"), "hash", "left_semi").select("p", "i")
+
 
+def _first_places(docs: DataFrame) -> DataFrame:
+    """(key, first, many, h0..h3) of the distinct lines: their first place, whether they have more, and their halves' hashes."""
+    near = F.length("line") >= MIN_NEAR_CHARS
+    halves = [F.when(near, _hash_without(F.length("line") - i // 2, F.lit(i % 2), 2)).alias(f"h{i}") for i in range(4)]
+    rows = _lines(docs).select(_key().alias("key"), _place().alias("place"), *halves)
+    out = rows.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
+    return out.select("key", "first", (F.col("first") < F.col("last")).alias("many"), *[f"h{i}" for i in range(4)])
 
-def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(first, line) of these places."""
-    document = lambda d, h: F.struct(d.alias("d"), h.alias("h"))
-    named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few = only_keys(named, firsts, document(F.col("doc_id"), F.xxhash64("text")), document(F.col("first.d"), F.col("first.h")))
-    lines = _lines(few.dropDuplicates(["doc_id", "text"]))
-    return lines.join(firsts.hint("merge"), F.col("place") == F.col("first"), "left_semi").select(F.col("place").alias("first"), "line")
+
+def _texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(p, line) of these lines p (first, key), from the documents of their first places."""
+    document = F.floor(F.col("p.first") / F.lit(1 << 32).cast("decimal(11,0)")).cast("long")
+    named = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    lines = _lines(only_keys(named, suspects, _id(F.col("doc_id")), document)).select(_key().alias("key"), "line")
+    found = lines.join(suspects.select(F.col("p.key").alias("key"), "p").hint("merge"), "key").select("p", "line")
+    return found.dropDuplicates(["p"])
 
 
 def _variants() -> Column:
-    """(hash, at) of the line (at 0) and of the texts that lack the character at 1, 2, ..."""
+    """(hash, at) of the line (at 0), and of the texts that lack the character at a place of the segments ``parts``, where
+    an edit may be: part i of length n - i div s is segment i mod s."""
     n = F.length("line")
-    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))).alias("hash"), i.alias("at")))
+
+    def places(i: Column) -> Column:
+        m, j = n - F.floor(i / SEGMENTS).cast("int"), i % SEGMENTS
+        return F.sequence(F.floor(m * j / SEGMENTS).cast("int") + 1, F.least(n, F.floor(m * (j + 1) / SEGMENTS).cast("int") + 1))
+
+    at = F.array_distinct(F.flatten(F.transform("parts", places)))
+    shorter = F.transform(at, lambda i: F.struct(F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))).alias("hash"), i.alias("at")))
     return F.concat(F.array(F.struct(F.xxhash64("line").alias("hash"), F.lit(0).alias("at"))), shorter)
 
 
 def near_later(lines: DataFrame) -> DataFrame:
-    """(first) of the distinct lines (first, line) that have a partner within one edit whose ``first`` is earlier."""
-    spread = lines.select("first", F.explode(_variants()).alias("v")).select("first", "v.hash", "v.at")
-    replaced = F.min("first").over(Window.partitionBy("hash", "at"))
-    whole = F.min(F.when(F.col("at") == 0, F.col("first"))).over(Window.partitionBy("hash"))
-    lacking = F.min(F.when(F.col("at") > 0, F.col("first"))).over(Window.partitionBy("hash"))
+    """(p) of the distinct lines (p, line, parts) that have an earlier partner within one edit."""
+    spread = lines.select("p", F.explode(_variants()).alias("v")).select("p", "v.hash", "v.at")
+    replaced = F.min("p").over(Window.partitionBy("hash", "at"))
+    whole = F.min(F.when(F.col("at") == 0, F.col("p"))).over(Window.partitionBy("hash"))
+    lacking = F.min(F.when(F.col("at") > 0, F.col("p"))).over(Window.partitionBy("hash"))
     partners = F.when(F.col("at") == 0, F.array(lacking)).otherwise(F.array(replaced, whole))
-    met = spread.select("first", partners.alias("partners")).select("first", F.explode("partners").alias("partner")).where("partner < first").distinct()
-    texts = lines.select(F.col("first").alias("partner"), F.col("line").alias("other"))
-    return met.join(lines, "first").join(texts, "partner").where(F.levenshtein("line", "other", MAX_EDITS).between(0, MAX_EDITS)).select("first").distinct()
+    met = spread.select("p", partners.alias("partners")).select("p", F.explode("partners").alias("partner")).where("partner < p").distinct()
+    texts = lines.select(F.col("p").alias("partner"), F.col("line").alias("other"))
+    return met.join(lines, "p").join(texts, "partner").where(F.levenshtein("line", "other", MAX_EDITS).between(0, MAX_EDITS)).select("p").distinct()
 
 
 def line_drops(docs: DataFrame) -> DataFrame:
     """(d, h, drop): for each document, by id and text hash, the numbers of the lines that go."""
-    halves = F.when(F.length("line") >= MIN_NEAR_CHARS, _but_one(2)).alias("hashes")
-    keys = settle(_first_places(docs, halves), "lines")
-    suspects = settle(_sharing(keys.where("hashes is not null").select("first", "hashes")), "sharing")
-    left = settle(_texts(docs, suspects), "suspects")
-    left = settle(left.join(_sharing(left.select("first", _but_one(SEGMENTS).alias("hashes"))), "first", "left_semi"), "suspects")
-    near = near_later(left).select(F.col("first").alias("near_first"))
-    marked = keys.join(near, F.col("first") == F.col("near_first"), "left").where("many or near_first is not null")
-    marked = marked.select("key", "first", F.col("near_first").isNotNull().alias("near"))
-    gone = _keyed(docs).join(marked, "key").where("near or place <> first")
-    return gone.groupBy("place.d", "place.h").agg(F.collect_set("place.pos").alias("drop"))
-
-
-def _first_places(docs: DataFrame, halves: Column) -> DataFrame:
-    """(key, first, hashes, many) of the distinct lines; many: they have more than one place."""
-    rows = _keyed(docs, halves).groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("hashes").alias("hashes"))
-    return rows.select("key", "first", "hashes", (F.col("first") < F.col("last")).alias("many"))
+    keys = settle(_first_places(docs), "lines")
+    halves = keys.where("h0 is not null").select(F.struct("first", "key").alias("p"), F.array("h0", "h1", "h2", "h3").alias("hashes"))
+    left = settle(_texts(docs, settle(_sharing(halves).select("p").distinct(), "sharing")), "texts")
+    each = F.transform(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1)), lambda i: _hash_without(F.length("line") - F.floor(i / SEGMENTS).cast("int"), i % SEGMENTS, SEGMENTS))
+    parts = _sharing(left.select("p", each.alias("hashes"))).groupBy("p").agg(F.collect_set("i").alias("parts"))
+    near = near_later(settle(left.join(parts, "p"), "suspects")).select(F.col("p.key").alias("near_key"))
+    marked = keys.join(near, F.col("key") == F.col("near_key"), "left").where("many or near_key is not null")
+    marked = marked.select("key", "first", F.col("near_key").isNotNull().alias("near"))
+    gone = _lines(docs).select(_key().alias("key"), "d", "h", "pos").join(marked, "key").where(F.col("near") | (_place() != F.col("first")))
+    return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns it had, ``text`` without the lines that go, and ``n_lines`` and ``n_dropped`` after them."""
     drops = line_drops(docs).select(F.col("d").alias("_drop_d"), F.col("h").alias("_drop_h"), F.col("drop").alias("_drop"))
-    named = docs.drop("n_lines", "n_dropped").withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows = named.join(drops, F.col("_h").eqNullSafe(F.col("_drop_h")) & F.col("_d").eqNullSafe(F.col("_drop_d")), "left")
+    named = docs.drop("n_lines", "n_dropped").withColumn("_d", _id(F.col("doc_id"))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    rows = named.join(drops, (F.col("_d") == F.col("_drop_d")) & (F.col("_h") == F.col("_drop_h")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")
     rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
