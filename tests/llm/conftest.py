@@ -18,9 +18,9 @@ ODD = "doc_id long, text string, lang string, source string, n_chars long, fp st
 
 def odd_rows(text):
     """Nulls in every column, empty and long texts, repeated rows, and columns with clashing names."""
-    more = ("x",) * 9
+    more = ("x",) * 10
     return [
-        (1, text, "en", "src1", 5, *more), (2, text, "en", "src1", 5, *more), (2, text, "en", "src1", 5, *more), (3, None, None, None, None, *[None] * 9), (4, "", "en", "src2", 0, *more),
+        (1, text, "en", "src1", 5, *more), (2, text, "en", "src1", 5, *more), (2, text, "en", "src1", 5, *more), (3, None, None, None, None, *[None] * 10), (4, "", "en", "src2", 0, *more),
         (None, text, "en", "src1", 5, *more), (5, "long " * 30_000, "en", "src2", 1, *more), (6, "x" * 50_000, "de", None, 1, *more), (7, " \n\t\n ", "en", "src1", 1, *more), (8, "été 漢字 🙂\x00\u2028end", "fr", "source without number", 1, *more),
     ]
 
