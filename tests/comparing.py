@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def database(sf_dir):
 
 def rows_of(frame):
     columns = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else v
+    plain = lambda v: None if v is None or v is pd.NA or v is pd.NaT or v != v else float(v) if isinstance(v, float) else v
     rows = [tuple(plain(v) for v in r) for r in frame[columns].astype(object).values.tolist()]
     return columns, sorted(rows, key=lambda r: tuple((v is None, f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r))
 
