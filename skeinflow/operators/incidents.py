@@ -15,15 +15,16 @@ def _numbered(rows: DataFrame, keys: list[str], ts: str, tie: list[str], gap) ->
 
 def dedup_incidents(alerts: DataFrame, gap_us: int = GAP_US) -> DataFrame:
     """One row per incident: first and last time, detections, peak confidence, the severity and technique of the peak, and
-    the latest evidence of each feature, in order of its name."""
+    the latest evidence of each feature, in order of its name. Detections have evidence, as the detectors' alerts do."""
     rows = _numbered(alerts, ["threat_class", "entity_id"], "ts_us", ["confidence"], gap_us)
     keys = ["threat_class", "entity_id", "incident"]
-    peak = F.struct("confidence", "ts_us", "severity", "technique")
-    out = rows.groupBy(*keys).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("detections"), F.max(peak).alias("peak"))
-    items = rows.select(*keys, "ts_us", F.explode("evidence").alias("e")).groupBy(*keys, F.col("e.feature").alias("feature")).agg(F.max_by("e", F.struct("ts_us", "e.value")).alias("e"))
-    merged = items.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    rows = rows.select(*keys, "ts_us", F.struct("confidence", "ts_us", "severity", "technique").alias("peak"), F.posexplode("evidence").alias("place", "e"))
+    # by feature first; a detection counts with its first piece of evidence
+    items = rows.groupBy(*keys, F.col("e.feature").alias("feature")).agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.sum((F.col("place") == 0).cast("long")).alias("n"), F.max("peak").alias("peak"), F.max_by("e", F.struct("ts_us", "e.value")).alias("e"))
+    out = items.groupBy(*keys).agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("detections"), F.max("peak").alias("peak"), F.array_sort(F.collect_list("e")).alias("evidence"))
     cluster = F.struct(F.lit("incident_cluster_size").alias("feature"), F.col("detections").cast("double").alias("value"), F.lit(1.0).alias("threshold"), F.lit("rule").alias("source"))
-    out = out.join(merged, keys).withColumn("evidence", F.when(F.col("detections") > 1, F.concat("evidence", F.array(cluster))).otherwise(F.col("evidence")))
+    out = out.withColumn("evidence", F.when(F.col("detections") > 1, F.concat("evidence", F.array(cluster))).otherwise(F.col("evidence")))
     alert_id = F.substring(F.sha2(F.concat_ws("|", "threat_class", "entity_id", "first_us"), 256), 1, 32)
     return out.select(alert_id.alias("alert_id"), "threat_class", "entity_id", "first_us", "last_us", "detections", F.col("peak.confidence").alias("confidence"), F.col("peak.severity").alias("severity"), F.col("peak.technique").alias("technique"), "evidence")
 
