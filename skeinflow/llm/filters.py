@@ -16,4 +16,5 @@ def only_keys(rows: DataFrame, keys: DataFrame, of_rows: Column, of_keys: Column
     words = exact.select(slot(F.col("_key")).alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_mask"))
     near = rows.withColumn("_row_key", of_rows).withColumn("_slot", slot(F.col("_row_key"))).withColumn("_at", F.shiftright("_slot", 6))
     near = near.join(F.broadcast(words), F.col("_at") == F.col("_word")).where("(_mask & shiftleft(1L, cast(_slot & 63 as int))) <> 0")
-    return near.join(exact.hint("merge"), F.col("_row_key") == F.col("_key"), "left_semi").select(*rows.columns)
+    # an inner join, as the optimizer would push a semi-join below the bitmap; the keys are distinct
+    return near.join(exact.hint("merge"), F.col("_row_key") == F.col("_key")).select(*rows.columns)
