@@ -1,17 +1,21 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text gives each document's perplexity, and
-a document goes if that is far above what its language's trusted documents have.
+"""Quality classifier: an interpolated modified Kneser-Ney model of the words of trusted text gives each document's perplexity,
+and a document goes if that is far above what its language's trusted documents have.
 
-Symbols. Texts are streams of 64 classes: a-z, upper case, digits, space, newline, common marks, folded other letters; the
-first character of a word that repeats the word before it is a class of its own. Four symbols are an n-gram, so a language
-has at most 64^4 of them, whatever the corpus.
+Words are what stands between blanks, as written; ideographs and kana are words of their own. A text is its words between two
+starts and an end, with a mark before a word that repeats the one before it, and three of these are an n-gram. A word is a 64-bit digest of language and word, so nothing is folded into
+classes and the counts grow with the corpus.
 
 Counts. Four fifths of the trusted documents, by a hash of their id, give n-gram counts, pre-aggregated in the tasks and
-summed by (language, n-gram). Lower orders have continuation counts. Discounts come from the numbers of n-grams seen once to
-four times; each order's probabilities are a join of its counts with its contexts' totals and with the order below.
+summed by n-gram. Lower orders have continuation counts. Discounts come from the numbers of n-grams seen once to four times;
+each order's probabilities are a join of its counts with its contexts' totals and with the order below.
 
-Scores. The distinct n-grams of all documents are joined with the orders from the highest down, each that misses taking the
-context's back-off weight, which gives one log probability for each (language, n-gram). Up to ``TABLE_ROWS`` such rows, the
-documents read them from a broadcast table; beyond it they are joined with the n-grams of the documents.
+Unknown words. Below the order of single words is a Kneser-Ney model of characters, trained on the distinct words of those
+documents: streams of 64 classes (a-z, upper case, digits, marks, folded other letters), of which four are an n-gram. It spells
+the distinct words of the documents, and the words' orders interpolate with what it gives. Up to ``TABLE_ROWS`` rows of its
+scores are a broadcast table; beyond that they are joined.
+
+Scores. The n-grams of every document are joined with the orders from the highest down, each that misses taking the context's
+back-off weight, and their logarithms are summed by document.
 
 Thresholds. By language, over the other fifth of the trusted documents: median + ``WIDTH`` * (the ``QUANTILE`` quantile -
 median), and at least ``MARGIN`` above the median, in nats a character. A text of n characters shows n / (n + ``SHORT_CHARS``)
@@ -24,7 +28,9 @@ alike; an empty table gives an empty table; other columns pass through.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,12 @@ MARGIN = 0.75
 SHORT_CHARS = 32
 TABLE_ROWS = 8_000_000
 NONE = "\x00"  # stands for a null language
+WORDS = ["w1", "w2", "w3"]
+START, END, AGAIN = "\n", "\r", "\t"  # no words
+#: Ideographs, kana and hangul one by one, and runs of anything else but blanks.
+_SINGLE = "\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_SINGLE}]|[^\\s{_SINGLE}]+")
+FLOOR = -600.0  # of the logarithm of a known word's spelling, as a double holds no less
 
 #: Marks with a class of their own.
 MARKS = ".,;:!?'\"-|$%&*#@/()_"
@@ -116,6 +128,64 @@ def _present(batches):
         yield _gram_batch(lang, grams, np.ones(len(grams), np.int64))
 
 
+class _Keys(dict):
+    """The 64-bit key of each word of a language; forgets when it is large."""
+
+    def __init__(self, lang: str):
+        self.lang = lang.encode("utf-8", "surrogatepass") + b"\x00"
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        key = int.from_bytes(blake2b(self.lang + word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        self[word] = key
+        return key
+
+
+def words(text: str) -> list[str]:
+    return text.split() if text.isascii() else _WORD.findall(text)
+
+
+def _vocabulary(batches):
+    """(lang, word, w) of (lang, text), distinct within some 200 texts."""
+    known: dict[str, _Keys] = {}
+    for batch in batches:
+        for lang, texts in _by_language(batch):
+            keys = known.setdefault(lang, _Keys(lang))
+            for at in range(0, len(texts), 200):
+                found = list(set().union(*map(words, texts[at : at + 200])))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(list(map(keys.__getitem__, found)), pa.int64())], ["lang", "word", "w"])
+
+
+def _ends(batches):
+    """(lang, word, w) of (lang, word) where the word is given whole."""
+    for batch in batches:
+        keys = [_Keys(lang)[word] for lang, word in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["lang", "word", "w"])
+
+
+def _word_grams(batches):
+    """(row, lang, w1, w2, w3, n, chars) of (row, lang, text): a text's distinct trigrams; its first one has its length."""
+    known: dict[str, _Keys] = {}
+    for batch in batches:
+        rows = [(row, lang, text) for row, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if text]
+        for at in range(0, len(rows), 200):
+            parts, sizes = [], []
+            for _, lang, text in rows[at : at + 200]:
+                keys = known.setdefault(lang, _Keys(lang))
+                found = [START, START, *words(text), END]
+                ids = np.fromiter(map(keys.__getitem__, found), np.int64, len(found))
+                ids = np.insert(ids, np.flatnonzero(ids[3:] == ids[2:-1]) + 3, keys[AGAIN])
+                w1, w2, w3 = ids[:-2], ids[1:-1], ids[2:]
+                _, first, n = np.unique(w1 * 0x2545F4914F6CDD1D + w2 * 0x369DEA0F31A53F85 + w3, return_index=True, return_counts=True)
+                chars = np.zeros(len(n), np.int64)
+                chars[0] = len(text)
+                parts.append((w1[first], w2[first], w3[first], n, chars))
+                sizes.append(len(n))
+            named = [pa.array([r[i] for r in rows[at : at + 200]], kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i, kind in ((0, pa.int64()), (1, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*named, *(pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts))], ["row", "lang", *WORDS, "n", "chars"])
+
+
 def _language(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) if "lang" in docs.columns else F.lit(NONE)
 
@@ -124,6 +194,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(_language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(_language(docs), F.col("text").cast("string"))
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """``_word_grams`` of texts (row, lang, text)."""
+    return texts.select("row", "lang", "text").mapInArrow(_word_grams, "row long, lang string, w1 long, w2 long, w3 long, n long, chars long")
+
+
+def _discounted(seen: DataFrame) -> DataFrame:
+    """``seen`` with ``d``, the discount of each n-gram, by language and number seen."""
+    n = F.col("n")
+    times = [F.sum((n == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    some = lambda a, b, i: F.coalesce(F.greatest(F.lit(i) - (i + 1) * y * F.try_divide(b, a), F.lit(0.01)), F.lit(0.5))
+    discounts = seen.groupBy("lang").agg(*times).select("lang", some("n1", "n2", 1).alias("d1"), some("n2", "n3", 2).alias("d2"), some("n3", "n4", 3).alias("d3"))
+    rows = seen.join(discounts, "lang").withColumn("d", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")))
+    return rows.withColumn("d", F.least("d", n))
+
+
 def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (lang, gram, p) of its n-grams and (lang, ctx, weight) of their contexts."""
     by_order = [counts]
@@ -132,12 +222,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     out: list[tuple[DataFrame, DataFrame]] = []
     for order, seen in enumerate(by_order, 1):
         n = F.col("n")
-        times = [F.sum((n == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        some = lambda a, b, i: F.coalesce(F.greatest(F.lit(i) - (i + 1) * y * F.try_divide(b, a), F.lit(0.01)), F.lit(0.5))
-        discounts = seen.groupBy("lang").agg(*times).select("lang", some("n1", "n2", 1).alias("d1"), some("n2", "n3", 2).alias("d2"), some("n3", "n4", 3).alias("d3"))
-        rows = seen.join(discounts, "lang").withColumn("d", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")))
-        rows = rows.withColumn("ctx", F.floor(F.col("gram") / CLASSES).cast("long")).withColumn("d", F.least("d", n))
+        rows = _discounted(seen).withColumn("ctx", F.floor(F.col("gram") / CLASSES).cast("long"))
         contexts = settle(rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight")), "contexts")
         rows = rows.join(contexts, ["lang", "ctx"])
         if order == 1:
@@ -199,29 +284,86 @@ def _with_joins(docs: DataFrame, scores: DataFrame) -> DataFrame:
     return docs.withColumn("_row", key).join(nats.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
 
 
+def _spelled(vocabulary: DataFrame, train: DataFrame, table_rows: int) -> DataFrame:
+    """(lang, w, base) for words (lang, word, w): the logarithm of what the characters' model, made of the words ``train`` and
+    their ends, gives each."""
+    text = F.concat("word", F.lit("\n")).alias("text")
+    counts = train.select("lang", text).mapInArrow(_count, "lang string, gram long, n long")
+    counts = settle(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    rows = vocabulary.select("lang", text, "w")
+    grams = _texts(rows).mapInArrow(_present, "lang string, gram long, n long").select("lang", "gram").distinct()
+    scores = settle(gram_scores(grams, kneser_ney(counts)), "scores")
+    scored = _with_table if scores.count() <= table_rows else _with_joins
+    return scored(rows, scores).select("lang", "w", (-F.col("nats") * F.length("text")).alias("base"))
+
+
+def word_model(counts: DataFrame, spelled: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: (its words, logp) of its n-grams and (their contexts, back, the logarithm of the weight), from
+    trigrams (lang, w1, w2, w3, n) and ``_spelled`` words; the one context of order 1 is the language."""
+    by_order = [counts]
+    for order in (2, 1):
+        by_order.insert(0, by_order[0].groupBy("lang", *WORDS[3 - order :]).agg(F.count("*").alias("n")))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    lower = spelled.select(F.col("w").alias("w3"), F.exp(F.greatest("base", F.lit(FLOOR))).alias("lower"))
+    for order, seen in enumerate(by_order, 1):
+        own = WORDS[3 - order :]
+        context = own[:-1] or ["lang"]
+        rows = _discounted(seen)
+        contexts = rows.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+        contexts = settle(contexts, "contexts")
+        rows = rows.join(contexts, context).join(lower, own[1:] or own)
+        probable = rows.select(*own, F.log((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("lower")).alias("logp"))
+        probable = settle(probable, "probabilities")
+        lower = probable.select(*own, F.exp("logp").alias("lower"))
+        out.append((probable, contexts.select(*context, F.log("weight").alias("back"))))
+    return out
+
+
+def single_words(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(w3, logp1) for ``_spelled`` words (lang, w, base), known or not."""
+    probable, whole = model[0]
+    rows = vocabulary.withColumnRenamed("w", "w3").join(whole, "lang").join(probable, "w3", "left")
+    return rows.select("w3", F.coalesce("logp", F.col("back") + F.col("base")).alias("logp1"))
+
+
+def word_scores(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], single: DataFrame) -> DataFrame:
+    """``grams``, which have w1, w2 and w3, with ``logp`` in their place."""
+    (two, back2), (three, back3) = model[1:]
+    rows = grams.join(three.withColumnRenamed("logp", "logp3"), WORDS, "left").join(back3.withColumnRenamed("back", "back3"), ["w1", "w2"], "left").drop("w1")
+    rows = rows.join(two.withColumnRenamed("logp", "logp2"), ["w2", "w3"], "left").join(back2.withColumnRenamed("back", "back2"), "w2", "left").join(single, "w3")
+    lower = F.coalesce("logp2", F.coalesce("back2", F.lit(0.0)) + F.col("logp1"))
+    return rows.withColumn("logp", F.coalesce("logp3", F.coalesce("back3", F.lit(0.0)) + lower)).select(*[c for c in grams.columns if c not in WORDS], "logp")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
     """``docs`` with the columns ``perplexity`` (a character), ``threshold`` and ``keep`` after its own; trusted are the
     documents that ``labels`` (doc_id, quality) gives quality 1."""
     docs = docs.drop("perplexity", "threshold", "keep", "nats")
     good = labels.where("quality = 1")
     trusted = only_keys(docs, good, F.col("doc_id").cast("long"), F.col("doc_id").cast("long"))
-    trusted = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).alias("fold"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
+    trusted = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).alias("fold"), _row(docs).alias("row"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
     trusted = settle(trusted, "trusted")
 
-    counts = trusted.where("fold > 0").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    counts = settle(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    learned = trusted.where("fold > 0")
+    counts = settle(_grams(learned).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")), "word-counts")
     known = counts.select("lang").distinct()
-    grams = _texts(docs).mapInArrow(_present, "lang string, gram long, n long").select("lang", "gram").distinct()
-    scores = settle(gram_scores(grams.join(known, "lang", "left_semi"), kneser_ney(counts)), "scores")
-    scored = _with_table if scores.count() <= table_rows else _with_joins
-
-    held = scored(trusted.where("fold = 0").select("lang", "text"), scores).where("nats is not null")
+    texts = _texts(docs).withColumn("row", _row(docs)).join(F.broadcast(known), "lang", "left_semi")
+    distinct = lambda df: df.select("lang", "text").mapInArrow(_vocabulary, "lang string, word string, w long").distinct()
+    ends = known.select("lang", F.explode(F.array(F.lit(END), F.lit(AGAIN))).alias("word")).mapInArrow(_ends, "lang string, word string, w long")
+    train, vocabulary = (settle(distinct(df).unionAll(ends), "vocabulary") for df in (learned, texts))
+    spelled = settle(_spelled(vocabulary, train, table_rows), "spelled")
+    model = word_model(counts, spelled)
+    scores = word_scores(_grams(texts).drop("lang"), model, settle(single_words(spelled, model), "words"))
+    nats = scores.groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("chars")).alias("nats"))
+    nats = settle(nats.withColumnRenamed("row", "_row"), "nats")
+
+    held = trusted.where("fold = 0").select("lang", F.col("row").alias("_row")).join(nats, "_row")
     limits = held.groupBy("lang").agg(F.percentile_approx("nats", F.array(F.lit(0.5), F.lit(QUANTILE)), F.lit(100_000)).alias("q"))
     limit = F.col("q")[0] + F.greatest(F.lit(WIDTH) * (F.col("q")[1] - F.col("q")[0]), F.lit(MARGIN))
     limits = settle(limits.select(F.col("lang").alias("_limit_lang"), limit.alias("_limit"), F.col("q")[0].alias("_median")), "limits")
-    rows = scored(docs, scores)
+    rows = docs.withColumn("_row", _row(docs)).withColumn("_n", F.length(F.col("text").cast("string"))).join(nats, "_row", "left")
     rows = rows.join(limits, _language(docs) == F.col("_limit_lang"), "left")
-    n = F.length(F.col("text").cast("string"))
+    n = F.col("_n")
     keep = F.coalesce((F.col("nats") - F.col("_median")) * n / (n + SHORT_CHARS) <= F.col("_limit") - F.col("_median"), F.lit(True))
     return rows.select(*docs.columns, F.exp("nats").alias("perplexity"), F.exp("_limit").alias("threshold"), keep.alias("keep"))
 

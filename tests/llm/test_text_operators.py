@@ -183,6 +183,19 @@ def test_quality_tells_junk(documents, labels):
     assert rows[rows.quality == 0].keep.mean() <= 0.35
 
 
+def test_quality_sees_word_order(documents, labels):
+    good = documents.join(labels.where("quality = 1"), "doc_id", "left_semi").where("n_chars > 300")
+    mixed = good.withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("text", F.array_join(F.array_sort(F.split("text", " ")), " "))
+    rows = quality.score_documents(documents.unionByName(mixed), labels).select("doc_id", "perplexity").toPandas().set_index("doc_id").perplexity
+    ratio = [rows[i] / rows[i - 1_000_000] for i in rows.index if i >= 1_000_000]
+    assert len(ratio) > 20 and sorted(ratio)[len(ratio) // 2] > 1.8
+
+
+def test_quality_unfolded(spark):
+    one, other = (quality._Keys("x")[w] for w in ("\U0001f600", "\U0001f601"))
+    assert one != other and quality.words("deux mots 漢字") == ["deux", "mots", "漢", "字"]
+
+
 def test_quality_by_joins_is_the_same(documents, labels):
     shown = lambda df: {r["doc_id"]: (r["perplexity"], r["keep"]) for r in df.collect()}
     table, joined = shown(quality.score_documents(documents, labels)), shown(quality.score_documents(documents, labels, table_rows=0))
