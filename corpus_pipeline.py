@@ -27,7 +27,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take, once each."""
+    """The documents that the target weights take, once for each epoch."""
     return mixing.select_mix(docs)
 
 

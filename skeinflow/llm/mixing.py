@@ -116,10 +116,10 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
 
 
 def select_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that the mix takes in one epoch, with all their columns."""
-    taken = mix(docs, max_epochs=1, **parameters).select(F.col("doc_id").alias("_mix_id"), F.col("row_hash").alias("_mix_row")).distinct()
+    """The rows of ``docs`` that the mix takes, with all their columns, once for each epoch that takes them."""
+    taken = mix(docs, **parameters).select(F.col("doc_id").alias("_mix_id"), F.col("row_hash").alias("_mix_row"), F.col("epoch").alias("_mix_epoch")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_mix_row"))
-    return docs.join(taken, same, "left_semi")
+    return docs.join(taken, same).drop("_mix_id", "_mix_row", "_mix_epoch")
 
 
 def _sql_weight(column: str, weights: dict[str, float]) -> str:

@@ -170,6 +170,14 @@ def test_shortages_go_to_siblings_first(spark):
     assert all_of_it == {"s1": 10.0, "s2": 1000.0, "s3": 1000.0, "s4": 5.0}
 
 
+def test_selection_repeats_short_leaves(spark):
+    rows = [(1, "few words of english here", "en", "src0"), *[(i, "many words of german there", "de", "src0") for i in range(2, 40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.select_mix(docs)
+    assert got.columns == docs.columns
+    assert [r["doc_id"] for r in got.collect()].count(1) == mixing.MAX_EPOCHS
+
+
 def test_mixing_odd(odd, empty):
     out = mixing.select_mix(odd, budget_share=1.0)
     assert out.columns == odd.columns
