@@ -123,15 +123,23 @@ def tcp_step(state: Column, row: Column) -> Column:
     )
 
 
-def tcp_state(flows: DataFrame, timeout_us: int, chunk: int = 4096) -> DataFrame:
-    """The state machine of each session: state, handshake and round trip, by an ordered fold.
+def tcp_state(flows: DataFrame, timeout_us: int) -> DataFrame:
+    """The state machine of each session: state, handshake and round trip, by an ordered fold of the few packets that matter.
 
-    A packet leaves a state alone unless it resets, finishes, or finds the connection opening, so only those packets and the
-    first ``chunk`` of a session can matter to the handshake; the fold's array holds them and no others."""
+    Those are the first packet that leaves SYN_SENT and the forward SYN last before it, the first forward ACK after it, the
+    first finish each way (flags), and the first and last of resets and finishes: the first ends the opening, and the state
+    after the last depends on it and on those flags alone. Any other packet leaves everything as it is or is overwritten."""
     rows = with_sessions(flows.where("protocol = 'TCP'"), timeout_us)
-    matters = (F.col("place") <= chunk) | F.col("rst") | F.col("fin")
+    fwd, syn, ack, fin, rst = (F.col(c) for c in ("forward", "syn", "ack", "fin", "rst"))
+    ends = rst | fin
+    leaves = ends | ~syn | (~fwd & ack)
+    before = Window.partitionBy(*KEYS, "session").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_left", F.coalesce(F.max(F.when(leaves, True)).over(before), F.lit(False)))
     packet = F.struct("place", "forward", "syn", "ack", "fin", "rst", "ts_us")
-    lists = rows.groupBy(*KEYS, "session").agg(F.count("*").alias("packets"), F.array_sort(F.collect_list(F.when(matters, packet))).alias("p"))
+    first = lambda c: F.min(F.when(c, packet))
+    last = lambda c: F.max(F.when(c, packet))
+    kept = [first(leaves), last(fwd & syn & ~ack & ~F.col("_left")), first(F.col("_left") & fwd & ack & ~syn & ~ends), first(fin & ~rst & fwd), first(fin & ~rst & ~fwd), first(ends), last(ends)]
+    lists = rows.groupBy(*KEYS, "session").agg(F.count("*").alias("packets"), F.array_sort(F.array_distinct(F.array_compact(F.array(*kept)))).alias("p"))
     start = F.struct(F.lit("SYN_SENT").alias("state"), F.lit(False).alias("fwd_fin"), F.lit(False).alias("rev_fin"), F.lit(None).cast("long").alias("syn_us"), F.lit(False).alias("handshake"), F.lit(None).cast("double").alias("rtt_ms"))
     folded = lists.withColumn("s", F.aggregate("p", start, tcp_step))
     return folded.select(*KEYS, "session", "packets", F.col("s.state").alias("state"), F.col("s.handshake").alias("handshake"), F.col("s.rtt_ms").alias("rtt_ms"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,29 @@ def test_midstream_and_half_open(spark):
     assert X.tcp_state(flows(spark, flow(1, 1, ack=True)), 30 * SEC).first()["state"] == "MIDSTREAM_ESTABLISHED"
 
 
+def test_tcp_state_of_many_retries(spark):
+    n = 5000
+    back = {"src": "203.0.113.1", "sport": 443, "dst": "10.0.0.1", "dport": 4000}
+    rows = [*[flow(i, i / 100, syn=True) for i in range(n)], flow(n, 50, syn=True, ack=True, **back), flow(n + 1, 50.01, ack=True)]
+    found = X.tcp_state(flows(spark, *rows), 30 * SEC).first()
+    assert (found["packets"], found["state"], found["handshake"], found["rtt_ms"]) == (n + 2, "ESTABLISHED", True, pytest.approx(20.0))
+
+
+def test_tcp_state_equals_the_fold_of_all_packets(spark):
+    draw, back = random.Random(3), {"src": "203.0.113.1", "sport": 443, "dst": "10.0.0.1"}
+    rows = []
+    for port in range(300):
+        for i in range(draw.randint(1, 12)):
+            flags = {f: draw.random() < p for f, p in (("syn", 0.6), ("ack", 0.4), ("fin", 0.12), ("rst", 0.05))}
+            rows.append(flow(len(rows), i, dport=port + 1, **flags) if draw.random() < 0.5 or not i else flow(len(rows), i, **(back | {"sport": port + 1}), dport=4000, **flags))
+    data = flows(spark, *rows)
+    shown = lambda df: sorted(map(str, df.select(*X.KEYS, "session", "packets", "state", "handshake", "rtt_ms").collect()))
+    packet = F.struct("place", "forward", "syn", "ack", "fin", "rst", "ts_us")
+    start = F.struct(F.lit("SYN_SENT").alias("state"), F.lit(False).alias("fwd_fin"), F.lit(False).alias("rev_fin"), F.lit(None).cast("long").alias("syn_us"), F.lit(False).alias("handshake"), F.lit(None).cast("double").alias("rtt_ms"))
+    whole = X.with_sessions(data, 30 * SEC).groupBy(*X.KEYS, "session").agg(F.count("*").alias("packets"), F.array_sort(F.collect_list(packet)).alias("p"))
+    assert shown(X.tcp_state(data, 30 * SEC)) == shown(whole.withColumn("s", F.aggregate("p", start, X.tcp_step)).select("*", "s.*"))
+
+
 def test_duplicates_and_late_packets(spark):
     again = flows(spark, flow(1, 1, seq=2000, payload=500), flow(2, 2, seq=2000, payload=500))
     assert X.tcp_duplicates(again, 30 * SEC).first()["duplicates"] == 1
