@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from ..functions.scalars import ip_to_long
 from ..operators import networks as N, periodicity as P, windows as W
@@ -43,8 +43,6 @@ def read_alerts(spark, sf_dir):
 
 @query("WITH h AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS domain FROM pages) SELECT CAST(row_number() OVER (ORDER BY domain) AS INTEGER) AS rank, domain, lower(split_part(domain, '.', 1)) AS label FROM h WHERE domain <> ''")
 def read_domain_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
     from .scalars import hosts
 
     path = new_path(spark, "rank")
@@ -165,13 +163,21 @@ def _little(value: Column | int, size: int) -> Column:
     return F.concat(*[F.substring(_be(value, size), i, 1) for i in range(size, 0, -1)])
 
 
+CAPTURE_EVENTS = 4096
+
+
 @query(duck(" SELECT dst_ip AS capture, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) - 1 AS seq, ts_us, CAST(1 AS INTEGER) AS linktype FROM fv"))
-def capture_frames(spark, sf_dir):
+def capture_frames(spark, sf_dir, events=CAPTURE_EVENTS):
+    """Frames of files of at most ``events`` flows, one for each destination and range of event_id; places go on from file to file."""
     head = F.concat(_be(0xD4C3B2A1, 4), _be(0, 16), _little(1, 4))
     record = F.concat(_little(F.floor(F.col("ts_us") / 1_000_000), 4), _little(F.col("ts_us") % 1_000_000, 4), _little(F.length("frame"), 4), _little(F.length("frame"), 4), F.col("frame"))
-    listed = F.array_sort(F.collect_list(F.struct("seq", record.alias("r"))))
-    content = frames(spark, sf_dir).groupBy("capture").agg(listed.alias("l")).select("capture", F.aggregate("l", head, lambda a, x: F.concat(a, x["r"])).alias("content"))
-    return C.split_captures(content).select("capture", "seq", "ts_us", "linktype")
+    rows = frames(spark, sf_dir).withColumn("part", F.floor(F.col("seq") / events)).withColumn("file", F.concat_ws("/", "capture", F.col("part").cast("string")))
+    order = Window.partitionBy("capture").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("capture", "part", "file").agg(F.count("*").alias("n")).select("file", F.col("capture").alias("name"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex(record).alias("r")))), lambda x: x["r"])
+    content = rows.groupBy("file").agg(F.concat(head, F.unhex(F.array_join(listed, ""))).alias("content"))
+    found = C.split_captures(content.withColumnRenamed("file", "capture")).withColumnRenamed("capture", "file").join(files, "file")
+    return found.select(F.col("name").alias("capture"), (F.col("before") + F.col("seq")).alias("seq"), "ts_us", "linktype")
 
 
 @query(duck(""" SELECT event_id AS seq, CASE WHEN event_id % 31 = 30 THEN 'no_ip' WHEN event_id % 29 = 28 THEN 'fragment' ELSE 'ok' END AS status, CASE WHEN o THEN src_ip END AS src_ip, CASE WHEN o THEN dst_port END AS dst_port, CASE WHEN o THEN protocol END AS l4_proto,

@@ -1,8 +1,9 @@
 """Every registered query of the reference operators against its SQL, on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from skeinflow.catalog import ORACLE_SQL, QUERIES
+from skeinflow.catalog import ORACLE_SQL, QUERIES, sources
 
 from .comparing import assert_equal, database
 
@@ -24,6 +25,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
 
 
+def test_capture_files_are_bounded(spark, db, monkeypatch):
+    sizes, split = [], sources.C.split_captures
+    monkeypatch.setattr(sources.C, "split_captures", lambda c: sizes.append(c.agg(F.max(F.length("content"))).first()[0]) or split(c))
+    assert_equal(sources.capture_frames(spark, SF, 16).toPandas(), db.execute(ORACLE_SQL["capture_frames"]).df())
+    assert sizes[0] <= 16 * 500
+
+
 def test_entry(spark):
     import __spark_entry__
 
