@@ -205,6 +205,13 @@ def bpe_decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
+def digests(vocabulary: Vocabulary, text: str | None) -> tuple[int, str, str]:
+    """The number of ids of a text, and the digests of the ids and of what they decode to."""
+    ids = " ".join(vocabulary.encode(text or "")[0])
+    numbers = [*map(int, ids.split(" "))] if ids else []
+    return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(vocabulary.decode(numbers).encode()).hexdigest()
+
+
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: digests of the decimal ids joined by one space and of
     the decoded text, made where the ids are, so that neither leaves its task."""
@@ -215,11 +222,8 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():
-                ids, tokens = vocabulary.encode(text or "")
-                ids, tokens = " ".join(ids), " ".join(tokens)
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_text.append(hashlib.sha256(tokens.encode()).hexdigest())
+                for column, value in zip((counts, of_ids, of_text), digests(vocabulary, text)):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -38,6 +38,12 @@ def test_bpe_equals_library(documents, odd, empty):
         check_bpe(docs)
 
 
+def test_bpe_digests_decode_the_ids(monkeypatch):
+    monkeypatch.setattr(OWN, "decode", lambda ids: f"{len(ids)} ids", raising=False)
+    n, _, text = bpe.digests(OWN, "some words of a text")
+    assert n > 0 and text == sha(f"{n} ids")
+
+
 def test_bpe_ids_and_round_trip(documents):
     rows = bpe.bpe_encode(documents.limit(20), PATH)
     assert rows.columns == [*documents.columns, "ids"]
