@@ -57,7 +57,7 @@ FLOOR = -600.0  # of the logarithm of a known word's spelling, as a double holds
 
 #: Marks with a class of their own.
 MARKS = ".,;:!?'\"-|$%&*#@/()_"
-SPACE, NEWLINE, REPEATED, OTHER = 29, 30, 62, 63
+SPACE, NEWLINE, OTHER = 29, 30, 63
 
 
 @lru_cache(1)
@@ -84,17 +84,21 @@ def ngrams(text: str) -> np.ndarray:
     """One n-gram for each character, the newest symbol lowest."""
     points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
     codes = np.concatenate([np.full(ORDER - 1, NEWLINE), class_table()[points]])
-    blank = (codes == SPACE) | (codes == NEWLINE)
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    words = text.lower().split()
-    if len(words) == len(starts):
-        codes[starts[1:][np.fromiter(map(str.__eq__, words, words[1:]), bool, max(0, len(words) - 1))]] = REPEATED
     grams = codes[ORDER - 1 :].copy()
     for i in range(1, ORDER):
         grams += codes[ORDER - 1 - i : len(codes) - i] * CLASSES**i
     return grams
 
 
+def _ngrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``ngrams`` of each text, one after the other, and where each begins; no text is empty."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + ORDER - 1) - (ORDER - 1)
+    own = np.ones(ends[-1], bool)
+    own[(ends[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
+    return ngrams(("\n" * (ORDER - 1)).join(texts))[own], np.cumsum(sizes) - sizes
+
+
 def _by_language(batch: pa.RecordBatch):
     """(language, texts) of a batch of (lang, text)."""
     groups: dict[str, list[str]] = {}
@@ -112,7 +116,7 @@ def _count(batches):
     for batch in batches:
         for lang, texts in _by_language(batch):
             for at in range(0, len(texts), 500):
-                yield _gram_batch(lang, *np.unique(np.concatenate([ngrams(t) for t in texts[at : at + 500]]), return_counts=True))
+                yield _gram_batch(lang, *np.unique(_ngrams_of(texts[at : at + 500])[0], return_counts=True))
 
 
 def _present(batches):
@@ -121,8 +125,8 @@ def _present(batches):
     for batch in batches:
         for lang, texts in _by_language(batch):
             flags = np.zeros(CLASSES**ORDER, bool)
-            for t in texts:
-                flags[ngrams(t)] = True
+            for at in range(0, len(texts), 500):
+                flags[_ngrams_of(texts[at : at + 500])[0]] = True
             found[lang] = np.union1d(found.get(lang, np.empty(0, np.int64)), np.flatnonzero(flags))
     for lang, grams in found.items():
         yield _gram_batch(lang, grams, np.ones(len(grams), np.int64))
@@ -257,10 +261,18 @@ def _with_table(docs: DataFrame, scores: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
-                keys, logp = spread.value.get(lang, (None, None))
-                out.append(-float(logp[np.searchsorted(keys, ngrams(text))].mean(dtype=np.float64)) if text and keys is not None else None)
+            out, places = [None] * batch.num_rows, {}
+            for place, (lang, text) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist())):
+                if text and lang in spread.value:
+                    places.setdefault(lang, []).append((place, text))
+            for lang, found in places.items():
+                keys, logp = spread.value[lang]
+                for at in range(0, len(found), 500):
+                    part = found[at : at + 500]
+                    grams, starts = _ngrams_of([t for _, t in part])
+                    sums = np.add.reduceat(logp[np.searchsorted(keys, grams)].astype(np.float64), starts)
+                    for (place, text), total in zip(part, sums.tolist()):
+                        out[place] = -total / len(text)
             yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_lang", "_text")), pa.array(out, pa.float64())], names)
 
     rows = docs.withColumn("_lang", _language(docs)).withColumn("_text", F.col("text").cast("string"))
