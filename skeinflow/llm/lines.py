@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are what newlines separate; blank lines (spaces, tabs and carriage returns only) take no part and stay. A line goes if
-the same text stood earlier, or, for lines of ``MIN_NEAR_CHARS`` characters or more, if a text within one edit (a character
+the same text stood earlier, or, for lines of ``min_near`` characters or more, if a text within one edit (a character
 inserted, deleted or replaced) has its first place earlier. Places are in order of (doc_id, line number), nulls
 first.
 
@@ -25,12 +25,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .filters import only_keys
+from .filters import only_keys, split_by_keys
 from .store import settle
 
 MAX_EDITS = 1
 MIN_NEAR_CHARS = 20
 SEGMENTS = 32
+HOT_SHARE = 1000
+SALTS = 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -60,6 +62,17 @@ def _hash_without(m: Column, j: Column, segments: int) -> Column:
     return F.xxhash64(m, j, F.substring("line", F.lit(1), left), F.substring("line", n - right + 1, right))
 
 
+def _hashes_without(m: Column, segments: int) -> Column:
+    """For each segment of ``line`` (of length ``n``), cut for the length m, a hash of the others: those before it counted from
+    the left and those after it from the right. Every segment is read once from either end; the rest is XOR of their hashes."""
+    cut = lambda j: F.floor(m * j / segments).cast("int")
+    part = lambda j, shift: F.xxhash64(m, j, F.substring("line", shift + cut(j) + 1, cut(j + 1) - cut(j)))
+    each = lambda shift: F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda j: part(j, shift))
+    sums = lambda parts: F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+    before, after = (F.slice(sums(x), 1, segments) for x in (each(F.lit(0)), F.reverse(each(F.col("n") - m))))
+    return F.zip_with(before, F.reverse(after), lambda x, y: x.bitwiseXOR(y))
+
+
 def _sharing(hashes: DataFrame) -> DataFrame:
     """(p, i): the place i in ``hashes`` of what a row (p, hashes) shares with another row."""
     each = hashes.select("p", F.posexplode("hashes").alias("i", "hash"))
@@ -67,13 +80,12 @@ def _sharing(hashes: DataFrame) -> DataFrame:
     return each.join(shared.select("hash"), "hash", "left_semi").select("p", "i")
 
 
-def _first_places(docs: DataFrame) -> DataFrame:
-    """(key, first, many, h0..h3) of the distinct lines: their first place, whether they have more, and their halves' hashes."""
-    near = F.length("line") >= MIN_NEAR_CHARS
+def _first_places(docs: DataFrame, min_near: int) -> DataFrame:
+    """(key, first, n, h0..h3) of the distinct lines: their first place, how often they stand, and their halves' hashes."""
+    near = F.length("line") >= min_near
     halves = [F.when(near, _hash_without(F.length("line") - i // 2, F.lit(i % 2), 2)).alias(f"h{i}") for i in range(4)]
     rows = _lines(docs).select(_key().alias("key"), _place().alias("place"), *halves)
-    out = rows.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
-    return out.select("key", "first", (F.col("first") < F.col("last")).alias("many"), *[f"h{i}" for i in range(4)])
+    return rows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
 
 
 def _texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
@@ -87,16 +99,18 @@ def _texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def _variants() -> Column:
     """(hash, at) of the line (at 0), and of the texts that lack the character at a place of the segments ``parts``, where
-    an edit may be: part i of length n - i div s is segment i mod s."""
-    n = F.length("line")
+    an edit may be: part i of length n - i div s is segment i mod s. The hash has 128 bits, as the least of those that share it
+    stands for all."""
+    n = F.col("n")
 
     def places(i: Column) -> Column:
         m, j = n - F.floor(i / SEGMENTS).cast("int"), i % SEGMENTS
         return F.sequence(F.floor(m * j / SEGMENTS).cast("int") + 1, F.least(n, F.floor(m * (j + 1) / SEGMENTS).cast("int") + 1))
 
     at = F.array_distinct(F.flatten(F.transform("parts", places)))
-    shorter = F.transform(at, lambda i: F.struct(F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))).alias("hash"), i.alias("at")))
-    return F.concat(F.array(F.struct(F.xxhash64("line").alias("hash"), F.lit(0).alias("at"))), shorter)
+    digest = lambda text: F.unhex(F.md5(text)).alias("hash")
+    shorter = F.transform(at, lambda i: F.struct(digest(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))), i.alias("at")))
+    return F.concat(F.array(F.struct(digest(F.col("line")), F.lit(0).alias("at"))), shorter)
 
 
 def near_later(lines: DataFrame) -> DataFrame:
@@ -111,31 +125,43 @@ def near_later(lines: DataFrame) -> DataFrame:
     return met.join(lines, "p").join(texts, "partner").where(F.levenshtein("line", "other", MAX_EDITS).between(0, MAX_EDITS)).select("p").distinct()
 
 
-def line_drops(docs: DataFrame) -> DataFrame:
+def line_drops(docs: DataFrame, min_near: int = MIN_NEAR_CHARS) -> DataFrame:
     """(d, h, drop): for each document, by id and text hash, the numbers of the lines that go."""
-    keys = settle(_first_places(docs), "lines")
+    keys = settle(_first_places(docs, min_near), "lines")
     halves = keys.where("h0 is not null").select(F.struct("first", "key").alias("p"), F.array("h0", "h1", "h2", "h3").alias("hashes"))
-    left = settle(_texts(docs, settle(_sharing(halves).select("p").distinct(), "sharing")), "texts")
-    each = F.transform(F.sequence(F.lit(0), F.lit(2 * SEGMENTS - 1)), lambda i: _hash_without(F.length("line") - F.floor(i / SEGMENTS).cast("int"), i % SEGMENTS, SEGMENTS))
-    parts = _sharing(left.select("p", each.alias("hashes"))).groupBy("p").agg(F.collect_set("i").alias("parts"))
+    left = settle(_texts(docs, settle(_sharing(halves).select("p").distinct(), "sharing")).withColumn("n", F.length("line")), "texts")
+    each = F.concat(*(_hashes_without(F.col("n") - i, SEGMENTS) for i in (0, 1)))
+    parts = _sharing(settle(left.select("p", each.alias("hashes")), "hashes")).groupBy("p").agg(F.collect_set("i").alias("parts"))
     near = near_later(settle(left.join(parts, "p"), "suspects")).select(F.col("p.key").alias("near_key"))
-    marked = keys.join(near, F.col("key") == F.col("near_key"), "left").where("many or near_key is not null")
-    marked = marked.select("key", "first", F.col("near_key").isNotNull().alias("near"))
-    gone = _lines(docs).select(_key().alias("key"), "d", "h", "pos").join(marked, "key").where(F.col("near") | (_place() != F.col("first")))
+    marked = keys.join(near, F.col("key") == F.col("near_key"), "left").where("n > 1 or near_key is not null")
+    marked = settle(marked.select("key", "first", "n", F.col("near_key").isNotNull().alias("near")), "marked")
+    # lines that are over a thousandth of all, so at most HOT_SHARE of them, are dealt out over SALTS tasks
+    hot = marked.join(F.broadcast(keys.agg(F.sum("n").alias("all"))), F.col("n") * HOT_SHARE > F.col("all")).select(F.col("key").alias("hot_key"))
+    salts = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = marked.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left").select("key", F.explode(salts).alias("salt"), "first", "near")
+    salt = F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("d", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
+    lines = _lines(docs).select(_key().alias("key"), "d", "h", "pos").join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left").withColumn("salt", salt)
+    gone = lines.join(salted, ["key", "salt"]).where(F.col("near") | (_place() != F.col("first")))
     return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns it had, ``text`` without the lines that go, and ``n_lines`` and ``n_dropped`` after them."""
-    drops = line_drops(docs).select(F.col("d").alias("_drop_d"), F.col("h").alias("_drop_h"), F.col("drop").alias("_drop"))
-    named = docs.drop("n_lines", "n_dropped").withColumn("_d", _id(F.col("doc_id"))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows = named.join(drops, (F.col("_d") == F.col("_drop_d")) & (F.col("_h") == F.col("_drop_h")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")
-    rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    rows = rows.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    return rows.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest)).drop("_d", "_h", "_drop_d", "_drop_h", "_drop")
+def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR_CHARS) -> DataFrame:
+    """``docs`` with the columns it had, ``text`` without the lines that go, and ``n_lines`` and ``n_dropped`` after them.
+
+    Documents that keep all their lines, by the bitmap, stay where they are."""
+    drops = settle(line_drops(docs, min_near), "drops")
+    text = F.col("text").cast("string")
+    named = docs.drop("n_lines", "n_dropped").withColumn("_d", _id(F.col("doc_id"))).withColumn("_h", F.xxhash64(text))
+    named = named.withColumn("_n", F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
+    some, whole = split_by_keys(named, drops, F.xxhash64("_d", "_h"), F.xxhash64("d", "h"))
+    gone = drops.select(F.col("d").alias("_drop_d"), F.col("h").alias("_drop_h"), F.col("drop").alias("_drop"))
+    some = some.join(gone, (F.col("_d") == F.col("_drop_d")) & (F.col("_h") == F.col("_drop_h")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), "_drop")
+    # the text is split once and bound to a name; a split inside the inner function would run for every line
+    rest = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))[0]
+    some = some.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return some.select(*own, F.col("_n").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")).unionAll(whole.select(*own, F.col("_n").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
 
 
 #: The same for DuckDB, where ids are unique: every pair of distinct lines with lengths at most one apart is compared.

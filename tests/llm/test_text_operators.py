@@ -164,6 +164,13 @@ def test_lines_odd(odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_a_long_document(spark):
+    texts = [f"line {i} of a document that has very many of them" if i % 2 else "a line that stands again and again" for i in range(50_000)]
+    docs = spark.createDataFrame([(1, "\n".join(texts)), (2, "a line that stands again and again")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(docs, min_near=1_000).collect()}
+    assert got[1] == ("\n".join([texts[0], *texts[1::2]]), 50_000, 24_999) and got[2] == ("", 1, 1)
+
+
 def test_mixing_equals_sql(spark):
     assert_equal(queries.op10_mixing(spark, SF).toPandas(), database(SF).execute(mixing.ORACLE).df())
 
