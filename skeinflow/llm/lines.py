@@ -37,8 +37,10 @@ SALTS = 64
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(d, h, pos, line) of every line that is not blank; d is the doc_id, or the smallest long where it is null."""
-    rows = docs.select(_id(F.col("doc_id")).alias("d"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.select("d", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    text = F.col("text").cast("string")
+    # the hash is made below the generator, once for each text
+    rows = docs.select(_id(F.col("doc_id")).alias("d"), text.alias("text"), F.xxhash64(text).alias("h")).where("text is not null")
+    rows = rows.select("d", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.where("trim(LEADING ' \\t\\r' FROM line) <> ''")
 
 
