@@ -1,383 +1,556 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of the words of trusted text gives each document's perplexity,
-and a document goes if that is far above what its language's trusted documents have.
-
-Words are what stands between blanks, as written; ideographs and kana are words of their own. A text is its words between two
-starts and an end, with a mark before a word that repeats the one before it, and three of these are an n-gram. A word is a 64-bit digest of language and word, so nothing is folded into
-classes and the counts grow with the corpus.
-
-Counts. Four fifths of the trusted documents, by a hash of their id, give n-gram counts, pre-aggregated in the tasks and
-summed by n-gram. Lower orders have continuation counts. Discounts come from the numbers of n-grams seen once to four times;
-each order's probabilities are a join of its counts with its contexts' totals and with the order below.
-
-Unknown words. Below the order of single words is a Kneser-Ney model of characters, trained on the distinct words of those
-documents: streams of 64 classes (a-z, upper case, digits, marks, folded other letters), of which four are an n-gram. It spells
-the distinct words of the documents, and the words' orders interpolate with what it gives. Up to ``TABLE_ROWS`` rows of its
-scores are a broadcast table; beyond that they are joined.
-
-Scores. The n-grams of every document are joined with the orders from the highest down, each that misses taking the context's
-back-off weight, and their logarithms are summed by document.
-
-Thresholds. By language, over the other fifth of the trusted documents: median + ``WIDTH`` * (the ``QUANTILE`` quantile -
-median), and at least ``MARGIN`` above the median, in nats a character. A text of n characters shows n / (n + ``SHORT_CHARS``)
-of its distance from the median, as a few characters prove little. Every document is scored on its whole text.
-
-Defined results: documents with a null or empty text, and those in a language without trusted text, have no perplexity and
-stay; a null language is a language; a null doc_id is scored like any other but is never trusted; repeated rows are scored
-alike; an empty table gives an empty table; other columns pass through.
+and a document goes if that is above a quantile of what its language's trusted documents have.
+
+Tokens. Words are what stands between blanks, as written; ideographs and kana are words of their own. The vocabulary is the
+``VOCABULARY`` most frequent pairs of language and word in the training text. Each language has three tokens more: the boundary
+before (twice) and after a text, any other word, and a mark before a word that repeats the last; what the discounts of single
+words leave is theirs. No word is lost by that: what the class of other words leaves open is the spelling, which a model of
+characters adds (Kneser-Ney too, over the ``LETTERS`` most frequent characters of the language and one class for the rest). It
+learns from the training words that stand once or are not in the vocabulary.
+The numbers of bigrams and trigrams grow with the corpus without a bound; what is broadcast is bounded by the vocabulary.
+
+Counts. Four fifths of the trusted documents, by a hash of their id, are the training text. Tasks count trigrams by blocks of
+texts and send them to shards by their middle word, so a trigram, its context, the bigram that it ends on and that one's context
+meet in one shard. Words that are over a ``HOT``-th of the training text are dealt out by the word before, too; their bigrams
+(``HOT`` times the vocabulary at most) are summed over the shards and broadcast. The shards' counts of counts give the
+discounts, and the numbers of words that each word follows give the single words' probabilities.
+
+Scores. The trigrams of every document go to the same shards, packed by blocks (sorted, as differences, compressed), with their
+documents and whether those train. A shard counts what trains, joins it by sorted search with all trigrams, and returns the sum of
+negative logarithms of each document, which are added up by document as multiples of 2^-24, in any order with the same result.
+
+Thresholds. A text of n characters is judged by (its nats a character - the median) * n / (n + ``SHORT_CHARS``), as a few
+characters prove little. The limit is the ``QUANTILE`` quantile of that over the other fifth of the language's trusted
+documents. Every document is scored on its whole text.
+
+Which documents are trusted is a join with the labels, broadcast up to ``BROADCAST_IDS`` ids after counting them; the results
+are the same.
+
+Defined results: documents with a null or empty text, and those in a language without training text, have no perplexity and
+stay; a null language is a language; a null doc_id is scored like any other but is never trusted; an id that labels call both
+good and bad is trusted; repeated rows are scored alike; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-from hashlib import blake2b
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .filters import only_keys
-from .store import settle
+from .store import discard, settle
 
-ORDER = 4
-CLASSES = 64
 FOLDS = 5
-QUANTILE = 0.95
-WIDTH = 4.0
-MARGIN = 0.75
-SHORT_CHARS = 32
-TABLE_ROWS = 8_000_000
+QUANTILE = 0.99
+SHORT_CHARS = 64
+VOCABULARY = 1 << 17
+LETTERS = 94
+HOT = 64
+BLOCK_WORDS = 1 << 20
+SHARD_CHARS = 32_000_000
+BROADCAST_IDS = 2_000_000
+SCALE = 1 << 24
 NONE = "\x00"  # stands for a null language
-WORDS = ["w1", "w2", "w3"]
-START, END, AGAIN = "\n", "\r", "\t"  # no words
+BITS = 18  # of a token's number
+MASK = (1 << BITS) - 1
+BOUNDARY, OTHER, REPEAT = "\n", "\r", "\t"  # no words
 #: Ideographs, kana and hangul one by one, and runs of anything else but blanks.
-_SINGLE = "\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff"
+_SINGLE = "⺀-鿿가-힣豈-﫿\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_SINGLE}]|[^\\s{_SINGLE}]+")
-FLOOR = -600.0  # of the logarithm of a known word's spelling, as a double holds no less
-
-#: Marks with a class of their own.
-MARKS = ".,;:!?'\"-|$%&*#@/()_"
-SPACE, NEWLINE, OTHER = 29, 30, 63
-
-
-@lru_cache(1)
-def class_table() -> np.ndarray:
-    def of(c: str) -> int:
-        if "a" <= c <= "z":
-            return ord(c) - 96
-        if "A" <= c <= "Z":
-            return 27
-        if c.isdigit():
-            return 28
-        if c.isspace():
-            return NEWLINE if c in "\n\r" else SPACE
-        if c in MARKS:
-            return 31 + MARKS.index(c)
-        if c.isalpha():
-            return 27 if c.isupper() else 51 + ord(c) % 11
-        return OTHER
-
-    return np.array([of(chr(i)) for i in range(0x10000)], np.int64)
-
-
-def ngrams(text: str) -> np.ndarray:
-    """One n-gram for each character, the newest symbol lowest."""
-    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    codes = np.concatenate([np.full(ORDER - 1, NEWLINE), class_table()[points]])
-    grams = codes[ORDER - 1 :].copy()
-    for i in range(1, ORDER):
-        grams += codes[ORDER - 1 - i : len(codes) - i] * CLASSES**i
-    return grams
-
-
-def _ngrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``ngrams`` of each text, one after the other, and where each begins; no text is empty."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + ORDER - 1) - (ORDER - 1)
-    own = np.ones(ends[-1], bool)
-    own[(ends[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
-    return ngrams(("\n" * (ORDER - 1)).join(texts))[own], np.cumsum(sizes) - sizes
-
-
-def _by_language(batch: pa.RecordBatch):
-    """(language, texts) of a batch of (lang, text)."""
-    groups: dict[str, list[str]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if text:
-            groups.setdefault(lang, []).append(text)
-    return groups.items()
-
-
-def _gram_batch(lang: str, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-
-
-def _count(batches):
-    for batch in batches:
-        for lang, texts in _by_language(batch):
-            for at in range(0, len(texts), 500):
-                yield _gram_batch(lang, *np.unique(_ngrams_of(texts[at : at + 500])[0], return_counts=True))
 
 
-def _present(batches):
-    """The distinct n-grams of a task, by language; 16 MB of flags for one language at a time and 8 bytes for each found."""
-    found: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, texts in _by_language(batch):
-            flags = np.zeros(CLASSES**ORDER, bool)
-            for at in range(0, len(texts), 500):
-                flags[_ngrams_of(texts[at : at + 500])[0]] = True
-            found[lang] = np.union1d(found.get(lang, np.empty(0, np.int64)), np.flatnonzero(flags))
-    for lang, grams in found.items():
-        yield _gram_batch(lang, grams, np.ones(len(grams), np.int64))
+def words(text: str) -> list[str]:
+    return text.split() if text.isascii() else _WORD.findall(text)
 
 
-class _Keys(dict):
-    """The 64-bit key of each word of a language; forgets when it is large."""
+# --- discounts -------------------------------------------------------------------------------------------------------
 
-    def __init__(self, lang: str):
-        self.lang = lang.encode("utf-8", "surrogatepass") + b"\x00"
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        key = int.from_bytes(blake2b(self.lang + word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        self[word] = key
-        return key
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and 3 or more, from the numbers of n-grams seen once to four times."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    some = lambda a, b, i: min(i - 0.01, max(i - (i + 1) * y * b / a, 0.01)) if a and y else 0.5
+    return np.array([0.0, some(n1, n2, 1), some(n2, n3, 2), some(n3, n4, 3)])
 
 
-def words(text: str) -> list[str]:
-    return text.split() if text.isascii() else _WORD.findall(text)
+def _times(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5]
 
 
-def _vocabulary(batches):
-    """(lang, word, w) of (lang, text), distinct within some 200 texts."""
-    known: dict[str, _Keys] = {}
-    for batch in batches:
-        for lang, texts in _by_language(batch):
-            keys = known.setdefault(lang, _Keys(lang))
-            for at in range(0, len(texts), 200):
-                found = list(set().union(*map(words, texts[at : at + 200])))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(list(map(keys.__getitem__, found)), pa.int64())], ["lang", "word", "w"])
+# --- spelling of words outside the vocabulary ------------------------------------------------------------------------
 
 
-def _ends(batches):
-    """(lang, word, w) of (lang, word) where the word is given whole."""
-    for batch in batches:
-        keys = [_Keys(lang)[word] for lang, word in zip(*(c.to_pylist() for c in batch.columns))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["lang", "word", "w"])
+def spelling(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The negative logarithms of character trigrams, from the counts of those in ``codes``; ``size`` classes, 0 the end."""
+    c3 = np.zeros(size**3)
+    c3[codes] = counts
+    c3 = c3.reshape(size, size, size)
+    c2 = (c3 > 0).sum(0).astype(float)
+    c1 = (c2 > 0).sum(0).astype(float)
+    p = np.full(size, 1.0 / size)
+    for c in (c1, c2, c3):
+        d = discounts(*_times(c.ravel()))[np.minimum(c, 3).astype(int)]
+        total = c.sum(-1, keepdims=True)
+        lower = np.where(total > 0, d.sum(-1, keepdims=True) / np.maximum(total, 1), 1.0)
+        p = (c - d) / np.maximum(total, 1) + lower * p
+    return -np.log(p).ravel().astype(np.float32)
+
+
+def _codes(found: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The character trigrams of words, one for each character and one for the end, and where each word's begin."""
+    points = np.frombuffer(("\x00\x00" + "\x00\x00\x00".join(found) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+    classes = np.where(points == 0, 0, np.where(letters[at] == points, at + 1, LETTERS + 1))
+    size = LETTERS + 2
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
+    starts = np.cumsum(lengths) - lengths
+    own = np.arange(lengths.sum()) + np.repeat(np.arange(len(found)) * 2, lengths)
+    return (classes[own] * size + classes[own + 1]) * size + classes[own + 2], starts
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+
 
+@dataclass
+class Lexicon:
+    """Numbers of tokens; ``language`` of each number; the numbers of hot words; by language the letters and their scores."""
 
-def _word_grams(batches):
-    """(row, lang, w1, w2, w3, n, chars) of (row, lang, text): a text's distinct trigrams; its first one has its length."""
-    known: dict[str, _Keys] = {}
+    ids: dict[str, dict[str, int]]
+    language: np.ndarray
+    hot: np.ndarray
+    letters: dict[str, np.ndarray]
+    spelled: dict[str, np.ndarray]
+
+
+class _Numbers(dict):
+    """The number of each word of a language; words outside the vocabulary get negative ones until ``forget``."""
+
+    def __init__(self, lexicon: Lexicon, lang: str):
+        super().__init__(lexicon.ids[lang])
+        self.others: list[str] = []
+        self.letters, self.spelled = lexicon.letters.get(lang), lexicon.spelled.get(lang)
+
+    def __missing__(self, word: str) -> int:
+        self.others.append(word)
+        self[word] = -len(self.others)
+        return -len(self.others)
+
+    def costs(self) -> np.ndarray:
+        """The spellings of the words with the numbers -1, -2, ..."""
+        out = np.zeros(len(self.others))
+        for at in range(0, len(self.others), 50_000):
+            part = self.others[at : at + 50_000]
+            if self.letters is None:  # no other word in the training text: characters are all alike
+                out[at : at + len(part)] = [(len(w) + 1) * np.log(LETTERS + 2.0) for w in part]
+            else:
+                codes, starts = _codes(part, self.letters)
+                out[at : at + len(part)] = np.add.reduceat(self.spelled[codes].astype(np.float64), starts)
+        return out
+
+    def forget(self) -> None:
+        for word in self.others:
+            del self[word]
+        self.others = []
+
+
+@dataclass
+class Block:
+    """Trigrams of some texts: keys (middle word, word before, word), the document of each, and by document its key, its length,
+    the cost of spellings and whether it trains."""
+
+    keys: np.ndarray
+    doc: np.ndarray
+    rows: np.ndarray
+    chars: np.ndarray
+    extra: np.ndarray
+    trains: np.ndarray
+
+
+def _block(numbers: dict[str, _Numbers], held: list[tuple]) -> Block:
+    tokens, special = [], []
+    for _, lang, text, _ in held:
+        own = numbers[lang]
+        found = words(text)
+        ids = np.fromiter(map(own.__getitem__, found), np.int64, len(found))
+        edge = own[BOUNDARY]
+        tokens.append(np.concatenate([[edge, edge], ids, [edge]]))
+        special.append((own[OTHER], own[REPEAT]))
+    sizes = np.array([len(t) for t in tokens])
+    doc, ids = np.repeat(np.arange(len(held)), sizes), np.concatenate(tokens)
+    special = np.array(special)
+    first = np.cumsum(sizes) - sizes
+    predicted = np.ones(len(ids), bool)
+    predicted[first] = predicted[first + 1] = False
+    again = np.r_[False, ids[1:] == ids[:-1]] & predicted
+    extra = np.zeros(len(held))
+    names = [lang for _, lang, _, _ in held]
+    for lang in set(names):
+        costs = numbers[lang].costs()
+        if len(costs):
+            at = np.flatnonzero((ids < 0) & np.array([n == lang for n in names])[doc])
+            extra += np.bincount(doc[at], costs[-1 - ids[at]], len(held))
+        numbers[lang].forget()
+    ids, again = np.where(ids < 0, special[doc, 0], ids), np.flatnonzero(again)
+    ids, predicted, doc = np.insert(ids, again, special[doc[again], 1]), np.insert(predicted, again, True), np.insert(doc, again, doc[again])
+    at = np.flatnonzero(predicted)
+    keys = (ids[at - 1] << (2 * BITS)) | (ids[at - 2] << BITS) | ids[at]
+    order = np.argsort(keys, kind="stable")
+    return Block(keys[order], doc[at][order], np.array([h[0] for h in held], np.int64), np.array([len(h[2]) for h in held], np.int64), np.rint(extra * SCALE).astype(np.int64), np.array([h[3] for h in held], bool))
+
+
+def _blocks(batches, lexicon: Lexicon):
+    """Blocks of (row, lang, text, trains), of some ``BLOCK_WORDS`` words each."""
+    numbers = {lang: _Numbers(lexicon, lang) for lang in lexicon.ids}
+    held, size = [], 0
     for batch in batches:
-        rows = [(row, lang, text) for row, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if text]
-        for at in range(0, len(rows), 200):
-            parts, sizes = [], []
-            for _, lang, text in rows[at : at + 200]:
-                keys = known.setdefault(lang, _Keys(lang))
-                found = [START, START, *words(text), END]
-                ids = np.fromiter(map(keys.__getitem__, found), np.int64, len(found))
-                ids = np.insert(ids, np.flatnonzero(ids[3:] == ids[2:-1]) + 3, keys[AGAIN])
-                w1, w2, w3 = ids[:-2], ids[1:-1], ids[2:]
-                _, first, n = np.unique(w1 * 0x2545F4914F6CDD1D + w2 * 0x369DEA0F31A53F85 + w3, return_index=True, return_counts=True)
-                chars = np.zeros(len(n), np.int64)
-                chars[0] = len(text)
-                parts.append((w1[first], w2[first], w3[first], n, chars))
-                sizes.append(len(n))
-            named = [pa.array([r[i] for r in rows[at : at + 200]], kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i, kind in ((0, pa.int64()), (1, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*named, *(pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts))], ["row", "lang", *WORDS, "n", "chars"])
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[2] and row[1] in numbers:
+                held.append(row)
+                size += len(row[2]) // 5 + 3
+                if size >= BLOCK_WORDS:
+                    yield _block(numbers, held)
+                    held, size = [], 0
+    if held:
+        yield _block(numbers, held)
 
 
-def _language(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) if "lang" in docs.columns else F.lit(NONE)
+def shard_of(keys: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a trigram follows its middle word, and the word before that if the middle word is hot."""
+    middle = keys >> (2 * BITS)
+    mixed = middle + np.where(np.isin(middle, hot), ((keys >> BITS) & MASK) + 1, 0) * 0x1F123BB5
+    mixed = (mixed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return (mixed % np.uint64(shards)).astype(np.int32)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(_language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
+def _by_shard(keys: np.ndarray, hot: np.ndarray, shards: int):
+    """(shard, positions) for sorted keys."""
+    found = shard_of(keys, hot, shards)
+    order = np.argsort(found, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(found[order]) != 0]) if len(order) else []
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(found[order[a]]), order[a:b]
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(_language(docs), F.col("text").cast("string"))
+def pack(values: np.ndarray) -> bytes:
+    """Integers by their lowest bytes first, all first bytes before all second ones, compressed."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=3).compress(planes[: int(planes.any(1).nonzero()[0].max(initial=0)) + 1].tobytes())
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _differences(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=0)
+
+
+# --- training --------------------------------------------------------------------------------------------------------
+
+
+def _count_words(batches):
+    """(lang, word, n) of (lang, text), summed over blocks of texts."""
+    counts: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word in words(text or ""):
+                counts[lang, word] = counts.get((lang, word), 0) + 1
+        if len(counts) > 200_000:
+            yield _word_batch(counts)
+            counts = {}
+    yield _word_batch(counts)
+
 
+def _word_batch(counts: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """``_word_grams`` of texts (row, lang, text)."""
-    return texts.select("row", "lang", "text").mapInArrow(_word_grams, "row long, lang string, w1 long, w2 long, w3 long, n long, chars long")
-
-
-def _discounted(seen: DataFrame) -> DataFrame:
-    """``seen`` with ``d``, the discount of each n-gram, by language and number seen."""
-    n = F.col("n")
-    times = [F.sum((n == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    some = lambda a, b, i: F.coalesce(F.greatest(F.lit(i) - (i + 1) * y * F.try_divide(b, a), F.lit(0.01)), F.lit(0.5))
-    discounts = seen.groupBy("lang").agg(*times).select("lang", some("n1", "n2", 1).alias("d1"), some("n2", "n3", 2).alias("d2"), some("n3", "n4", 3).alias("d3"))
-    rows = seen.join(discounts, "lang").withColumn("d", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")))
-    return rows.withColumn("d", F.least("d", n))
-
-
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (lang, gram, p) of its n-grams and (lang, ctx, weight) of their contexts."""
-    by_order = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        by_order.insert(0, by_order[0].groupBy("lang", (F.col("gram") % CLASSES**order).alias("gram")).agg(F.count("*").alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for order, seen in enumerate(by_order, 1):
-        n = F.col("n")
-        rows = _discounted(seen).withColumn("ctx", F.floor(F.col("gram") / CLASSES).cast("long"))
-        contexts = settle(rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight")), "contexts")
-        rows = rows.join(contexts, ["lang", "ctx"])
-        if order == 1:
-            lower = F.lit(1.0 / CLASSES)
-        else:
-            below = out[-1][0].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            rows = rows.withColumn("suffix", F.col("gram") % CLASSES ** (order - 1)).join(below, ["lang", "suffix"])
-            lower = F.col("lower")
-        probable = settle(rows.select("lang", "gram", ((n - F.col("d")) / F.col("total") + F.col("weight") * lower).alias("p")), "probabilities")
-        out.append((probable, contexts.select("lang", "ctx", "weight")))
-    return out
-
-
-def gram_scores(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, logp) for distinct n-grams (lang, gram), by joins from the highest order down."""
-    rows = grams.withColumn("weight", F.lit(1.0)).withColumn("logp", F.lit(None).cast("double"))
-    for order in range(ORDER, 0, -1):
-        probable, contexts = model[order - 1]
-        own = F.col("gram") % CLASSES**order
-        rows = rows.withColumn("_own", own).join(probable.select("lang", F.col("gram").alias("_own"), "p"), ["lang", "_own"], "left")
-        rows = rows.withColumn("logp", F.coalesce("logp", F.log(F.col("weight") * F.col("p")))).drop("p", "_own")
-        back = contexts.select("lang", F.col("ctx").alias("_ctx"), F.col("weight").alias("_weight"))
-        rows = rows.withColumn("_ctx", F.floor(own / CLASSES).cast("long")).join(back, ["lang", "_ctx"], "left")
-        rows = rows.withColumn("weight", F.col("weight") * F.coalesce("_weight", F.lit(1.0))).drop("_ctx", "_weight")
-    return rows.select("lang", "gram", F.coalesce("logp", F.log(F.col("weight") / CLASSES)).alias("logp"))
-
-
-def _with_table(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """``docs`` with ``nats``, from a broadcast table: 12 bytes a row, ``TABLE_ROWS`` rows at most."""
-    table = {lang: (part["gram"].to_numpy(), part["logp"].to_numpy().astype(np.float32)) for lang, part in scores.orderBy("lang", "gram").toPandas().groupby("lang")}
-    spread, names = docs.sparkSession.sparkContext.broadcast(table), [*docs.columns, "nats"]
 
+def _spell_batches(letters: dict[str, np.ndarray]):
     def run(batches):
         for batch in batches:
-            out, places = [None] * batch.num_rows, {}
-            for place, (lang, text) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist())):
-                if text and lang in spread.value:
-                    places.setdefault(lang, []).append((place, text))
-            for lang, found in places.items():
-                keys, logp = spread.value[lang]
-                for at in range(0, len(found), 500):
-                    part = found[at : at + 500]
-                    grams, starts = _ngrams_of([t for _, t in part])
-                    sums = np.add.reduceat(logp[np.searchsorted(keys, grams)].astype(np.float64), starts)
-                    for (place, text), total in zip(part, sums.tolist()):
-                        out[place] = -total / len(text)
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_lang", "_text")), pa.array(out, pa.float64())], names)
-
-    rows = docs.withColumn("_lang", _language(docs)).withColumn("_text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, docs.withColumn("nats", F.lit(None).cast("double")).schema)
-
-
-def _doc_grams(batches):
+            lang = np.array(batch.column(0).to_pylist(), object)
+            for name in set(lang.tolist()):
+                part = batch.column(1).filter(pa.array(lang == name)).to_pylist()
+                codes, n = np.unique(_codes(part, letters[name])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+
+    return run
+
+
+def lexicon(training: DataFrame) -> Lexicon | None:
+    """The tokens of training texts (lang, text)."""
+    counted = settle(training.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    known = counted.orderBy(F.desc("n"), "lang", "word").limit(VOCABULARY).toPandas()  # bounded by VOCABULARY
+    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not languages:
+        return None
+    ids: dict[str, dict[str, int]] = {lang: {} for lang in languages}
+    for at, (lang, word) in enumerate(zip(known["lang"], known["word"])):
+        ids[lang][word] = at
+    after = len(known)
+    for lang in languages:
+        for word in (BOUNDARY, OTHER, REPEAT):
+            ids[lang][word] = after
+            after += 1
+    if after > MASK:
+        raise ValueError(f"{len(languages)} languages are too many for tokens of {BITS} bits")
+    language = np.zeros(after, np.int64)
+    for i, lang in enumerate(languages):
+        language[list(ids[lang].values())] = i
+    total = counted.agg(F.sum("n")).first()[0]
+    hot = np.flatnonzero(known["n"].to_numpy() * HOT > total) if len(known) else np.empty(0, np.int64)
+    # a word outside the vocabulary is one text for the spelling, however often it stands
+    least = (int(known["n"].iloc[-1]), known["lang"].iloc[-1], known["word"].iloc[-1]) if len(known) == VOCABULARY else (1, "", "")
+    n, lang, word = F.col("n"), F.col("lang"), F.col("word")
+    others = counted.where((n < least[0]) | (n == 1) | ((n == least[0]) & ((lang > least[1]) | ((lang == least[1]) & (word > least[2])))))
+    chars = others.select("lang", F.explode(F.split("word", "")).alias("c")).where("c <> ''").groupBy("lang", "c").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))
+    letters = {}
+    for lang, c in chars.withColumn("r", rank).where(F.col("r") <= LETTERS).select("lang", "c").collect():
+        if len(c) == 1:
+            letters.setdefault(lang, []).append(ord(c))
+    letters = {lang: np.array(sorted(set(found)), np.uint32) for lang, found in letters.items()}
+    codes = others.where(F.length("word") > 0).select("lang", "word").mapInArrow(_spell_batches(letters), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    spelled = {lang: spelling(part["code"].to_numpy(), part["n"].to_numpy(), LETTERS + 2) for lang, part in codes.groupby("lang")}
+    discard(counted)
+    return Lexicon(ids, language, hot.astype(np.int64), {k: v for k, v in letters.items() if k in spelled}, spelled)
+
+
+def _trigram_batches(batches, lexicon: Lexicon, shards: int):
+    """(shard, size, keys, n) of the training texts: distinct trigrams of a block and their numbers."""
+    for block in _blocks(batches, lexicon):
+        keys, n = np.unique(block.keys, return_counts=True)
+        out = [(s, len(at), pack(_differences(keys[at])), pack(n[at])) for s, at in _by_shard(keys, lexicon.hot, shards)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "size", "keys", "n"])
+
+
+def _runs(batches):
+    """(shard, its rows) of rows in order of shard; memory: one shard."""
+    held: list[dict] = []
     for batch in batches:
-        for row, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if text:
-                grams, n = np.unique(ngrams(text), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(grams), pa.binary()), pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], ["row", "lang", "gram", "n"])
-
-
-def _with_joins(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """``docs`` with ``nats``, by a join of the documents' n-grams with the scores; equal texts are one."""
-    key = F.unhex(F.md5(F.concat_ws("\x01", _language(docs), F.col("text").cast("string"))))
-    texts = docs.select(key.alias("row"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
-    grams = texts.dropDuplicates(["row"]).mapInArrow(_doc_grams, "row binary, lang string, gram long, n long")
-    nats = grams.join(scores, ["lang", "gram"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("nats"))
-    return docs.withColumn("_row", key).join(nats.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-
-
-def _spelled(vocabulary: DataFrame, train: DataFrame, table_rows: int) -> DataFrame:
-    """(lang, w, base) for words (lang, word, w): the logarithm of what the characters' model, made of the words ``train`` and
-    their ends, gives each."""
-    text = F.concat("word", F.lit("\n")).alias("text")
-    counts = train.select("lang", text).mapInArrow(_count, "lang string, gram long, n long")
-    counts = settle(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    rows = vocabulary.select("lang", text, "w")
-    grams = _texts(rows).mapInArrow(_present, "lang string, gram long, n long").select("lang", "gram").distinct()
-    scores = settle(gram_scores(grams, kneser_ney(counts)), "scores")
-    scored = _with_table if scores.count() <= table_rows else _with_joins
-    return scored(rows, scores).select("lang", "w", (-F.col("nats") * F.length("text")).alias("base"))
-
-
-def word_model(counts: DataFrame, spelled: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (its words, logp) of its n-grams and (their contexts, back, the logarithm of the weight), from
-    trigrams (lang, w1, w2, w3, n) and ``_spelled`` words; the one context of order 1 is the language."""
-    by_order = [counts]
-    for order in (2, 1):
-        by_order.insert(0, by_order[0].groupBy("lang", *WORDS[3 - order :]).agg(F.count("*").alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    lower = spelled.select(F.col("w").alias("w3"), F.exp(F.greatest("base", F.lit(FLOOR))).alias("lower"))
-    for order, seen in enumerate(by_order, 1):
-        own = WORDS[3 - order :]
-        context = own[:-1] or ["lang"]
-        rows = _discounted(seen)
-        contexts = rows.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        contexts = settle(contexts, "contexts")
-        rows = rows.join(contexts, context).join(lower, own[1:] or own)
-        probable = rows.select(*own, F.log((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("lower")).alias("logp"))
-        probable = settle(probable, "probabilities")
-        lower = probable.select(*own, F.exp("logp").alias("lower"))
-        out.append((probable, contexts.select(*context, F.log("weight").alias("back"))))
-    return out
-
-
-def single_words(vocabulary: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(w3, logp1) for ``_spelled`` words (lang, w, base), known or not."""
-    probable, whole = model[0]
-    rows = vocabulary.withColumnRenamed("w", "w3").join(whole, "lang").join(probable, "w3", "left")
-    return rows.select("w3", F.coalesce("logp", F.col("back") + F.col("base")).alias("logp1"))
-
-
-def word_scores(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]], single: DataFrame) -> DataFrame:
-    """``grams``, which have w1, w2 and w3, with ``logp`` in their place."""
-    (two, back2), (three, back3) = model[1:]
-    rows = grams.join(three.withColumnRenamed("logp", "logp3"), WORDS, "left").join(back3.withColumnRenamed("back", "back3"), ["w1", "w2"], "left").drop("w1")
-    rows = rows.join(two.withColumnRenamed("logp", "logp2"), ["w2", "w3"], "left").join(back2.withColumnRenamed("back", "back2"), "w2", "left").join(single, "w3")
-    lower = F.coalesce("logp2", F.coalesce("back2", F.lit(0.0)) + F.col("logp1"))
-    return rows.withColumn("logp", F.coalesce("logp3", F.coalesce("back3", F.lit(0.0)) + lower)).select(*[c for c in grams.columns if c not in WORDS], "logp")
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
+        for row in batch.to_pylist():
+            if held and held[0]["shard"] != row["shard"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _bigrams(trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams (middle word, word) that distinct trigrams end on, and how many words stand before them."""
+    return np.unique(((trigrams >> (2 * BITS)) << BITS) | (trigrams & MASK), return_counts=True)
+
+
+def _statistics(batches, lexicon: Lexicon):
+    """(kind, a, b, n): 3 and 2, language a: how many trigrams and bigrams are counted b times; 1: how many words stand before
+    word a; 0: how many stand before bigram a of a hot word, in this shard."""
+    for rows in _runs(batches):
+        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["size"])) for r in rows])
+        trigrams, c3 = _summed(keys, np.concatenate([unpack(r["n"], r["size"]) for r in rows]))
+        bigrams, c2 = _bigrams(trigrams)
+        is_hot = np.isin(bigrams >> BITS, lexicon.hot)
+        parts = [(np.zeros(is_hot.sum(), np.int64), bigrams[is_hot], np.zeros(is_hot.sum(), np.int64), c2[is_hot])]
+        word, n = np.unique(bigrams[~is_hot] & MASK, return_counts=True)
+        parts.append((np.ones(len(word), np.int64), word, np.zeros(len(word), np.int64), n))
+        for kind, own, counts in ((3, trigrams >> (2 * BITS), c3), (2, bigrams[~is_hot] >> BITS, c2[~is_hot])):
+            code, n = np.unique(lexicon.language[own] * 8 + np.minimum(counts, 5), return_counts=True)
+            parts.append((np.full(len(code), kind), code // 8, code % 8, n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], ["kind", "a", "b", "n"])
+
+
+@dataclass
+class Model:
+    """``lexicon``; by order and language what is taken off a count; the probability of each word alone; hot words' bigrams."""
+
+    lexicon: Lexicon
+    discount: dict[int, np.ndarray]
+    single: np.ndarray
+    hot_bigrams: np.ndarray
+    hot_counts: np.ndarray
+
+
+def train(training: DataFrame, shards: int) -> Model | None:
+    """A model of texts (row, lang, text, trains) that all train; what comes to the driver is bounded by ``HOT`` * ``VOCABULARY``."""
+    found = lexicon(training.select("lang", "text"))
+    if found is None:
+        return None
+    spread = training.sparkSession.sparkContext.broadcast(found)
+    packed = training.mapInArrow(lambda b: _trigram_batches(b, spread.value, shards), "shard int, size long, keys binary, n binary")
+    rows = to_shards(packed, shards).mapInArrow(lambda b: _statistics(b, spread.value), "kind long, a long, b long, n long")
+    rows = rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+    language, languages = found.language, len(found.ids)
+    times = {3: np.zeros((languages, 8)), 2: np.zeros((languages, 8))}
+    for kind in (2, 3):
+        part = rows[rows.kind == kind]
+        times[kind][part["a"], part["b"]] = part["n"]
+    hot = rows[rows.kind == 0].sort_values("a")
+    hot_bigrams, hot_counts = hot["a"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
+    np.add.at(times[2], (language[hot_bigrams >> BITS], np.minimum(hot_counts, 5)), 1)
+    before = np.zeros(len(language), np.int64)
+    np.add.at(before, rows.loc[rows.kind == 1, "a"].to_numpy(np.int64), rows.loc[rows.kind == 1, "n"].to_numpy(np.int64))
+    np.add.at(before, hot_bigrams & MASK, 1)
+    discount = {k: np.stack([discounts(*t[1:5]) for t in x]) for k, x in times.items()}
+    single = np.zeros(len(language))
+    for i in range(languages):
+        own = np.flatnonzero(language == i)
+        d = discounts(*_times(before[own]))[np.minimum(before[own], 3)]
+        total = before[own].sum()
+        single[own] = (before[own] - d) / max(total, 1)
+        # what the words seen leave goes to the language's last three tokens
+        single[own[-3:]] += (d.sum() / total if total else 1.0) / 3
+    return Model(found, discount, single, hot_bigrams, hot_counts)
+
+
+# --- scoring ---------------------------------------------------------------------------------------------------------
+
+
+def _contexts(context: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts of n-grams in order of them, their totals and weights, and the context of each n-gram."""
+    names, of = np.unique(context, return_inverse=True)
+    total = np.bincount(of, counts, len(names))
+    return names, total, np.bincount(of, d, len(names)) / np.maximum(total, 1), of
+
+
+def _at(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted one in sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
+def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For distinct sorted trigrams ``wanted`` of one shard, from the shard's training counts."""
+    language = model.lexicon.language
+    d3 = model.discount[3][language[trigrams >> (2 * BITS)], np.minimum(counts, 3)]
+    context3, total3, weight3, of3 = _contexts(trigrams >> BITS, counts, d3)
+    bigrams, c2 = _bigrams(trigrams)
+    if len(model.lexicon.hot):
+        cold = ~np.isin(bigrams >> BITS, model.lexicon.hot)
+        bigrams, c2 = _summed(np.concatenate([bigrams[cold], model.hot_bigrams]), np.concatenate([c2[cold], model.hot_counts]))
+    d2 = model.discount[2][language[bigrams >> BITS], np.minimum(c2, 3)]
+    context2, total2, weight2, of2 = _contexts(bigrams >> BITS, c2, d2)
+    first2 = (c2 - d2) / total2[of2]
+    first3 = (counts - d3) / total3[of3]
+
+    def scored(part: np.ndarray) -> np.ndarray:
+        middle, word = part >> (2 * BITS), part & MASK
+        at, there = _at(context2, middle)
+        p = model.single[word] * (np.where(there, weight2[at], 1.0) if len(weight2) else 1.0)
+        at, there = _at(bigrams, (middle << BITS) | word)
+        p = p + (np.where(there, first2[at], 0.0) if len(first2) else 0.0)
+        at, there = _at(context3, part >> BITS)
+        p = p * (np.where(there, weight3[at], 1.0) if len(weight3) else 1.0)
+        at, there = _at(trigrams, part)
+        return -np.log(p + (np.where(there, first3[at], 0.0) if len(first3) else 0.0))
+
+    return np.concatenate([scored(wanted[at : at + (1 << 19)]) for at in range(0, len(wanted), 1 << 19)])
+
+
+def _document_batches(batches, lexicon: Lexicon, shards: int):
+    """(shard, size, docs, keys, doc, row, trains, chars, extra): all trigrams of a block for a shard. What belongs to a
+    document itself goes with the shard of the first trigram it has in the block."""
+    names = ["shard", "size", "docs", "keys", "doc", "row", "trains", "chars", "extra"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+    for block in _blocks(batches, lexicon):
+        told, out = np.zeros(len(block.rows), bool), []
+        for shard, at in _by_shard(block.keys, lexicon.hot, shards):
+            docs, doc = np.unique(block.doc[at], return_inverse=True)
+            new = ~told[docs]
+            told[docs] = True
+            out.append((shard, len(at), len(docs), pack(_differences(block.keys[at])), pack(doc), block.rows[docs].tobytes(), np.packbits(block.trains[docs]).tobytes(), pack(block.chars[docs] * new), pack(block.extra[docs] * new)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def _score_batches(batches, model: Model):
+    """Shards of ``_document_batches`` -> (row, nats, chars) of the documents in them."""
+    for rows in _runs(batches):
+        offsets = np.cumsum([0, *(r["docs"] for r in rows)])
+        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["size"])) for r in rows])
+        doc = np.concatenate([(unpack(r["doc"], r["size"]) + o).astype(np.int32) for r, o in zip(rows, offsets)])
+        trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
+        row = np.concatenate([np.frombuffer(r["row"], np.int64) for r in rows])
+        chars, extra = (np.concatenate([unpack(r[c], r["docs"]) for r in rows]) for c in ("chars", "extra"))
+        rows.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], doc[order]
+        del order
+        first = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
+        seen = np.add.reduceat(trains[doc].astype(np.int64), first)
+        wanted = keys[first]
+        costs = np.rint(negative_logs(model, wanted[seen > 0], seen[seen > 0], wanted) * SCALE)
+        # sums of whole numbers below 2^53 are exact in doubles
+        nats = np.bincount(doc, np.repeat(costs, np.diff(np.r_[first, len(keys)])), offsets[-1]).astype(np.int64) + extra
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats), pa.array(chars)], ["row", "nats", "chars"])
+
+
+def to_shards(packed: DataFrame, shards: int) -> DataFrame:
+    """Rows with a column ``shard``, each shard in one task."""
+    return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+
+
+def document_nats(flagged: DataFrame, model: Model, shards: int) -> DataFrame:
+    """(row, nats): nats a character of texts (row, lang, text, trains); equal rows are one."""
+    context = flagged.sparkSession.sparkContext
+    tokens, spread = context.broadcast(model.lexicon), context.broadcast(model)
+    packed = flagged.mapInArrow(lambda b: _document_batches(b, tokens.value, shards), "shard int, size long, docs long, keys binary, doc binary, row binary, trains binary, chars binary, extra binary")
+    sums = to_shards(packed, shards).mapInArrow(lambda b: _score_batches(b, spread.value), "row long, nats long, chars long")
+    return sums.groupBy("row").agg((F.sum("nats") / F.lit(SCALE) / F.sum("chars")).alias("nats"))
+
+
+def _language(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) if "lang" in docs.columns else F.lit(NONE)
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(_language(docs), F.col("text").cast("string"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` with the columns ``perplexity`` (a character), ``threshold`` and ``keep`` after its own; trusted are the
     documents that ``labels`` (doc_id, quality) gives quality 1."""
     docs = docs.drop("perplexity", "threshold", "keep", "nats")
-    good = labels.where("quality = 1")
-    trusted = only_keys(docs, good, F.col("doc_id").cast("long"), F.col("doc_id").cast("long"))
-    trusted = trusted.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).alias("fold"), _row(docs).alias("row"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
-    trusted = settle(trusted, "trusted")
-
-    learned = trusted.where("fold > 0")
-    counts = settle(_grams(learned).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")), "word-counts")
-    known = counts.select("lang").distinct()
-    texts = _texts(docs).withColumn("row", _row(docs)).join(F.broadcast(known), "lang", "left_semi")
-    distinct = lambda df: df.select("lang", "text").mapInArrow(_vocabulary, "lang string, word string, w long").distinct()
-    ends = known.select("lang", F.explode(F.array(F.lit(END), F.lit(AGAIN))).alias("word")).mapInArrow(_ends, "lang string, word string, w long")
-    train, vocabulary = (settle(distinct(df).unionAll(ends), "vocabulary") for df in (learned, texts))
-    spelled = settle(_spelled(vocabulary, train, table_rows), "spelled")
-    model = word_model(counts, spelled)
-    scores = word_scores(_grams(texts).drop("lang"), model, settle(single_words(spelled, model), "words"))
-    nats = scores.groupBy("row").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("chars")).alias("nats"))
-    nats = settle(nats.withColumnRenamed("row", "_row"), "nats")
-
-    held = trusted.where("fold = 0").select("lang", F.col("row").alias("_row")).join(nats, "_row")
-    limits = held.groupBy("lang").agg(F.percentile_approx("nats", F.array(F.lit(0.5), F.lit(QUANTILE)), F.lit(100_000)).alias("q"))
-    limit = F.col("q")[0] + F.greatest(F.lit(WIDTH) * (F.col("q")[1] - F.col("q")[0]), F.lit(MARGIN))
-    limits = settle(limits.select(F.col("lang").alias("_limit_lang"), limit.alias("_limit"), F.col("q")[0].alias("_median")), "limits")
-    rows = docs.withColumn("_row", _row(docs)).withColumn("_n", F.length(F.col("text").cast("string"))).join(nats, "_row", "left")
-    rows = rows.join(limits, _language(docs) == F.col("_limit_lang"), "left")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _row(docs).alias("row"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
+    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS))
+    trusted = texts.join(good, F.col("_id") == F.col("_good"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(4, -(-chars // shard_chars))
+    model = train(trusted.where(fold > 0).select("row", "lang", "text", F.lit(True).alias("trains")), shards)
+    if model is None:
+        found = docs.sparkSession.createDataFrame([], "row long, nats double")
+    else:
+        flagged = texts.join(good, F.col("_id") == F.col("_good"), "left")
+        found = document_nats(flagged.select("row", "lang", "text", (F.col("_good").isNotNull() & (fold > 0)).alias("trains")), model, shards)
+    nats = settle(found.withColumnRenamed("row", "_row"), "nats")
+
     n = F.col("_n")
-    keep = F.coalesce((F.col("nats") - F.col("_median")) * n / (n + SHORT_CHARS) <= F.col("_limit") - F.col("_median"), F.lit(True))
-    return rows.select(*docs.columns, F.exp("nats").alias("perplexity"), F.exp("_limit").alias("threshold"), keep.alias("keep"))
+    held = trusted.where(fold == 0).select("lang", F.col("row").alias("_row"), F.length("text").alias("_n")).join(nats, "_row")
+    held = settle(held, "held")
+    medians = held.groupBy("lang").agg(F.percentile_approx("nats", F.lit(0.5), F.lit(100_000)).alias("_median"))
+    distance = (F.col("nats") - F.col("_median")) * n / (n + SHORT_CHARS)
+    limits = held.join(F.broadcast(medians), "lang").groupBy(F.col("lang").alias("_limit_lang"), "_median").agg(F.percentile_approx(distance, F.lit(QUANTILE), F.lit(100_000)).alias("_limit"))
+    rows = docs.withColumn("_row", _row(docs)).withColumn("_n", F.length(F.col("text").cast("string"))).join(nats, "_row", "left")
+    rows = rows.join(F.broadcast(settle(limits, "limits")), _language(docs) == F.col("_limit_lang"), "left")
+    keep = F.coalesce(distance <= F.col("_limit"), F.lit(True))
+    return rows.select(*docs.columns, F.exp("nats").alias("perplexity"), F.exp(F.col("_median") + F.col("_limit")).alias("threshold"), keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

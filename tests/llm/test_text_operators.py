@@ -1,6 +1,9 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -212,26 +215,95 @@ def test_quality_sees_word_order(documents, labels):
     assert len(ratio) > 20 and sorted(ratio)[len(ratio) // 2] > 1.8
 
 
-def test_quality_unfolded(spark):
-    one, other = (quality._Keys("x")[w] for w in ("\U0001f600", "\U0001f601"))
-    assert one != other and quality.words("deux mots 漢字") == ["deux", "mots", "漢", "字"]
-
-
-def test_quality_by_joins_is_the_same(documents, labels):
-    shown = lambda df: {r["doc_id"]: (r["perplexity"], r["keep"]) for r in df.collect()}
-    table, joined = shown(quality.score_documents(documents, labels)), shown(quality.score_documents(documents, labels, table_rows=0))
-    assert table.keys() == joined.keys()
-    for k, (p, keep) in table.items():
-        assert joined[k][1] == keep and joined[k][0] == pytest.approx(p, rel=1e-5)
-
-
-def test_kneser_ney_sums_to_one(spark):
-    text = "abracadabra banana cabana\n" * 3
-    counts = spark.createDataFrame([("x", t) for t in [text]], "lang string, text string").mapInArrow(quality._count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    model = quality.kneser_ney(counts)
-    context = int(quality.ngrams("abra")[-1]) % quality.CLASSES**3
-    grid = spark.range(quality.CLASSES).select(F.lit("x").alias("lang"), (F.lit(context) * quality.CLASSES + F.col("id")).alias("gram"))
-    assert quality.gram_scores(grid, model).agg(F.sum(F.exp("logp"))).first()[0] == pytest.approx(1.0, rel=1e-6)
+def test_quality_words():
+    assert quality.words("deux mots 漢字") == ["deux", "mots", "漢", "字"]
+    for values in (np.array([0, 1, 5]), np.array([1 << 53, 3]), np.array([0])):
+        assert (quality.unpack(quality.pack(values), len(values)) == values).all()
+
+
+SENTENCES = ["the cat sat on the mat", "the dog sat on the log log", "a cat saw the dog and the dog saw a cat", "zebras sat", "the the mat quickly ran", "on the mat the cat sat on the mat"]
+
+
+def brute_nats(train, text):
+    """Nats of a text under a modified Kneser-Ney model of order 3, by dictionaries."""
+    count = Counter(w for t in train for w in t.split())
+    known = {*count}
+
+    def tokens(t):
+        found = t.split()
+        out = [("again", w) if i and found[i - 1] == w else ("", w) for i, w in enumerate(found)]
+        flat = [x for mark, w in out for x in ((["<again>"] if mark else []) + [w if w in known else "<other>"])]
+        return ["<b>", "<b>", *flat, "<b>"]
+
+    c = {3: Counter()}
+    for t in train:
+        seq = tokens(t)
+        c[3].update(zip(seq, seq[1:], seq[2:]))
+    c[2] = Counter(g[1:] for g in c[3])
+    c[1] = Counter(g[1:] for g in c[2])
+
+    def discount(order):
+        n = [sum(v == i for v in c[order].values()) for i in (1, 2, 3, 4)]
+        return quality.discounts(*n)
+
+    d = {k: discount(k) for k in c}
+
+    def p(gram, last):
+        order = len(gram)
+        if not order:
+            return {"<b>": 1 / 3, "<other>": 1 / 3, "<again>": 1 / 3}.get(last, 0.0)
+        own = [(g, n) for g, n in c[order].items() if g[:-1] == gram[:-1]]
+        total = sum(n for _, n in own)
+        if not total:
+            return p(gram[1:], last)
+        n = c[order][gram]
+        return (n - d[order][min(n, 3)]) / total + sum(d[order][min(n, 3)] for _, n in own) / total * p(gram[1:], last)
+
+    others = sorted({w for w, n in count.items() if n == 1})
+    letters = sorted({x for w in others for x in w})
+
+    def spelled(w):
+        c3 = Counter()
+        for o in others:
+            o = "\0\0" + o + "\0"
+            c3.update(zip(o, o[1:], o[2:]))
+        model = {3: c3, 2: Counter(g[1:] for g in c3)}
+        model[1] = Counter(g[1:] for g in model[2])
+        dd = {k: quality.discounts(*[sum(v == i for v in m.values()) for i in (1, 2, 3, 4)]) for k, m in model.items()}
+
+        def q(g):
+            if not g:
+                return 1 / (quality.LETTERS + 2)
+            own = [n for h, n in model[len(g)].items() if h[:-1] == g[:-1]]
+            n = model[len(g)][g]
+            return (n - dd[len(g)][min(n, 3)]) / sum(own) + sum(dd[len(g)][min(x, 3)] for x in own) / sum(own) * q(g[1:]) if own else q(g[1:])
+
+        w = "".join(x if x in letters else "\1" for x in w)
+        w = "\0\0" + w + "\0"
+        return -sum(math.log(q(g)) for g in zip(w, w[1:], w[2:]))
+
+    seq = tokens(text)
+    return -sum(math.log(p(g, g[-1])) for g in zip(seq, seq[1:], seq[2:])) + sum(spelled(w) for w in text.split() if w not in known)
+
+
+@pytest.mark.parametrize("shards,hot", [(1, 1), (5, 1), (3, 1_000)])
+def test_quality_equals_brute_force(spark, monkeypatch, shards, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
+    texts = [*SENTENCES, "a cat sat on the log", "unseen words: mat mat on dogs"]
+    rows = spark.createDataFrame([(i, "en", t, i < len(SENTENCES)) for i, t in enumerate(texts)], "row long, lang string, text string, trains boolean")
+    model = quality.train(rows.where("trains"), shards)
+    assert len(model.lexicon.hot) > 3 if hot > 1 else not len(model.lexicon.hot)
+    got = {r["row"]: r["nats"] for r in quality.document_nats(rows, model, shards).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_nats(SENTENCES, t) / len(t), rel=1e-6)
+    # every probability after a context, summed over the vocabulary
+    ids = model.lexicon.ids["en"]
+    trigrams = np.unique([(ids[b] << 36) | (ids[a] << 18) | ids[c] for t in SENTENCES for seq in [["\n", "\n", *t.split()]] for a, b, c in zip(seq, seq[1:], seq[2:]) if {a, b, c} <= ids.keys()])
+    for a, b in (("the", "cat"), ("on", "the"), ("mat", "mat")):
+        wanted = np.sort(np.array([(ids[b] << 36) | (ids[a] << 18) | i for i in range(len(model.single))]))
+        if hot == 1:
+            total = np.exp(-quality.negative_logs(model, trigrams, np.ones(len(trigrams), np.int64), wanted)).sum()
+            assert total == pytest.approx(1.0, rel=1e-9)
 
 
 def test_quality_odd(odd, empty, labels):
