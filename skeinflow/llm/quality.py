@@ -39,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import discard, settle
@@ -47,7 +48,7 @@ FOLDS = 5
 QUANTILE = 0.99
 SHORT_CHARS = 64
 VOCABULARY = 1 << 17
-LETTERS = 94
+LETTERS = 62
 HOT = 64
 BLOCK_WORDS = 1 << 20
 SHARD_CHARS = 32_000_000
@@ -248,8 +249,34 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _differences(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=0)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted trigrams: middle words as differences, and the words before and after as differences within one middle word and
+    one context, else as they are."""
+    a, b, c = keys >> (2 * BITS), (keys >> BITS) & MASK, keys & MASK
+    same_a = np.r_[False, a[1:] == a[:-1]]
+    same_b = np.r_[False, b[1:] == b[:-1]] & same_a
+    b, c = b - np.where(same_a, np.r_[0, b[:-1]], 0), c - np.where(same_b, np.r_[0, c[:-1]], 0)
+    return b"".join(len(x).to_bytes(8, "little") + x for x in map(pack, (np.diff(a, prepend=0), b, c)))
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    parts, at = [], 0
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(unpack(data[at + 8 : at + 8 + size], n))
+        at += 8 + size
+    a, b, c = parts
+    new = a != 0
+    new[0] = True
+    a, b = np.cumsum(a), _sums_from(b, new)
+    new[1:] |= b[1:] != b[:-1]
+    return (a << (2 * BITS)) | (b << BITS) | _sums_from(c, new)
+
+
+def _sums_from(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Sums that begin again where ``new`` is."""
+    sums, first = np.cumsum(values), np.flatnonzero(new)
+    return sums - np.repeat(sums[first] - values[first], np.diff(np.r_[first, len(values)]))
 
 
 # --- training --------------------------------------------------------------------------------------------------------
@@ -262,13 +289,14 @@ def _count_words(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for word in words(text or ""):
                 counts[lang, word] = counts.get((lang, word), 0) + 1
-        if len(counts) > 200_000:
+        if len(counts) > 500_000:
             yield _word_batch(counts)
             counts = {}
     yield _word_batch(counts)
 
 
 def _word_batch(counts: dict) -> pa.RecordBatch:
+    counts = dict(sorted(counts.items()))  # neighbours in order take less room
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
 
@@ -301,7 +329,7 @@ def lexicon(training: DataFrame) -> Lexicon | None:
             after += 1
     if after > MASK:
         raise ValueError(f"{len(languages)} languages are too many for tokens of {BITS} bits")
-    language = np.zeros(after, np.int64)
+    language = np.zeros(after, np.int32)
     for i, lang in enumerate(languages):
         language[list(ids[lang].values())] = i
     total = counted.agg(F.sum("n")).first()[0]
@@ -327,7 +355,7 @@ def _trigram_batches(batches, lexicon: Lexicon, shards: int):
     """(shard, size, keys, n) of the training texts: distinct trigrams of a block and their numbers."""
     for block in _blocks(batches, lexicon):
         keys, n = np.unique(block.keys, return_counts=True)
-        out = [(s, len(at), pack(_differences(keys[at])), pack(n[at])) for s, at in _by_shard(keys, lexicon.hot, shards)]
+        out = [(s, len(at), pack_keys(keys[at]), pack(n[at])) for s, at in _by_shard(keys, lexicon.hot, shards)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "size", "keys", "n"])
 
 
@@ -361,7 +389,7 @@ def _statistics(batches, lexicon: Lexicon):
     """(kind, a, b, n): 3 and 2, language a: how many trigrams and bigrams are counted b times; 1: how many words stand before
     word a; 0: how many stand before bigram a of a hot word, in this shard."""
     for rows in _runs(batches):
-        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["size"])) for r in rows])
+        keys = np.concatenate([unpack_keys(r["keys"], r["size"]) for r in rows])
         trigrams, c3 = _summed(keys, np.concatenate([unpack(r["n"], r["size"]) for r in rows]))
         bigrams, c2 = _bigrams(trigrams)
         is_hot = np.isin(bigrams >> BITS, lexicon.hot)
@@ -376,17 +404,20 @@ def _statistics(batches, lexicon: Lexicon):
 
 @dataclass
 class Model:
-    """``lexicon``; by order and language what is taken off a count; the probability of each word alone; hot words' bigrams."""
+    """The language of each token; by order and language what is taken off a count; the probability of each word alone; hot
+    words and their bigrams."""
 
-    lexicon: Lexicon
+    language: np.ndarray
     discount: dict[int, np.ndarray]
     single: np.ndarray
+    hot: np.ndarray
     hot_bigrams: np.ndarray
     hot_counts: np.ndarray
 
 
-def train(training: DataFrame, shards: int) -> Model | None:
-    """A model of texts (row, lang, text, trains) that all train; what comes to the driver is bounded by ``HOT`` * ``VOCABULARY``."""
+def train(training: DataFrame, shards: int) -> tuple[Broadcast, Model] | None:
+    """The lexicon, broadcast, and the model of texts (row, lang, text, trains) that all train; what comes to the driver is
+    bounded by ``HOT`` * ``VOCABULARY``."""
     found = lexicon(training.select("lang", "text"))
     if found is None:
         return None
@@ -414,7 +445,7 @@ def train(training: DataFrame, shards: int) -> Model | None:
         single[own] = (before[own] - d) / max(total, 1)
         # what the words seen leave goes to the language's last three tokens
         single[own[-3:]] += (d.sum() / total if total else 1.0) / 3
-    return Model(found, discount, single, hot_bigrams, hot_counts)
+    return spread, Model(language, discount, single, found.hot, hot_bigrams, hot_counts)
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
@@ -437,12 +468,12 @@ def _at(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """For distinct sorted trigrams ``wanted`` of one shard, from the shard's training counts."""
-    language = model.lexicon.language
+    language = model.language
     d3 = model.discount[3][language[trigrams >> (2 * BITS)], np.minimum(counts, 3)]
     context3, total3, weight3, of3 = _contexts(trigrams >> BITS, counts, d3)
     bigrams, c2 = _bigrams(trigrams)
-    if len(model.lexicon.hot):
-        cold = ~np.isin(bigrams >> BITS, model.lexicon.hot)
+    if len(model.hot):
+        cold = ~np.isin(bigrams >> BITS, model.hot)
         bigrams, c2 = _summed(np.concatenate([bigrams[cold], model.hot_bigrams]), np.concatenate([c2[cold], model.hot_counts]))
     d2 = model.discount[2][language[bigrams >> BITS], np.minimum(c2, 3)]
     context2, total2, weight2, of2 = _contexts(bigrams >> BITS, c2, d2)
@@ -474,7 +505,7 @@ def _document_batches(batches, lexicon: Lexicon, shards: int):
             docs, doc = np.unique(block.doc[at], return_inverse=True)
             new = ~told[docs]
             told[docs] = True
-            out.append((shard, len(at), len(docs), pack(_differences(block.keys[at])), pack(doc), block.rows[docs].tobytes(), np.packbits(block.trains[docs]).tobytes(), pack(block.chars[docs] * new), pack(block.extra[docs] * new)))
+            out.append((shard, len(at), len(docs), pack_keys(block.keys[at]), pack(doc), block.rows[docs].tobytes(), np.packbits(block.trains[docs]).tobytes(), pack(block.chars[docs] * new), pack(block.extra[docs] * new)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
@@ -482,7 +513,7 @@ def _score_batches(batches, model: Model):
     """Shards of ``_document_batches`` -> (row, nats, chars) of the documents in them."""
     for rows in _runs(batches):
         offsets = np.cumsum([0, *(r["docs"] for r in rows)])
-        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["size"])) for r in rows])
+        keys = np.concatenate([unpack_keys(r["keys"], r["size"]) for r in rows])
         doc = np.concatenate([(unpack(r["doc"], r["size"]) + o).astype(np.int32) for r, o in zip(rows, offsets)])
         trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
         row = np.concatenate([np.frombuffer(r["row"], np.int64) for r in rows])
@@ -505,10 +536,9 @@ def to_shards(packed: DataFrame, shards: int) -> DataFrame:
     return packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
-def document_nats(flagged: DataFrame, model: Model, shards: int) -> DataFrame:
+def document_nats(flagged: DataFrame, tokens: Broadcast, model: Model, shards: int) -> DataFrame:
     """(row, nats): nats a character of texts (row, lang, text, trains); equal rows are one."""
-    context = flagged.sparkSession.sparkContext
-    tokens, spread = context.broadcast(model.lexicon), context.broadcast(model)
+    spread = flagged.sparkSession.sparkContext.broadcast(model)
     packed = flagged.mapInArrow(lambda b: _document_batches(b, tokens.value, shards), "shard int, size long, docs long, keys binary, doc binary, row binary, trains binary, chars binary, extra binary")
     sums = to_shards(packed, shards).mapInArrow(lambda b: _score_batches(b, spread.value), "row long, nats long, chars long")
     return sums.groupBy("row").agg((F.sum("nats") / F.lit(SCALE) / F.sum("chars")).alias("nats"))
@@ -533,12 +563,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, shard_chars: int = SHARD
     trusted = texts.join(good, F.col("_id") == F.col("_good"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(4, -(-chars // shard_chars))
-    model = train(trusted.where(fold > 0).select("row", "lang", "text", F.lit(True).alias("trains")), shards)
-    if model is None:
+    trained = train(trusted.where(fold > 0).select("row", "lang", "text", F.lit(True).alias("trains")), shards)
+    if trained is None:
         found = docs.sparkSession.createDataFrame([], "row long, nats double")
     else:
         flagged = texts.join(good, F.col("_id") == F.col("_good"), "left")
-        found = document_nats(flagged.select("row", "lang", "text", (F.col("_good").isNotNull() & (fold > 0)).alias("trains")), model, shards)
+        found = document_nats(flagged.select("row", "lang", "text", (F.col("_good").isNotNull() & (fold > 0)).alias("trains")), *trained, shards)
     nats = settle(found.withColumnRenamed("row", "_row"), "nats")
 
     n = F.col("_n")

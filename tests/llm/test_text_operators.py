@@ -219,6 +219,9 @@ def test_quality_words():
     assert quality.words("deux mots 漢字") == ["deux", "mots", "漢", "字"]
     for values in (np.array([0, 1, 5]), np.array([1 << 53, 3]), np.array([0])):
         assert (quality.unpack(quality.pack(values), len(values)) == values).all()
+        assert (quality.unpack_keys(quality.pack_keys(values), len(values)) == values).all() if (np.diff(values) >= 0).all() else True
+    keys = np.sort((np.random.default_rng(1).integers(0, 9, (1000, 3)) << np.array([36, 18, 0])).sum(1))
+    assert (quality.unpack_keys(quality.pack_keys(keys), 1000) == keys).all()
 
 
 SENTENCES = ["the cat sat on the mat", "the dog sat on the log log", "a cat saw the dog and the dog saw a cat", "zebras sat", "the the mat quickly ran", "on the mat the cat sat on the mat"]
@@ -291,13 +294,13 @@ def test_quality_equals_brute_force(spark, monkeypatch, shards, hot):
     monkeypatch.setattr(quality, "HOT", hot)
     texts = [*SENTENCES, "a cat sat on the log", "unseen words: mat mat on dogs"]
     rows = spark.createDataFrame([(i, "en", t, i < len(SENTENCES)) for i, t in enumerate(texts)], "row long, lang string, text string, trains boolean")
-    model = quality.train(rows.where("trains"), shards)
-    assert len(model.lexicon.hot) > 3 if hot > 1 else not len(model.lexicon.hot)
-    got = {r["row"]: r["nats"] for r in quality.document_nats(rows, model, shards).collect()}
+    tokens, model = quality.train(rows.where("trains"), shards)
+    assert len(model.hot) > 3 if hot > 1 else not len(model.hot)
+    got = {r["row"]: r["nats"] for r in quality.document_nats(rows, tokens, model, shards).collect()}
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(brute_nats(SENTENCES, t) / len(t), rel=1e-6)
     # every probability after a context, summed over the vocabulary
-    ids = model.lexicon.ids["en"]
+    ids = tokens.value.ids["en"]
     trigrams = np.unique([(ids[b] << 36) | (ids[a] << 18) | ids[c] for t in SENTENCES for seq in [["\n", "\n", *t.split()]] for a, b, c in zip(seq, seq[1:], seq[2:]) if {a, b, c} <= ids.keys()])
     for a, b in (("the", "cat"), ("on", "the"), ("mat", "mat")):
         wanted = np.sort(np.array([(ids[b] << 36) | (ids[a] << 18) | i for i in range(len(model.single))]))
