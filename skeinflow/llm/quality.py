@@ -34,6 +34,7 @@ good and bad is trusted; repeated rows are scored alike; an empty table gives an
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -282,22 +283,40 @@ def _sums_from(values: np.ndarray, new: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------------------------------------------
 
 
-def _count_words(batches):
-    """(lang, word, n) of (lang, text), summed over blocks of texts."""
+def _count_words(batches, shards: int):
+    """(shard, lang, size, words, n) of (lang, text): words and their numbers, summed over many texts, by a hash of the word."""
     counts: dict[tuple[str, str], int] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for word in words(text or ""):
                 counts[lang, word] = counts.get((lang, word), 0) + 1
         if len(counts) > 500_000:
-            yield _word_batch(counts)
+            yield _word_batch(counts, shards)
             counts = {}
-    yield _word_batch(counts)
+    if counts:
+        yield _word_batch(counts, shards)
 
 
-def _word_batch(counts: dict) -> pa.RecordBatch:
-    counts = dict(sorted(counts.items()))  # neighbours in order take less room
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
+def _word_batch(counts: dict, shards: int) -> pa.RecordBatch:
+    parts: dict[tuple[int, str], list] = {}
+    for (lang, word), n in sorted(counts.items()):
+        parts.setdefault((zlib.crc32(word.encode("utf-8", "surrogatepass")) % shards, lang), []).append((word, n))
+    out = []
+    for (shard, lang), found in parts.items():
+        text = "\n".join([w for w, _ in found]).encode("utf-8", "surrogatepass")
+        out.append((shard, lang, len(found), zstandard.compress(text), pack(np.array([n for _, n in found]))))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "lang", "size", "words", "n"])
+
+
+def _sum_words(batches):
+    """Shards of ``_count_words`` -> (lang, word, n)."""
+    for rows in _runs(batches):
+        counts: dict[tuple[str, str], int] = {}
+        for r in rows:
+            found = zstandard.decompress(r["words"]).decode("utf-8", "surrogatepass").split("\n")
+            for word, n in zip(found, unpack(r["n"], r["size"]).tolist()):
+                counts[r["lang"], word] = counts.get((r["lang"], word), 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
 
 def _spell_batches(letters: dict[str, np.ndarray]):
@@ -312,9 +331,10 @@ def _spell_batches(letters: dict[str, np.ndarray]):
     return run
 
 
-def lexicon(training: DataFrame) -> Lexicon | None:
+def lexicon(training: DataFrame, shards: int) -> Lexicon | None:
     """The tokens of training texts (lang, text)."""
-    counted = settle(training.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    packed = training.mapInArrow(lambda b: _count_words(b, shards), "shard int, lang string, size long, words binary, n binary")
+    counted = settle(to_shards(packed, shards).mapInArrow(_sum_words, "lang string, word string, n long"), "words")
     known = counted.orderBy(F.desc("n"), "lang", "word").limit(VOCABULARY).toPandas()  # bounded by VOCABULARY
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not languages:
@@ -418,7 +438,7 @@ class Model:
 def train(training: DataFrame, shards: int) -> tuple[Broadcast, Model] | None:
     """The lexicon, broadcast, and the model of texts (row, lang, text, trains) that all train; what comes to the driver is
     bounded by ``HOT`` * ``VOCABULARY``."""
-    found = lexicon(training.select("lang", "text"))
+    found = lexicon(training.select("lang", "text"), shards)
     if found is None:
         return None
     spread = training.sparkSession.sparkContext.broadcast(found)
