@@ -10,7 +10,7 @@ neighbours goes against all rows, in blocks. A vector without a table entry does
 
 With random vectors in 64 dimensions, the hardest case, 6 tables and 20 of 128 axes give a recall of 0.96 to 0.99 (README).
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
+Defined results: rows with a null vec_id are neither queries nor candidates; vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
 vectors of another length are no candidates; rows that repeat a vec_id count as one candidate with the larger cosine, and
 a query's own id is never one; an empty table gives no rows; ties go to the smaller vec_id; other columns are ignored.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import settle
-from .vectors import matrices, numbered, runs, unit
+from .vectors import matrices, numbered, runs, stored, unit
 
 TABLES = 6
 PROBES = 20
@@ -70,11 +70,22 @@ def _assign(batches, tables: int, probes: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), t, np.int32)), pa.array(bucket), picked.column("vec_id"), picked.column("vector")], ["tbl", "bucket", "vec_id", "vector"])
 
 
-_ROWS = "tbl int, bucket long, vec_id long, vector array<double>"
+def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of every row; of equal ones those in the first columns."""
+    at = max(0, score.shape[1] - k)
+    least = np.partition(score, at, axis=1)[:, at]
+    q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    above = score[q, c] > least[q]
+    room = k - np.bincount(q[above], minlength=len(score))
+    tied = np.cumsum(~above)
+    first = np.searchsorted(q, np.arange(len(score)))  # where the entries of each row begin
+    before = np.r_[0, tied][first]
+    stays = above | (tied - before[q] <= room[q])
+    return q[stays], c[stays]
 
 
 def _nearest(batches, k: int):
-    """Runs of one block of candidates and one of queries -> the k nearest of each query there."""
+    """Runs of one block of candidates and one of queries -> the k nearest of each query there, ties to the smaller id."""
     for run in runs(batches, ["tbl", "bucket", "qb", "cb"]):
         batch = run.combine_chunks().to_batches()[0]
         is_query, ids = batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy()
@@ -84,13 +95,16 @@ def _nearest(batches, k: int):
         x = unit(matrix)
         order = np.argsort(ids[~is_query], kind="stable")
         candidates, of = x[~is_query][order], ids[~is_query][order]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        named = of[first]
         for at in range(0, int(is_query.sum()), 256):
             own = ids[is_query][at : at + 256]
             score = x[is_query][at : at + 256] @ candidates.T
-            score[own[:, None] == of[None]] = -np.inf
-            least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(of[c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
+            if len(first) < len(of):  # rows that repeat an id
+                score = np.maximum.reduceat(score, first, axis=1)
+            score[own[:, None] == named[None]] = -np.inf
+            q, c = best(score, k)
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(named[c]), pa.array(score[q, c])], ["query_id", "vec_id", "score"])
 
 
 def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -123,7 +137,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABL
     valid = numbered(vectors)
     queries = valid.where(is_query & F.col("vec_id").isNotNull())
     valid = valid.where("vec_id is not null")
-    at = lambda df, p: df.mapInArrow(lambda b: _assign(b, tables, p), _ROWS)
+    at = lambda df, p: df.mapInArrow(lambda b: _assign(b, tables, p), f"tbl int, bucket long, vec_id long, vector {stored(vectors)}")
     found = settle(_ranked(_search(at(valid, 1), at(queries, probes), k), k), "nearest")
     rest = queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("vec_id") == F.col("query_id"), "left_anti")
     if rest.isEmpty():

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .store import settle
-from .vectors import matrices, runs, unit, usable
+from .vectors import matrices, runs, stored, unit, usable
 
 THRESHOLD = 0.9
 SPREAD = 16
@@ -122,21 +123,23 @@ def _links(batches, threshold: float):
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links) over all tables for distinct vectors (id, n, vector)."""
     bits, tables = shape(classes.count(), threshold)
-    hashed = classes.select("id", "n", "vector").mapInArrow(lambda b: _hashed(b, bits, tables), "tbl int, sig long, id long, n long, signs binary, vector array<double>")
+    hashed = classes.select("id", "n", "vector").mapInArrow(lambda b: _hashed(b, bits, tables), f"tbl int, sig long, id long, n long, signs binary, vector {classes.schema['vector'].dataType.simpleString()}")
     blocks = hashed.groupBy("tbl", "sig").agg(F.ceil(F.count("*") / BLOCK).alias("m")).where("m > 1")
     m, own = F.coalesce("m", F.lit(1)).cast("int"), F.col("block")
-    placed = hashed.join(blocks, ["tbl", "sig"], "left").withColumn("m", m).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other"))
+    placed = hashed.join(blocks.hint("merge"), ["tbl", "sig"], "left").withColumn("m", m).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     keys = ["tbl", "sig", "i", "j"]
-    placed = placed.select(*keys, "block", "id", "n", "signs", "vector").repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(lambda b: _links(b, threshold), "a long, b long, links long")
+    # buckets of one block are together after the join; only the blocks of larger ones move again
+    whole = placed.where("m = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    split = placed.where("m > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other"))
+    rows = [df.select(*keys, "block", "id", "n", "signs", "vector") for df in (whole, split.repartition(*keys))]
+    return reduce(DataFrame.unionAll, (df.sortWithinPartitions(*keys).mapInArrow(lambda b: _links(b, threshold), "a long, b long, links long") for df in rows))
 
 
 def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    part = F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 + 0.0 is 0.0
-    rows = rows.withColumn("vector", part).mapInArrow(_digests, "vec_id long, vector array<double>, digest binary")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(stored(vectors)).alias("vector"))
+    part = F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0)).cast(stored(vectors)))  # -0.0 + 0.0 is 0.0
+    rows = rows.withColumn("vector", part).mapInArrow(_digests, f"vec_id long, vector {stored(vectors)}, digest binary")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     # a class whose rows have no id at all gets one above all others, which no result shows
     unnamed = F.lit((1 << 63) - 1).cast("long") - F.pmod(F.xxhash64("digest"), F.lit(1 << 40))

@@ -13,9 +13,15 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def stored(df: DataFrame) -> str:
+    """The type in which the components of ``embedding`` are moved: as they are stored, floats as floats. Tasks compute with
+    doubles, and float components are exact as doubles."""
+    return "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """(vec_id long, vector array<double>) of the vectors that take part. Float components are exact as doubles."""
-    vector = F.col("embedding").cast("array<double>")
+    """(vec_id long, vector) of the vectors that take part."""
+    vector = F.col("embedding").cast(stored(df))
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(usable(F.col("vector")))
 
 
