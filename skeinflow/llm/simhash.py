@@ -5,14 +5,13 @@ consecutive words joined by one space (fewer words: the whole sequence, none: fi
 A bit is set where over half of a document's shingles, repeats included, have it set.
 
 Links: two fingerprints link when they differ in ``MAX_BITS`` = 4 bits or fewer. The 64 bits are two segments of 32; by the
-pigeonhole principle a linked pair differs in at most two bits of the high segment or at most one bit of the low one. Both
-sides enumerate the radius-1 ball of the high segment (33 keys), which meets every pair up to two bits apart there; one side
-enumerates the radius-1 ball of the low segment (33 keys) against the exact low segments of the other. Keys that meet are
-verified on all 64 bits. Fingerprints are distinct before any join, so exact copies never pair up, and the candidates of one
+pigeonhole principle a linked pair differs in at most two bits of one of them. Every fingerprint enumerates the radius-1 ball
+of either segment (2 * 33 keys), and the balls of any two segments up to two bits apart meet. Keys that meet are verified on
+all 64 bits. Fingerprints are distinct before any join, so exact copies never pair up, and the candidates of one
 key are random collisions or close fingerprints only.
 
-Defined results: a null text is an empty one (fingerprint 0); rows with a null ``doc_id`` take part in linking but the
-smallest id of a group is the smallest non-null one (null if there is none); repeated rows give repeated result rows; other
+Defined results: a null text is an empty one (fingerprint 0); rows with a null ``doc_id`` take part in linking and
+may connect others, but the smallest id of a group is the smallest non-null one (null if there is none); ids are below 2^63 - 2^41; repeated rows give repeated result rows; other
 columns of the input are ignored, whatever they are called.
 """
 
@@ -119,9 +118,12 @@ def link_edges(prints: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
     prints = settle(fingerprints(docs), "fingerprints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    groups = connected_components(link_edges(distinct.where("id is not null")))
-    named = distinct.join(groups, distinct.id == groups.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # a fingerprint whose rows have no id at all gets one above all others, which no result shows
+    unnamed = F.lit((1 << 63) - 1).cast("long") - F.pmod(F.xxhash64("fp"), F.lit(1 << 40))
+    distinct = settle(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("id")), "distinct")
+    groups = connected_components(link_edges(distinct))
+    own = F.coalesce("component", "id")
+    named = distinct.join(groups, distinct.id == groups.node, "left").select("fp", F.when(own < F.lit((1 << 63) - (1 << 41)), own).alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
