@@ -116,10 +116,20 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
 
 
 def select_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns, once for each epoch that takes them."""
-    taken = mix(docs, **parameters).select(F.col("doc_id").alias("_mix_id"), F.col("row_hash").alias("_mix_row"), F.col("epoch").alias("_mix_epoch")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_mix_row"))
-    return docs.join(taken, same).drop("_mix_id", "_mix_row", "_mix_epoch")
+    """The rows of ``docs`` that the mix takes, with all their columns, once for each epoch that takes them.
+
+    Of rows alike in id, text, language and source as many stand as the mix takes, those with the smallest hashes first."""
+    key = ["_mix_id", "_mix_row", "_mix_lang", "_mix_source"]
+    lang, source = (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source"))
+    own = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), lang, source]
+    taken = mix(docs, **parameters).groupBy(F.col("doc_id").alias(key[0]), F.col("row_hash").alias(key[1]), F.col("lang").alias(key[2]), F.col("source").alias(key[3]), F.col("epoch").alias("_mix_epoch")).agg(F.count("*").alias("_mix_n"))
+    taken = taken.withColumn("_mix_key", F.xxhash64(*key))
+    rows = docs.select("*", F.xxhash64(*own).alias("_own_key"), *[c.alias(f"_own{n}") for c, n in zip(own, key)])
+    same = F.col("_own_key") == F.col("_mix_key")
+    for n in key:
+        same = same & F.col(f"_own{n}").eqNullSafe(F.col(n))
+    alike = Window.partitionBy("_own_key", *key, "_mix_epoch").orderBy(F.xxhash64(*docs.columns))
+    return rows.join(taken, same).withColumn("_mix_place", F.row_number().over(alike)).where("_mix_place <= _mix_n").select(*docs.columns)
 
 
 def _sql_weight(column: str, weights: dict[str, float]) -> str:
