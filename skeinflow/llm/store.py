@@ -17,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     if told:
         return told.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-skeinflow-"))
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-skeinflow-")
+        return _LOCAL["dir"]
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -55,6 +56,15 @@ def test_links_of_a_dense_group(spark):
     assert got == groups_of(range(len(prints)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
 
 
+def test_rows_without_an_id_connect(spark, monkeypatch):
+    texts = {"a": 0xF0, "b": 0xF0 ^ 7, "c": 0xF0 ^ 63, "d": (1 << 63) | 0xFF00FF00}
+    prints = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    named = spark.createDataFrame([(k, v if v < 1 << 63 else v - (1 << 64)) for k, v in texts.items()], "text string, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.join(named, "text").select("doc_id", "fp"))
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(prints).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1), (None, None)}
+
+
 def test_simhash_odd(odd, empty):
     got = simhash.simhash_groups(odd).collect()
     assert len(got) == odd.count()
@@ -136,6 +146,22 @@ def test_hot_bucket_is_split(spark, monkeypatch):
         assert got[q] == np.argsort(-s, kind="stable")[:5].tolist()
 
 
+def test_ties_stay_within_k(spark):
+    random = np.random.default_rng(4)
+    for _ in range(50):
+        score = random.integers(0, 4, (7, 12)).astype(float)
+        score[random.random(score.shape) < 0.2] = -np.inf
+        q, c = ann.best(score, 3)
+        want = [(i, j) for i, row in enumerate(score) for j in sorted(np.argsort(-row, kind="stable")[:3]) if row[j] > -np.inf]
+        assert sorted(zip(q.tolist(), c.tolist())) == want
+    rows = spark.createDataFrame([(i % 300, [1.0, 2.0, 3.0, 4.0]) for i in range(1500)], "vec_id long, embedding array<double>")
+    vectors = ann.numbered(rows)
+    at = lambda df, p: df.mapInArrow(lambda b: ann._assign(b, 2, p), "tbl int, bucket long, vec_id long, vector array<double>")
+    assert ann._search(at(vectors, 1), at(vectors.where("vec_id < 100").dropDuplicates(["vec_id"]), 1), 5).count() == 2 * 100 * 5
+    got = ann.nearest(rows, F.col("vec_id") == 7, 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
+
+
 def brute_groups(rows, threshold=0.9):
     units = [None if v is None or None in v or not np.isfinite(v).all() or not np.any(v) else np.array(v, float) / np.linalg.norm(v) for _, v in rows]
     near = lambda i, j: units[i] is not None and units[j] is not None and len(units[i]) == len(units[j]) and float(units[i] @ units[j]) >= threshold
@@ -157,6 +183,20 @@ def test_vector_groups_equal_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_groups(rows)
 
 
+def test_vector_groups_recall(spark):
+    """Pairs just over the threshold, the hardest to find, among 20,000 vectors."""
+    random = np.random.default_rng(5)
+    x = random.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = random.normal(size=x.shape)
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = random.uniform(0.901, 0.92, (10_000, 1))
+    rows = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": [v.tolist() for v in (*x, *(cosine * x + np.sqrt(1 - cosine**2) * other))]})
+    got = vector_dedup.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert got.n_links.sum() / 20_000 >= 0.99 and got.n_links.max() == 1
+
+
 def test_vector_groups_odd(spark):
     table = odd_vectors(spark)
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]

@@ -194,6 +194,15 @@ def test_selection_repeats_short_leaves(spark):
     assert [r["doc_id"] for r in got.collect()].count(1) == mixing.MAX_EPOCHS
 
 
+def test_selection_takes_no_more_than_the_mix(spark):
+    rows = [(i % 21, f"words of text {i % 21} that stands here twice", "en", "src0", i) for i in range(42)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, other long")
+    count = lambda df: sorted(r["doc_id"] for r in df.collect())
+    got = mixing.select_mix(docs)
+    assert count(got) == count(mixing.mix(docs)) and len(count(got)) == 21
+    assert got.select("other").distinct().count() == 21
+
+
 def test_mixing_odd(odd, empty):
     out = mixing.select_mix(odd, budget_share=1.0)
     assert out.columns == odd.columns
