@@ -14,7 +14,7 @@ AL = _RAW + D.INCIDENTS[len(D.RAW) :] + """, al AS (SELECT alert_id, first_us AS
 
 
 def alert_table(spark, sf_dir) -> DataFrame:
-    found = D.ddos(spark, sf_dir).unionByName(D.port_scan(spark, sf_dir)).unionByName(D.dns_tunnel(spark, sf_dir))
+    found = D.detections(D.Inputs(spark, sf_dir), (D.ddos, D.port_scan, D.dns_tunnel))
     ends = F.split("entity_id", "->")
     flood = F.col("threat_class") == "VOLUMETRIC_DDOS"
     rows = I.dedup_incidents(found, 2 * DAY_US).withColumn("src_ip", F.when(~flood, F.get(ends, 0)))

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import incidents as I, lexical as L, networks as N, rules as R, sessions as X, windows as W
-from ..plans.flow_view import DAY_US, duck, flow_view, session_view
+from ..plans.flow_view import DAY_US, duck, flow_view
+from ..plans.stages import settle
 from . import scalars as C, sessions as XC, windows as WC
 from .registry import query, rounded
 
@@ -20,52 +21,71 @@ T = R.Thresholds(
 )
 
 
-def ddos(spark, sf_dir) -> DataFrame:
-    return R.detect_ddos(W.dst_window_features(flow_view(spark, sf_dir), DAY_US), T)
+class Inputs:
+    """What detectors read. With ``shared``, what two of them need is written once."""
 
+    def __init__(self, spark, sf_dir, shared: bool = False):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.keep = settle if shared else lambda df, name: df
 
-def port_scan(spark, sf_dir) -> DataFrame:
-    return R.detect_port_scan(W.src_window_features(flow_view(spark, sf_dir), DAY_US), DAY_US / 1e6, T)
+    @cached_property
+    def flows(self) -> DataFrame:
+        return flow_view(self.spark, self.sf_dir)
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.keep(XC.sessions(self.spark, self.sf_dir), "sessions")
 
-def beacon(spark, sf_dir) -> DataFrame:
-    return R.detect_beacon(W.pair_features(flow_view(spark, sf_dir)).withColumnRenamed("last_us", "ts_us"), T)
+    @cached_property
+    def model(self) -> DataFrame:
+        return self.keep(L.train_trigram_lm(C.hosts(self.spark, self.sf_dir).select("domain")), "model")
 
 
-def names(spark, sf_dir) -> DataFrame:
+def ddos(inputs: Inputs) -> DataFrame:
+    return R.detect_ddos(W.dst_window_features(inputs.flows, DAY_US), T)
+
+
+def port_scan(inputs: Inputs) -> DataFrame:
+    return R.detect_port_scan(W.src_window_features(inputs.flows, DAY_US), DAY_US / 1e6, T)
+
+
+def beacon(inputs: Inputs) -> DataFrame:
+    return R.detect_beacon(W.pair_features(inputs.flows).withColumnRenamed("last_us", "ts_us"), T)
+
+
+def names(flows: DataFrame) -> DataFrame:
     """(domain, ts_us): each name asked for, with its last time."""
-    return flow_view(spark, sf_dir).where("dns_query is not null").groupBy(F.col("dns_query").alias("domain")).agg(F.max("ts_us").alias("ts_us"))
+    return flows.where("dns_query is not null").groupBy(F.col("dns_query").alias("domain")).agg(F.max("ts_us").alias("ts_us"))
 
 
-def dga(spark, sf_dir) -> DataFrame:
-    rows = names(spark, sf_dir)
-    model = L.train_trigram_lm(C.hosts(spark, sf_dir).select("domain"))
+def dga(inputs: Inputs) -> DataFrame:
+    rows = inputs.keep(names(inputs.flows), "names")
     lexical = rows.select("domain", "ts_us", *[c.alias(n) for n, c in S.lexical_features(F.col("domain")).items()])
-    return R.detect_dga(lexical.join(L.trigram_perplexity(rows, model, "domain"), "domain"), T)
+    return R.detect_dga(lexical.join(L.trigram_perplexity(rows, inputs.model, "domain"), "domain"), T)
 
 
-def dns_tunnel(spark, sf_dir) -> DataFrame:
-    return R.detect_dns_tunnel(W.domain_features(flow_view(spark, sf_dir)).withColumnRenamed("last_us", "ts_us"), T)
+def dns_tunnel(inputs: Inputs) -> DataFrame:
+    return R.detect_dns_tunnel(W.domain_features(inputs.flows).withColumnRenamed("last_us", "ts_us"), T)
 
 
-def tls(spark, sf_dir) -> DataFrame:
-    flows = X.tls_flow_features(XC.sessions(spark, sf_dir)).withColumnRenamed("start_us", "ts_us")
-    return R.detect_tls(N.ja3_intel_join(flows, C.ja3_intel(spark)), T)
+def tls(inputs: Inputs) -> DataFrame:
+    flows = X.tls_flow_features(inputs.sessions).withColumnRenamed("start_us", "ts_us")
+    return R.detect_tls(N.ja3_intel_join(flows, C.ja3_intel(inputs.spark)), T)
 
 
-def exfil(spark, sf_dir) -> DataFrame:
-    return R.detect_exfil(X.exfil_features(XC.sessions(spark, sf_dir)), T)
+def exfil(inputs: Inputs) -> DataFrame:
+    return R.detect_exfil(X.exfil_features(inputs.sessions), T)
 
 
 DETECTORS = (ddos, port_scan, beacon, dga, dns_tunnel, tls, exfil)
 
 
-def detections(spark, sf_dir) -> DataFrame:
-    return reduce(DataFrame.unionByName, [d(spark, sf_dir) for d in DETECTORS])
+def detections(inputs: Inputs, detectors=DETECTORS) -> DataFrame:
+    return reduce(DataFrame.unionByName, [d(inputs) for d in detectors])
 
 
 def incidents(spark, sf_dir) -> DataFrame:
-    return I.dedup_incidents(detections(spark, sf_dir), 2 * DAY_US)
+    return I.dedup_incidents(detections(Inputs(spark, sf_dir, shared=True)), 2 * DAY_US)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -120,7 +140,7 @@ INCIDENTS = RAW + f""", ig AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w <=
 
 
 def _register(f, name: str) -> None:
-    query(duck(NEEDS[f.__name__] + " " + SQL[f.__name__]), name)(lambda spark, sf_dir: _shown(f(spark, sf_dir)))
+    query(duck(NEEDS[f.__name__] + " " + SQL[f.__name__]), name)(lambda spark, sf_dir: _shown(f(Inputs(spark, sf_dir))))
 
 
 for _f, _n in zip(DETECTORS, ("detect_ddos", "detect_port_scan", "detect_beacon", "detect_dga", "detect_dns_tunnel", "detect_tls", "detect_exfil")):
@@ -134,7 +154,7 @@ def run_detectors(spark, sf_dir):
 
 @query(duck(NEEDS["ddos"] + ", raw AS (" + SQL["ddos"] + ")" + INCIDENTS[len(RAW):] + " SELECT entity_id, first_us, last_us, detections, confidence, severity, evidence FROM alerts"))
 def dedup_incidents(spark, sf_dir):
-    return _shown(I.dedup_incidents(ddos(spark, sf_dir), 2 * DAY_US).select("entity_id", "first_us", "last_us", "detections", "confidence", "severity", "evidence"))
+    return _shown(I.dedup_incidents(ddos(Inputs(spark, sf_dir)), 2 * DAY_US).select("entity_id", "first_us", "last_us", "detections", "confidence", "severity", "evidence"))
 
 
 @query(duck(LM + " SELECT ctx, ch, round(p, 6) + 0.0 AS p FROM lm"))
@@ -144,4 +164,4 @@ def train_trigram_lm(spark, sf_dir):
 
 @query(duck(LM + NAMES + " SELECT domain, round(perplexity, 6) + 0.0 AS perplexity FROM lex"))
 def trigram_perplexity(spark, sf_dir):
-    return rounded(L.trigram_perplexity(names(spark, sf_dir), L.train_trigram_lm(C.hosts(spark, sf_dir).select("domain")), "domain"))
+    return rounded(L.trigram_perplexity(names(flow_view(spark, sf_dir)), L.train_trigram_lm(C.hosts(spark, sf_dir).select("domain")), "domain"))

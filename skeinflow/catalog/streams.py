@@ -62,7 +62,7 @@ def stream_tcp_state(spark, sf_dir):
 
 @query(duck(WC.DST + ", raw AS (" + D.SQL["ddos"] + ")" + D.INCIDENTS[len(D.RAW) :] + " SELECT entity_id, first_us AS ts_us FROM alerts"))
 def stream_incidents(spark, sf_dir):
-    rows = D.ddos(spark, sf_dir).withColumn("evidence", F.array_join(F.transform("evidence", lambda e: e["feature"]), ","))
+    rows = D.ddos(D.Inputs(spark, sf_dir)).withColumn("evidence", F.array_join(F.transform("evidence", lambda e: e["feature"]), ","))
     found = stream_of(spark, rows.select("ts_us", "threat_class", "entity_id", "confidence", "evidence"), "in-incidents")
     return S.run_available(S.stream_incidents(found, 2 * DAY_US), spark, "incidents").select("entity_id", "ts_us")
 

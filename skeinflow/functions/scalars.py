@@ -61,6 +61,11 @@ def subnet_group(ip: Column) -> Column:
     return F.when(ip_to_long(ip).isNotNull(), v4).when(ip.contains(":"), v6).otherwise(ip)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: what stands inside a lambda of an array function runs for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shannon_entropy(text: Column) -> Column:
     """Bits a character; 0 for empty and null texts.
 
@@ -74,10 +79,14 @@ def shannon_entropy(text: Column) -> Column:
 def byte_entropy(data: Column) -> Column:
     """Bits a byte, 0 to 8, of a binary; 0 for empty and null ones."""
     pairs = F.filter(F.split(F.regexp_replace(F.hex(data), "(..)", "$1 "), " "), lambda x: x != "")
-    n = F.size(pairs).cast("double")
-    counts = F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b)).cast("double"))
-    bits = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c))
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - bits / n)).otherwise(0.0)
+
+    def bits_a_byte(pairs: Column) -> Column:
+        n = F.size(pairs).cast("double")
+        counts = F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b)).cast("double"))
+        bits = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c))
+        return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - bits / n)).otherwise(0.0)
+
+    return F.when(data.isNull(), 0.0).otherwise(let(pairs, bits_a_byte))
 
 
 def leftmost_label(domain: Column) -> Column:
@@ -123,13 +132,13 @@ def autocorr_peak(gaps: Column, max_lag: int = 9) -> Column:
     """Largest autocorrelation of an array over lags 1 to ``max_lag``, below its length; under four values 0, and 1 without
     variance."""
     n = F.size(gaps)
-    mean = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / n
-    centered = F.transform(gaps, lambda x: x - mean)
-    power = F.aggregate(centered, F.lit(0.0), lambda s, x: s + x * x)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
     lags = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(max_lag), n - 1)))
 
-    def at(lag: Column) -> Column:
-        products = F.zip_with(F.slice(centered, F.lit(1), n - lag), F.slice(centered, lag + 1, n - lag), lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / power
+    def peak(centered: Column, power: Column) -> Column:
+        at = lambda lag: total(F.zip_with(F.slice(centered, F.lit(1), n - lag), F.slice(centered, lag + 1, n - lag), lambda a, b: a * b)) / power
+        return F.when(power / n <= 1e-6, 1.0).otherwise(F.array_max(F.transform(lags, at)))
 
-    return F.when(n < 4, 0.0).when(power / n <= 1e-6, 1.0).otherwise(F.array_max(F.transform(lags, at)))
+    around = lambda mean: F.transform(gaps, lambda x: x - mean)
+    found = let(let(total(gaps) / n, around), lambda c: let(total(F.transform(c, lambda x: x * x)), lambda power: peak(c, power)))
+    return F.when(n < 4, 0.0).otherwise(found)
