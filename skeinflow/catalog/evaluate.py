@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as A, evaluate as V, incidents as I, ledger as G
 from ..plans.flow_view import DAY_US, duck, flow_view
+from ..plans.stages import new_path, settle
+from ..sources import flow_logs as SF
 from . import alerts as CA
 from .registry import query, rounded, table
 
@@ -55,13 +57,12 @@ def latency_percentiles(spark, sf_dir):
 
 
 GAP_S = 86_400.0
-CL = f""", ev AS (SELECT ts_us / 1e6 AS ts, dst_ip AS entity, protocol = 'UDP' AND event_id % 7 = 0 AS is_attack FROM fv WHERE event_id % 3 = 0), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts) <= {GAP_S} THEN 0 ELSE 1 END AS new FROM ev),
+CL = f""", ev AS (SELECT ts_us / 1e6 AS ts, dst_ip AS entity, protocol = 'UDP' AND event_id % 7 = 0 AS is_attack FROM fv), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts) <= {GAP_S} THEN 0 ELSE 1 END AS new FROM ev),
  n AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g), cl AS (SELECT entity, min(ts) AS first_ts, bool_or(is_attack) AS is_attack, count(*) AS alerts FROM n GROUP BY entity, i)"""
 
 
 def alert_events(spark, sf_dir):
-    rows = flow_view(spark, sf_dir).where("event_id % 3 = 0")
-    return rows.select((F.col("ts_us") / 1e6).alias("ts"), F.col("dst_ip").alias("entity"), ((F.col("protocol") == "UDP") & (F.col("event_id") % 7 == 0)).alias("is_attack"))
+    return flow_view(spark, sf_dir).select((F.col("ts_us") / 1e6).alias("ts"), F.col("dst_ip").alias("entity"), ((F.col("protocol") == "UDP") & (F.col("event_id") % 7 == 0)).alias("is_attack"))
 
 
 @query(duck(CL + " SELECT entity, round(first_ts, 6) + 0.0 AS first_ts, is_attack, alerts FROM cl"))
@@ -75,7 +76,7 @@ def incident_operations(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir):
-    return CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class", "severity").persist()
+    return settle(CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class", "severity"), "alerts")
 
 
 #: Leaves, and roots of blocks of ten by four folds.
@@ -101,6 +102,14 @@ def verify_ledger(spark, sf_dir):
     return G.verify_ledger(blocks.withColumn("timestamp", F.when(F.col("block_height") % 5 == 3, F.lit("2020-01-01T00:00:00Z")).otherwise(F.col("timestamp"))))
 
 
+@query(duck(LEDGER + " SELECT h AS block_height, '' AS errors FROM b4"))
+def read_ledger(spark, sf_dir):
+    """A ledger written as JSON lines, read again and verified."""
+    path = new_path(spark, "ledger")
+    SF.write_ledger(G.ledger_chain(_alerts(spark, sf_dir)), path)
+    return G.verify_ledger(SF.read_ledger(spark, path))
+
+
 @query(duck(CA.AL + " SELECT alert_id, CASE WHEN substr(alert_id, 1, 1) = '0' THEN 'missing' WHEN substr(alert_id, 1, 1) = '1' THEN 'altered' WHEN substr(alert_id, 1, 1) = '2' THEN 'unsealed' ELSE 'sealed' END AS status FROM al"))
 def alert_ledger_audit(spark, sf_dir):
     rows, one = _alerts(spark, sf_dir), F.substring("alert_id", 1, 1)

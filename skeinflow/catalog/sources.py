@@ -51,10 +51,10 @@ def read_domain_rank(spark, sf_dir):
     return L.read_domain_rank(spark, path)
 
 
-@query(duck(" SELECT DISTINCT tls_ja3 AS ja3, 'family' || (user_id % 3) AS family FROM fv WHERE tls_ja3 IS NOT NULL AND user_id < 12"))
+@query(duck(" SELECT DISTINCT tls_ja3 AS ja3, 'family' || (user_id % 3) AS family FROM fv WHERE tls_ja3 IS NOT NULL"))
 def read_ja3_intel(spark, sf_dir):
     path = new_path(spark, "ja3")
-    rows = flow_view(spark, sf_dir).where("tls_ja3 is not null and user_id < 12").select(F.upper("tls_ja3").alias("ja3"), F.concat(F.lit("family"), (F.col("user_id") % 3).cast("string")).alias("family")).distinct()
+    rows = flow_view(spark, sf_dir).where("tls_ja3 is not null").select(F.upper("tls_ja3").alias("ja3"), F.concat(F.lit("family"), (F.col("user_id") % 3).cast("string")).alias("family")).distinct()
     rows.select(F.concat_ws(",", "ja3", "family", F.lit("2020-01-01")).alias("value")).unionAll(rows.limit(1).select(F.lit("# a comment").alias("value"))).write.text(path)
     return L.read_ja3_intel(spark, path).select("ja3", "family")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GENESIS = hashlib.sha256(b"SKEINFLOW_GENESIS").hexdigest()
 METADATA = "{}"
-RANGES = 256
+RANGES = 64
 
 
 def sha(data: Column) -> Column:
@@ -25,16 +25,16 @@ def leaf_hash(alerts: DataFrame) -> Column:
     return sha(F.to_json(F.struct(*sorted(alerts.columns))))
 
 
-def merkle_root(leaves: Column, levels: int = 12) -> Column:
-    """The root of an array of hex hashes: pairs are hashed, an odd last one with itself; of nothing, SHA-256 of nothing.
-
-    ``levels`` folds take arrays of up to 2^levels leaves to one."""
+def merkle_root(leaves: Column) -> Column:
+    """The root of an array of hex hashes, of any size: pairs are hashed, an odd last one with itself; of nothing, SHA-256 of
+    nothing. As many folds as the size needs."""
 
     def up(layer: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(layer) - 1) / 2).cast("int")), lambda i: sha(F.unhex(F.concat(F.get(layer, i * 2), F.coalesce(F.get(layer, i * 2 + 1), F.get(layer, i * 2))))))
         return F.when(F.size(layer) > 1, pairs).otherwise(layer)
 
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), leaves, lambda layer, _: up(layer))
+    folds = F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(2)).cast("double"))).cast("int") + 1  # one more than needed changes nothing
+    top = F.aggregate(F.sequence(F.lit(1), folds), leaves, lambda layer, _: up(layer))
     return F.when(F.size(leaves) > 0, F.get(top, 0)).otherwise(F.lit(hashlib.sha256(b"").hexdigest()))
 
 
@@ -55,11 +55,10 @@ def _chain(batches, genesis: str):
 
 
 def ordered_number(rows: DataFrame, order: list[str], ts: str) -> DataFrame:
-    """``rows`` with ``n``, their place from 0 in the whole order: places within ranges of time, and the ranges' sums."""
-    low, high = rows.agg(F.min(ts), F.max(ts)).first()
-    if low is None:
-        return rows.withColumn("n", F.lit(0).cast("long"))
-    ranged = rows.withColumn("_range", F.floor((F.col(ts) - low) * RANGES / (high - low + 1)).cast("int"))
+    """``rows`` with ``n``, their place from 0 in the whole order: places within ranges of ``ts`` that hold about as many rows
+    each, by quantiles, and the ranges' sums."""
+    bounds = sorted(set(rows.approxQuantile(ts, [i / RANGES for i in range(1, RANGES)], 0.002)))
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(ts))) if bounds else F.lit(0))
     sums = ranged.groupBy("_range").agg(F.count("*").alias("_c"))  # RANGES rows at most
     sums = sums.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
@@ -75,7 +74,7 @@ def ledger_chain(alerts: DataFrame, size: int = 10, genesis: str = GENESIS, firs
     blocks = rows.groupBy("block_height").agg(F.max("ts_us").alias("us"), F.array_sort(F.collect_list(leaf)).alias("l"))
     leaves = F.transform("l", lambda x: F.struct(x["alert_id"].alias("alert_id"), x["leaf_hash"].alias("leaf_hash")))
     time = F.date_format(F.expr("timestampadd(MICROSECOND, us, TIMESTAMP_NTZ '1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    blocks = blocks.select("block_height", merkle_root(F.transform("l", lambda x: x["leaf_hash"]), max(1, (size - 1).bit_length())).alias("merkle_root"), time.alias("timestamp"), F.lit(METADATA).alias("metadata"), leaves.alias("leaves"))
+    blocks = blocks.select("block_height", merkle_root(F.transform("l", lambda x: x["leaf_hash"])).alias("merkle_root"), time.alias("timestamp"), F.lit(METADATA).alias("metadata"), leaves.alias("leaves"))
     heads = blocks.drop("leaves").repartition(1).sortWithinPartitions("block_height")
     chain = heads.mapInArrow(lambda b: _chain(b, genesis), "block_height long, prev_block_hash string, block_hash string")
     return blocks.join(chain, "block_height").select("block_height", "prev_block_hash", "merkle_root", "timestamp", "metadata", "block_hash", "leaves")

@@ -135,7 +135,7 @@ def decode(link: int, frame: bytes) -> tuple:
         if len(frame) < at + 20:
             return nothing("short")
         head, length = (frame[at] & 15) * 4, struct.unpack_from("!H", frame, at + 2)[0]
-        if struct.unpack_from("!H", frame, at + 6)[0] & 0x1FFF:
+        if struct.unpack_from("!H", frame, at + 6)[0] & 0x3FFF:  # an offset, or more to come
             return nothing("fragment")
         proto, src, dst = frame[at + 9], frame[at + 12 : at + 16], frame[at + 16 : at + 20]
         end, at = at + length, at + head
@@ -143,6 +143,8 @@ def decode(link: int, frame: bytes) -> tuple:
         if len(frame) < at + 40:
             return nothing("short")
         length, proto = struct.unpack_from("!H", frame, at + 4)[0] + 40, frame[at + 6]
+        if proto == 44:
+            return nothing("fragment")
         src, dst, end, at = frame[at + 8 : at + 24], frame[at + 24 : at + 40], at + length, at + 40
     else:
         return nothing("no_ip")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalars import leftmost_label, parse_flow_port, parse_flow_state, parse_flow_time
 
 FLOW_LOG = "StartTime string, Dur string, Proto string, SrcAddr string, Sport string, Dir string, DstAddr string, Dport string, State string, sTos string, dTos string, TotPkts string, TotBytes string, SrcBytes string, Label string"
-BLOCK = "block_height long, prev_block_hash string, merkle_root string, timestamp string, metadata map<string,string>, block_hash string, signature string, leaf_hashes array<struct<alert_id:string,leaf_hash:string>>"
+BLOCK = "block_height long, prev_block_hash string, merkle_root string, timestamp string, metadata string, block_hash string, signature string, leaf_hashes array<struct<alert_id:string,leaf_hash:string>>"
 ALERT = "alert_id string, timestamp string, threat_class string, severity string, confidence double, source struct<ip:string,port:int>, destination struct<ip:string,port:int>, evidence array<struct<feature:string,value:string,interpretation:string>>"
 
 
@@ -32,8 +32,14 @@ def read_flow_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a JSON-lines ledger; malformed lines are skipped."""
-    return spark.read.schema(BLOCK).option("mode", "DROPMALFORMED").json(path)
+    """Blocks of a JSON-lines ledger as ``ledger.verify_ledger`` takes them: metadata is its text as written, object or string;
+    malformed lines are skipped."""
+    return spark.read.schema(BLOCK).option("mode", "DROPMALFORMED").json(path).withColumnRenamed("leaf_hashes", "leaves")
+
+
+def write_ledger(blocks: DataFrame, path: str) -> None:
+    """Blocks of ``ledger.ledger_chain`` as JSON lines."""
+    blocks.withColumnRenamed("leaves", "leaf_hashes").write.json(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:

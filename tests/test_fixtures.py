@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import scalars as S
 from skeinflow.operators import evaluate as V, graph as G, incidents as I, ledger as L, models as M, networks as N, rules as R, sessions as X, windows as W
-from skeinflow.sources import netflow
+from skeinflow.sources import captures, netflow
 
 FLOW = "event_id long, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, length long, syn boolean, ack boolean, fin boolean, rst boolean, dns_query string, dns_qtype string, tls_ja3 string, tcp_seq long, payload_len long"
 SEC = 1_000_000
@@ -176,10 +176,10 @@ def _root(leaves):
     return layer[0].hex() if layer else hashlib.sha256(b"").hexdigest()
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10, 5000])
 def test_merkle_root(spark, n):
-    leaves = [hashlib.sha256(bytes([i])).hexdigest() for i in range(n)]
-    assert value(spark, L.merkle_root(F.array(*map(F.lit, leaves)).cast("array<string>"))) == _root(leaves)
+    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    assert value(spark, L.merkle_root(F.split(F.lit(",".join(leaves)), ",") if n else F.array().cast("array<string>"))) == _root(leaves)
 
 
 def test_ledger_finds_changes(spark):
@@ -218,3 +218,13 @@ def test_scalars(spark):
     assert value(spark, S.anomaly_to_prob(F.lit(0.0))) == 0.5
     assert value(spark, S.pst_pattern_matches(F.array(*map(F.lit, (200, -1500, 300, 10))))) == 2
     assert math.isclose(value(spark, S.autocorr_peak(F.array(*[F.lit(float(x)) for x in (1, 2, 1, 2, 1, 2)]))), 4 / 6, rel_tol=1e-9)
+
+
+def test_fragments_are_no_events():
+    def v4(flags):
+        return bytes([0x45, 0, 0, 28, 0, 1, *flags, 64, 17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + bytes([0, 53, 0, 54, 0, 8, 0, 0])
+
+    ethernet = bytes(12) + b"\x08\x00"
+    assert [captures.decode(1, ethernet + v4(flags))[0] for flags in ((0, 0), (0x40, 0), (0x20, 0), (0, 1))] == ["ok", "ok", "fragment", "fragment"]
+    v6 = bytes([0x60, 0, 0, 0, 0, 8, 44, 64]) + bytes(32) + bytes(8)
+    assert captures.decode(1, bytes(12) + b"\x86\xdd" + v6)[0] == "fragment"
