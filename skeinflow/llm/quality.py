@@ -52,7 +52,7 @@ VOCABULARY = 1 << 17
 LETTERS = 62
 HOT = 64
 BLOCK_WORDS = 1 << 20
-SHARD_CHARS = 32_000_000
+SHARD_CHARS = 64_000_000
 BROADCAST_IDS = 2_000_000
 SCALE = 1 << 24
 NONE = "\x00"  # stands for a null language
@@ -486,8 +486,8 @@ def _at(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, names[at] == wanted
 
 
-def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """For distinct sorted trigrams ``wanted`` of one shard, from the shard's training counts."""
+def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray):
+    """The function of sorted trigrams of one shard, from the shard's training counts."""
     language = model.language
     d3 = model.discount[3][language[trigrams >> (2 * BITS)], np.minimum(counts, 3)]
     context3, total3, weight3, of3 = _contexts(trigrams >> BITS, counts, d3)
@@ -511,7 +511,7 @@ def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray, wanted
         at, there = _at(trigrams, part)
         return -np.log(p + (np.where(there, first3[at], 0.0) if len(first3) else 0.0))
 
-    return np.concatenate([scored(wanted[at : at + (1 << 19)]) for at in range(0, len(wanted), 1 << 19)])
+    return scored
 
 
 def _document_batches(batches, lexicon: Lexicon, shards: int):
@@ -532,22 +532,29 @@ def _document_batches(batches, lexicon: Lexicon, shards: int):
 def _score_batches(batches, model: Model):
     """Shards of ``_document_batches`` -> (row, nats, chars) of the documents in them."""
     for rows in _runs(batches):
-        offsets = np.cumsum([0, *(r["docs"] for r in rows)])
-        keys = np.concatenate([unpack_keys(r["keys"], r["size"]) for r in rows])
-        doc = np.concatenate([(unpack(r["doc"], r["size"]) + o).astype(np.int32) for r, o in zip(rows, offsets)])
+        offsets, ends = (np.cumsum([0, *(r[c] for r in rows)]) for c in ("docs", "size"))
         trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
         row = np.concatenate([np.frombuffer(r["row"], np.int64) for r in rows])
         chars, extra = (np.concatenate([unpack(r[c], r["docs"]) for r in rows]) for c in ("chars", "extra"))
-        rows.clear()
-        order = np.argsort(keys, kind="stable")
+        keys, doc = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int32)
+        for i, offset in enumerate(offsets[:-1]):
+            r, rows[i] = rows[i], None
+            keys[ends[i] : ends[i + 1]] = unpack_keys(r["keys"], r["size"])
+            doc[ends[i] : ends[i + 1]] = unpack(r["doc"], r["size"]) + offset
+        order = np.argsort(keys)
         keys, doc = keys[order], doc[order]
         del order
-        first = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
-        seen = np.add.reduceat(trains[doc].astype(np.int64), first)
-        wanted = keys[first]
-        costs = np.rint(negative_logs(model, wanted[seen > 0], seen[seen > 0], wanted) * SCALE)
-        # sums of whole numbers below 2^53 are exact in doubles
-        nats = np.bincount(doc, np.repeat(costs, np.diff(np.r_[first, len(keys)])), offsets[-1]).astype(np.int64) + extra
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        seen, wanted = np.add.reduceat(trains[doc].astype(np.int32), first), keys[first]
+        scored = negative_logs(model, wanted[seen > 0], seen[seen > 0].astype(np.int64))
+        first, nats = np.r_[first, len(keys)], np.zeros(offsets[-1])
+        del keys
+        for at in range(0, len(wanted), 1 << 19):
+            part = slice(at, at + (1 << 19))
+            costs = np.repeat(np.rint(scored(wanted[part]) * SCALE), np.diff(first[at : at + (1 << 19) + 1]))
+            # sums of whole numbers below 2^53 are exact in doubles
+            nats += np.bincount(doc[first[at] : first[at] + len(costs)], costs, offsets[-1])
+        nats = nats.astype(np.int64) + extra
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats), pa.array(chars)], ["row", "nats", "chars"])
 
 

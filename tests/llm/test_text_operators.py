@@ -314,7 +314,7 @@ def test_quality_equals_brute_force(spark, monkeypatch, shards, hot):
     for a, b in (("the", "cat"), ("on", "the"), ("mat", "mat")):
         wanted = np.sort(np.array([(ids[b] << 36) | (ids[a] << 18) | i for i in range(len(model.single))]))
         if hot == 1:
-            total = np.exp(-quality.negative_logs(model, trigrams, np.ones(len(trigrams), np.int64), wanted)).sum()
+            total = np.exp(-quality.negative_logs(model, trigrams, np.ones(len(trigrams), np.int64))(wanted)).sum()
             assert total == pytest.approx(1.0, rel=1e-9)
 
 
