@@ -51,7 +51,8 @@ SHORT_CHARS = 64
 VOCABULARY = 1 << 17
 LETTERS = 62
 HOT = 64
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
+PART = 2_500_000
 SHARD_CHARS = 64_000_000
 BROADCAST_IDS = 2_000_000
 SCALE = 1 << 24
@@ -529,33 +530,43 @@ def _document_batches(batches, lexicon: Lexicon, shards: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
+def _parts(rows: list[dict], offsets: np.ndarray):
+    """(keys, doc) of a shard's rows in parts of about ``PART`` trigrams, cut between middle words; each part reads the packed
+    rows again, so that one part at a time is in memory."""
+    sample = np.concatenate([unpack_keys(r["keys"], r["size"])[:: 1 + len(rows) // 4] for r in rows])
+    count = -(-sum(r["size"] for r in rows) // PART)
+    cuts = np.unique(np.quantile(sample >> (2 * BITS), np.arange(1, count) / count, method="nearest").astype(np.int64)) << (2 * BITS)
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), 1 << 62]):
+        keys, doc = [], []
+        for r, offset in zip(rows, offsets):
+            own = unpack_keys(r["keys"], r["size"])
+            at = slice(*np.searchsorted(own, [low, high]))
+            keys.append(own[at].copy())
+            doc.append((unpack(r["doc"], r["size"])[at] + offset).astype(np.int32))
+        keys, doc = np.concatenate(keys), np.concatenate(doc)
+        if len(keys):
+            order = np.argsort(keys)
+            yield keys[order], doc[order]
+
+
 def _score_batches(batches, model: Model):
     """Shards of ``_document_batches`` -> (row, nats, chars) of the documents in them."""
     for rows in _runs(batches):
-        offsets, ends = (np.cumsum([0, *(r[c] for r in rows)]) for c in ("docs", "size"))
+        offsets = np.cumsum([0, *(r["docs"] for r in rows)])
         trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
         row = np.concatenate([np.frombuffer(r["row"], np.int64) for r in rows])
         chars, extra = (np.concatenate([unpack(r[c], r["docs"]) for r in rows]) for c in ("chars", "extra"))
-        keys, doc = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int32)
-        for i, offset in enumerate(offsets[:-1]):
-            r, rows[i] = rows[i], None
-            keys[ends[i] : ends[i + 1]] = unpack_keys(r["keys"], r["size"])
-            doc[ends[i] : ends[i + 1]] = unpack(r["doc"], r["size"]) + offset
-        order = np.argsort(keys)
-        keys, doc = keys[order], doc[order]
-        del order
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        seen, wanted = np.add.reduceat(trains[doc].astype(np.int32), first), keys[first]
-        scored = negative_logs(model, wanted[seen > 0], seen[seen > 0].astype(np.int64))
-        first, nats = np.r_[first, len(keys)], np.zeros(offsets[-1])
-        del keys
-        for at in range(0, len(wanted), 1 << 19):
-            part = slice(at, at + (1 << 19))
-            costs = np.repeat(np.rint(scored(wanted[part]) * SCALE), np.diff(first[at : at + (1 << 19) + 1]))
-            # sums of whole numbers below 2^53 are exact in doubles
-            nats += np.bincount(doc[first[at] : first[at] + len(costs)], costs, offsets[-1])
-        nats = nats.astype(np.int64) + extra
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats), pa.array(chars)], ["row", "nats", "chars"])
+        nats = np.zeros(offsets[-1])
+        for keys, doc in _parts(rows, offsets):
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            seen, wanted = np.add.reduceat(trains[doc].astype(np.int32), first), keys[first]
+            scored = negative_logs(model, wanted[seen > 0], seen[seen > 0].astype(np.int64))
+            first = np.r_[first, len(keys)]
+            for at in range(0, len(wanted), 1 << 19):
+                costs = np.repeat(np.rint(scored(wanted[at : at + (1 << 19)]) * SCALE), np.diff(first[at : at + (1 << 19) + 1]))
+                # sums of whole numbers below 2^53 are exact in doubles
+                nats += np.bincount(doc[first[at] : first[at] + len(costs)], costs, offsets[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats.astype(np.int64) + extra), pa.array(chars)], ["row", "nats", "chars"])
 
 
 def to_shards(packed: DataFrame, shards: int) -> DataFrame:

@@ -301,6 +301,7 @@ def brute_nats(train, text):
 @pytest.mark.parametrize("shards,hot", [(1, 1), (5, 1), (3, 1_000)])
 def test_quality_equals_brute_force(spark, monkeypatch, shards, hot):
     monkeypatch.setattr(quality, "HOT", hot)
+    monkeypatch.setattr(quality, "PART", 10)
     texts = [*SENTENCES, "a cat sat on the log", "unseen words: mat mat on dogs"]
     rows = spark.createDataFrame([(i, "en", t, i < len(SENTENCES)) for i, t in enumerate(texts)], "row long, lang string, text string, trains boolean")
     tokens, model = quality.train(rows.where("trains"), shards)
