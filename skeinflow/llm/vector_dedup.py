@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
+from .filters import only_keys
 from .store import settle
 from .vectors import matrices, runs, stored, unit, usable
 
@@ -125,12 +126,12 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     bits, tables = shape(classes.count(), threshold)
     hashed = classes.select("id", "n", "vector").mapInArrow(lambda b: _hashed(b, bits, tables), f"tbl int, sig long, id long, n long, signs binary, vector {classes.schema['vector'].dataType.simpleString()}")
     blocks = hashed.groupBy("tbl", "sig").agg(F.ceil(F.count("*") / BLOCK).alias("m")).where("m > 1")
-    m, own = F.coalesce("m", F.lit(1)).cast("int"), F.col("block")
-    placed = hashed.join(blocks.hint("merge"), ["tbl", "sig"], "left").withColumn("m", m).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     keys = ["tbl", "sig", "i", "j"]
-    # buckets of one block are together after the join; only the blocks of larger ones move again
-    whole = placed.where("m = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    split = placed.where("m > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other"))
+    bucket = F.xxhash64("tbl", "sig")
+    # buckets of one block are together after the join; of the larger ones alone the vectors are dealt out again
+    whole = hashed.join(blocks.hint("merge"), ["tbl", "sig"], "left").where("m is null").withColumns({"block": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+    split = only_keys(hashed, blocks, bucket, bucket).join(blocks.hint("merge"), ["tbl", "sig"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     rows = [df.select(*keys, "block", "id", "n", "signs", "vector") for df in (whole, split.repartition(*keys))]
     return reduce(DataFrame.unionAll, (df.sortWithinPartitions(*keys).mapInArrow(lambda b: _links(b, threshold), "a long, b long, links long") for df in rows))
 
