@@ -16,8 +16,8 @@ meet in one shard. Words that are over a ``HOT``-th of the training text are dea
 discounts, and the numbers of words that each word follows give the single words' probabilities.
 
 Scores. The trigrams of every document go to the same shards, packed by blocks (sorted, as differences, compressed), with their
-documents and whether those train. A shard counts what trains, joins it by sorted search with all trigrams, and returns the sum of
-negative logarithms of each document, which are added up by document as multiples of 2^-24, in any order with the same result.
+documents and whether those train. A shard counts what trains, joins it by sorted search with all trigrams, and returns for each
+block the sums of negative logarithms of its documents, as multiples of 2^-24, which are added up in any order with the same result.
 
 Thresholds. A text of n characters is judged by (its nats a character - the median) * n / (n + ``SHORT_CHARS``), as a few
 characters prove little. The limit is the ``QUANTILE`` quantile of that over the other fifth of the language's trusted
@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -380,12 +381,12 @@ def _trigram_batches(batches, lexicon: Lexicon, shards: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "size", "keys", "n"])
 
 
-def _runs(batches):
-    """(shard, its rows) of rows in order of shard; memory: one shard."""
+def _runs(batches, key: str = "shard"):
+    """The rows of each key, of rows in order of it; memory: the rows of one key and one batch."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0]["shard"] != row["shard"]:
+            if held and held[0][key] != row[key]:
                 yield held
                 held = []
             held.append(row)
@@ -516,18 +517,17 @@ def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray):
 
 
 def _document_batches(batches, lexicon: Lexicon, shards: int):
-    """(shard, size, docs, keys, doc, row, trains, chars, extra): all trigrams of a block for a shard. What belongs to a
-    document itself goes with the shard of the first trigram it has in the block."""
-    names = ["shard", "size", "docs", "keys", "doc", "row", "trains", "chars", "extra"]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+    """(shard, size, docs, block, keys, doc, trains): the trigrams of a block for a shard, with the numbers of their documents in
+    the block. One row for each block has size 0 and what belongs to the documents: their keys, lengths and costs of spellings.
+
+    A block is named by its documents. Blocks alike share a name; their sums are then of all of them, as are the lengths."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
     for block in _blocks(batches, lexicon):
-        told, out = np.zeros(len(block.rows), bool), []
-        for shard, at in _by_shard(block.keys, lexicon.hot, shards):
-            docs, doc = np.unique(block.doc[at], return_inverse=True)
-            new = ~told[docs]
-            told[docs] = True
-            out.append((shard, len(at), len(docs), pack_keys(block.keys[at]), pack(doc), block.rows[docs].tobytes(), np.packbits(block.trains[docs]).tobytes(), pack(block.chars[docs] * new), pack(block.extra[docs] * new)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        name = int.from_bytes(blake2b(block.rows.tobytes() + block.trains.tobytes(), digest_size=8).digest(), "little", signed=True)
+        docs, trains = len(block.rows), np.packbits(block.trains).tobytes()
+        out = [(name % shards, 0, docs, name, block.rows.tobytes(), pack(block.chars), pack(block.extra))]
+        out += [(shard, len(at), docs, name, pack_keys(block.keys[at]), pack(block.doc[at]), trains) for shard, at in _by_shard(block.keys, lexicon.hot, shards)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["shard", "size", "docs", "block", "keys", "doc", "trains"])
 
 
 def _parts(rows: list[dict], offsets: np.ndarray):
@@ -550,14 +550,16 @@ def _parts(rows: list[dict], offsets: np.ndarray):
 
 
 def _score_batches(batches, model: Model):
-    """Shards of ``_document_batches`` -> (row, nats, chars) of the documents in them."""
-    for rows in _runs(batches):
+    """Shards of ``_document_batches`` -> (block, docs, nats, row, chars): sums of a block's documents in the shard; the rows
+    that tell of the documents pass with their keys and lengths."""
+    for rows in _runs(batches, "shard"):
+        told, rows = [r for r in rows if not r["size"]], [r for r in rows if r["size"]]
+        out = [(r["block"], r["docs"], r["trains"], r["keys"], r["doc"]) for r in told]
         offsets = np.cumsum([0, *(r["docs"] for r in rows)])
-        trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
-        row = np.concatenate([np.frombuffer(r["row"], np.int64) for r in rows])
-        chars, extra = (np.concatenate([unpack(r[c], r["docs"]) for r in rows]) for c in ("chars", "extra"))
         nats = np.zeros(offsets[-1])
-        for keys, doc in _parts(rows, offsets):
+        if rows:
+            trains = np.concatenate([np.unpackbits(np.frombuffer(r["trains"], np.uint8), count=r["docs"]) for r in rows]).astype(bool)
+        for keys, doc in _parts(rows, offsets) if rows else ():
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             seen, wanted = np.add.reduceat(trains[doc].astype(np.int32), first), keys[first]
             scored = negative_logs(model, wanted[seen > 0], seen[seen > 0].astype(np.int64))
@@ -566,7 +568,19 @@ def _score_batches(batches, model: Model):
                 costs = np.repeat(np.rint(scored(wanted[at : at + (1 << 19)]) * SCALE), np.diff(first[at : at + (1 << 19) + 1]))
                 # sums of whole numbers below 2^53 are exact in doubles
                 nats += np.bincount(doc[first[at] : first[at] + len(costs)], costs, offsets[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats.astype(np.int64) + extra), pa.array(chars)], ["row", "nats", "chars"])
+        nats = nats.astype(np.int64)
+        out += [(r["block"], r["docs"], pack(nats[a:b]), None, None) for r, a, b in zip(rows, offsets, offsets[1:])]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "docs", "nats", "row", "chars"])
+
+
+def _sum_batches(batches):
+    """Blocks of ``_score_batches`` -> (row, nats, chars)."""
+    for rows in _runs(batches, "block"):
+        nats = sum(unpack(r["nats"], r["docs"]) for r in rows)
+        told = [r for r in rows if r["row"] is not None]
+        row, chars = np.frombuffer(told[0]["row"], np.int64), sum(unpack(r["chars"], r["docs"]) for r in told)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(nats), pa.array(chars)], ["row", "nats", "chars"])
 
 
 def to_shards(packed: DataFrame, shards: int) -> DataFrame:
@@ -577,9 +591,10 @@ def to_shards(packed: DataFrame, shards: int) -> DataFrame:
 def document_nats(flagged: DataFrame, tokens: Broadcast, model: Model, shards: int) -> DataFrame:
     """(row, nats): nats a character of texts (row, lang, text, trains); equal rows are one."""
     spread = flagged.sparkSession.sparkContext.broadcast(model)
-    packed = flagged.mapInArrow(lambda b: _document_batches(b, tokens.value, shards), "shard int, size long, docs long, keys binary, doc binary, row binary, trains binary, chars binary, extra binary")
-    sums = to_shards(packed, shards).mapInArrow(lambda b: _score_batches(b, spread.value), "row long, nats long, chars long")
-    return sums.groupBy("row").agg((F.sum("nats") / F.lit(SCALE) / F.sum("chars")).alias("nats"))
+    packed = flagged.mapInArrow(lambda b: _document_batches(b, tokens.value, shards), "shard int, size long, docs long, block long, keys binary, doc binary, trains binary")
+    sums = to_shards(packed, shards).mapInArrow(lambda b: _score_batches(b, spread.value), "block long, docs long, nats binary, row binary, chars binary")
+    rows = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_batches, "row long, nats long, chars long")
+    return rows.groupBy("row").agg((F.sum("nats") / F.lit(SCALE) / F.sum("chars")).alias("nats"))
 
 
 def _language(docs: DataFrame) -> Column:
