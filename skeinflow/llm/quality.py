@@ -53,7 +53,7 @@ VOCABULARY = 1 << 17
 LETTERS = 62
 HOT = 64
 BLOCK_WORDS = 1 << 19
-PART = 2_500_000
+PART = 1_500_000
 SHARD_CHARS = 64_000_000
 BROADCAST_IDS = 2_000_000
 SCALE = 1 << 24
