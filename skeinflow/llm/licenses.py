@@ -5,8 +5,9 @@ ASCII letters and digits and of all other characters from U+0080 on. Rules are t
 the text. Detections that lie inside another detection of higher priority, or inside a longer one of the same priority, are
 suppressed; the base phrases, which a caller counts, are never suppressed.
 
-The rules are made from the families below: each license has names, each name may have versions, and each phrasing gives one
-signature. Priority follows how much a phrasing says: a grant of rights over a reference, a reference over a bare mention.
+Some 300 signatures of license texts, headers, expressions, links and notices are written by hand (``license_rules``). Mentions
+of a license by name come from the families below: each license has names, each name may have versions, and each phrasing
+gives one more rule. Priority follows how much a rule says: a license's own text or a grant over a reference or bare mention.
 
 Rows are independent, no shuffle; whole texts are scanned. Defined results: a null text is an empty one (no words, score 0);
 null doc_id, repeated rows: as they are; other columns are ignored.
@@ -22,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .license_rules import SIGNATURES
+
 #: Phrase and label.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -31,7 +34,7 @@ FAMILIES = (
     ("apache", "apache", "apache(?: software)?", (("1 0", "-1.0"), ("1 1", "-1.1"), ("2(?: 0)?", "-2"))),
     ("gpl", "general", "(?:gnu )?general public", (("1(?: 0)?", "-1"), ("2(?: 0)?", "-2"), ("3(?: 0)?", "-3"))),
     ("gpl", "gpl", "(?:gnu )?gpl", (("1(?: 0)?", "-1"), ("2(?: 0)?", "-2"), ("3(?: 0)?", "-3"))),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", (("2(?: 0)?", "-2"), ("2 1", "-2.1"), ("3(?: 0)?", "-3"))),
+    ("lgpl", "general", "(?:gnu )?(?:lesser|library) general public", (("2(?: 0)?", "-2"), ("2 1", "-2.1"), ("3(?: 0)?", "-3"))),
     ("lgpl", "lgpl", "(?:gnu )?lgpl", (("2(?: 0)?", "-2"), ("2 1", "-2.1"), ("3(?: 0)?", "-3"))),
     ("agpl", "affero", "(?:gnu )?affero general public", (("1(?: 0)?", "-1"), ("3(?: 0)?", "-3"))),
     ("agpl", "agpl", "(?:gnu )?agpl", (("1(?: 0)?", "-1"), ("3(?: 0)?", "-3"))),
@@ -71,20 +74,6 @@ PHRASINGS = (
     (60, "{n} licen[cs]e{v}"),
 )
 
-#: Priority, label, keyword and regex of notices that name no license.
-NOTICES = (
-    (50, "all-rights-reserved", "reserved", "all rights reserved"),
-    (45, "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    (40, "public-domain", "domain", "(?:released into|dedicated to|is in) the public domain"),
-    (55, "mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    (55, "isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    (55, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    (55, "zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors"),
-    (55, "gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public"),
-    (30, "proprietary", "confidential", "(?:confidential and proprietary|proprietary and confidential)"),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     priority: int
@@ -95,11 +84,12 @@ class Rule:
 
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, the highest priority first and then in the order of the families."""
-    out = [Rule(p, label, k, r) for p, label, k, r in NOTICES]
+    """All rules, the highest priority first, then signatures before families, in their order."""
+    lines = (x.split(" ", 3) for x in SIGNATURES.splitlines() if x and not x.startswith("#"))
+    out = [Rule(int(p), label, k, r) for p, label, k, r in lines]
     for label, keyword, name, versions in FAMILIES:
         for priority, phrase in PHRASINGS:
-            out += [Rule(priority + 5, label + end, keyword, phrase.format(n=name, v=f"(?: version)?(?: v)? ?{words}(?: or later)?")) for words, end in versions]
+            out += [Rule(priority + 5, label + end, keyword, phrase.format(n=name, v=f"(?: version)?(?: v ?| ){words}(?: or later)?")) for words, end in versions]
             out.append(Rule(priority, label, keyword, phrase.format(n=name, v="")))
     for code, words in CREATIVE_COMMONS:
         short = code.replace("-", " ")
@@ -117,15 +107,17 @@ _TO_WORDS = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPA
 class Scanner:
     def __init__(self):
         self.rules = [(r, re.compile(b" " + r.pattern.encode() + b"(?= )")) for r in rules()]
-        self.keywords = {r.keyword.encode() for r in rules()}
+        self.by_keyword: dict[bytes, list[int]] = {}
+        for i, (rule, _) in enumerate(self.rules):
+            self.by_keyword.setdefault(rule.keyword.encode(), []).append(i)
+        self.keywords = frozenset(self.by_keyword) | {w.encode() for phrase, _ in BASE_PHRASES for w in phrase.split()[-1:]}
         self.base = [(b" " + phrase.encode() + b" ", label) for phrase, label in BASE_PHRASES]
-        self.gate = re.compile(b" (?:" + b"|".join(sorted(self.keywords)) + b")(?= )")
 
     def scan(self, text: bytes):
         """(number of words, base places [(first word, label)], kept detections [(first, last word, label, priority)])."""
         words = text.translate(_TO_WORDS).split()
         line = b" " + b" ".join(words) + b" "
-        present = {m[1:] for m in self.gate.findall(line)}
+        present = self.keywords.intersection(words) if words else ()
         if not present:
             return len(words), [], []
         starts: list[int] = []
@@ -145,10 +137,10 @@ class Scanner:
                 places.append((word_at(at), label))
                 at = line.find(phrase, at + 1)
         found = []
-        for rule, pattern in self.rules:
-            if rule.keyword.encode() in present:
-                for m in pattern.finditer(line):
-                    found.append((word_at(m.start()), word_at(m.end() - 1), rule.label, rule.priority))
+        for i in sorted(i for word in present for i in self.by_keyword.get(word, ())):
+            rule, pattern = self.rules[i]
+            for m in pattern.finditer(line):
+                found.append((word_at(m.start()), word_at(m.end() - 1), rule.label, rule.priority))
         return len(words), places, _uncontained(found)
 
 
