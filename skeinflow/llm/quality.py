@@ -54,6 +54,7 @@ LETTERS = 62
 HOT = 64
 BLOCK_WORDS = 1 << 19
 PART = 1_500_000
+SLICE = 1 << 18
 SHARD_CHARS = 64_000_000
 BROADCAST_IDS = 2_000_000
 SCALE = 1 << 24
@@ -382,10 +383,11 @@ def _trigram_batches(batches, lexicon: Lexicon, shards: int):
 
 
 def _runs(batches, key: str = "shard"):
-    """The rows of each key, of rows in order of it; memory: the rows of one key and one batch."""
+    """The rows of each key, of rows in order of it, with bytes as views of their batch; memory: the batches of one key."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        values = [[x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+        for row in (dict(zip(batch.schema.names, found)) for found in zip(*values)):
             if held and held[0][key] != row[key]:
                 yield held
                 held = []
@@ -474,8 +476,10 @@ def train(training: DataFrame, shards: int) -> tuple[Broadcast, Model] | None:
 
 
 def _contexts(context: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct contexts of n-grams in order of them, their totals and weights, and the context of each n-gram."""
-    names, of = np.unique(context, return_inverse=True)
+    """Distinct contexts of sorted n-grams, their totals and weights, and the context of each n-gram."""
+    new = np.ones(len(context), bool)
+    new[1:] = context[1:] != context[:-1]
+    names, of = context[new], np.cumsum(new, dtype=np.int32) - 1
     total = np.bincount(of, counts, len(names))
     return names, total, np.bincount(of, d, len(names)) / np.maximum(total, 1), of
 
@@ -533,7 +537,7 @@ def _document_batches(batches, lexicon: Lexicon, shards: int):
 def _parts(rows: list[dict], offsets: np.ndarray):
     """(keys, doc) of a shard's rows in parts of about ``PART`` trigrams, cut between middle words; each part reads the packed
     rows again, so that one part at a time is in memory."""
-    sample = np.concatenate([unpack_keys(r["keys"], r["size"])[:: 1 + len(rows) // 4] for r in rows])
+    sample = np.concatenate([unpack_keys(r["keys"], r["size"])[:: 1 + len(rows) // 4].copy() for r in rows])
     count = -(-sum(r["size"] for r in rows) // PART)
     cuts = np.unique(np.quantile(sample >> (2 * BITS), np.arange(1, count) / count, method="nearest").astype(np.int64)) << (2 * BITS)
     for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), 1 << 62]):
@@ -546,7 +550,10 @@ def _parts(rows: list[dict], offsets: np.ndarray):
         keys, doc = np.concatenate(keys), np.concatenate(doc)
         if len(keys):
             order = np.argsort(keys)
-            yield keys[order], doc[order]
+            part = keys[order], doc[order]
+            del keys, doc, order, own
+            yield part
+            del part
 
 
 def _score_batches(batches, model: Model):
@@ -554,7 +561,7 @@ def _score_batches(batches, model: Model):
     that tell of the documents pass with their keys and lengths."""
     for rows in _runs(batches, "shard"):
         told, rows = [r for r in rows if not r["size"]], [r for r in rows if r["size"]]
-        out = [(r["block"], r["docs"], r["trains"], r["keys"], r["doc"]) for r in told]
+        out = [(r["block"], r["docs"], *(bytes(r[c]) for c in ("trains", "keys", "doc"))) for r in told]
         offsets = np.cumsum([0, *(r["docs"] for r in rows)])
         nats = np.zeros(offsets[-1])
         if rows:
@@ -564,10 +571,11 @@ def _score_batches(batches, model: Model):
             seen, wanted = np.add.reduceat(trains[doc].astype(np.int32), first), keys[first]
             scored = negative_logs(model, wanted[seen > 0], seen[seen > 0].astype(np.int64))
             first = np.r_[first, len(keys)]
-            for at in range(0, len(wanted), 1 << 19):
-                costs = np.repeat(np.rint(scored(wanted[at : at + (1 << 19)]) * SCALE), np.diff(first[at : at + (1 << 19) + 1]))
+            for at in range(0, len(wanted), SLICE):
+                costs = np.repeat(np.rint(scored(wanted[at : at + SLICE]) * SCALE), np.diff(first[at : at + SLICE + 1]))
                 # sums of whole numbers below 2^53 are exact in doubles
                 nats += np.bincount(doc[first[at] : first[at] + len(costs)], costs, offsets[-1])
+            del keys, doc, first, seen, wanted, scored, costs  # the next part is unpacked before they are bound again
         nats = nats.astype(np.int64)
         out += [(r["block"], r["docs"], pack(nats[a:b]), None, None) for r, a, b in zip(rows, offsets, offsets[1:])]
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
