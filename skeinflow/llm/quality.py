@@ -52,10 +52,10 @@ SHORT_CHARS = 64
 VOCABULARY = 1 << 17
 LETTERS = 62
 HOT = 64
-BLOCK_WORDS = 1 << 19
-PART = 1_500_000
+BLOCK_WORDS = 1 << 20
+PART = 600_000
 SLICE = 1 << 18
-SHARD_CHARS = 64_000_000
+SHARD_CHARS = 32_000_000
 BROADCAST_IDS = 2_000_000
 SCALE = 1 << 24
 NONE = "\x00"  # stands for a null language
@@ -185,7 +185,8 @@ def _block(numbers: dict[str, _Numbers], held: list[tuple]) -> Block:
         tokens.append(np.concatenate([[edge, edge], ids, [edge]]))
         special.append((own[OTHER], own[REPEAT]))
     sizes = np.array([len(t) for t in tokens])
-    doc, ids = np.repeat(np.arange(len(held)), sizes), np.concatenate(tokens)
+    doc, ids = np.repeat(np.arange(len(held), dtype=np.int32), sizes), np.concatenate(tokens)
+    del tokens
     special = np.array(special)
     first = np.cumsum(sizes) - sizes
     predicted = np.ones(len(ids), bool)
@@ -203,8 +204,10 @@ def _block(numbers: dict[str, _Numbers], held: list[tuple]) -> Block:
     ids, predicted, doc = np.insert(ids, again, special[doc[again], 1]), np.insert(predicted, again, True), np.insert(doc, again, doc[again])
     at = np.flatnonzero(predicted)
     keys = (ids[at - 1] << (2 * BITS)) | (ids[at - 2] << BITS) | ids[at]
+    doc = doc[at]
+    del ids, predicted, again, at
     order = np.argsort(keys, kind="stable")
-    return Block(keys[order], doc[at][order], np.array([h[0] for h in held], np.int64), np.array([len(h[2]) for h in held], np.int64), np.rint(extra * SCALE).astype(np.int64), np.array([h[3] for h in held], bool))
+    return Block(keys[order], doc[order], np.array([h[0] for h in held], np.int64), np.array([len(h[2]) for h in held], np.int64), np.rint(extra * SCALE).astype(np.int64), np.array([h[3] for h in held], bool))
 
 
 def _blocks(batches, lexicon: Lexicon):
