@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, licenses, lines, mixing, quality, simhash, toxicity, vector_dedup
+from . import ann, bpe, chat, clusters, licenses, lines, mixing, periods, quality, simhash, tokens, toxicity, vector_dedup
 
 #: A parameter: the vocabulary file that the BPE queries read.
 VOCABULARY = os.environ.get("BPE_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
@@ -59,5 +59,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("row_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_chat, op5_ann, op6_vector_dedup, op7_toxicity, op8_line_dedup, op9_licenses, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op10_mixing": mixing.ORACLE}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters_with_inertia(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(periods.with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_chat, op5_ann, op6_vector_dedup, op7_toxicity, op8_line_dedup, op9_licenses, op10_mixing, op11_clusters, op12_periods, op13_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op10_mixing": mixing.ORACLE, "op11_clusters": clusters.ORACLE}
