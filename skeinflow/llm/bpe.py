@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .passing import hidden_pass
+
 CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 LONG_SYMBOLS = 48
@@ -176,6 +178,7 @@ def _spread(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content.encode()).hexdigest()
 
 
+@hidden_pass
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with column ``ids`` array<int> (an input column of that name gives way), for any further columns."""
     content, key = _spread(docs, path)

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .filters import only_keys, split_by_keys
+from .passing import hidden_pass
 from .store import settle
 
 MAX_EDITS = 1
@@ -147,6 +148,7 @@ def line_drops(docs: DataFrame, min_near: int = MIN_NEAR_CHARS) -> DataFrame:
     return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("drop"))
 
 
+@hidden_pass
 def dedup_lines(docs: DataFrame, min_near: int = MIN_NEAR_CHARS) -> DataFrame:
     """``docs`` with the columns it had, ``text`` without the lines that go, and ``n_lines`` and ``n_dropped`` after them.
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .passing import hidden_pass
 from .store import settle
 
 BUCKET_DIGITS = 3
@@ -115,6 +116,7 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     return full.select(*out).unionAll(inside.select(*out)).unionAll(edge.select(*out))
 
 
+@hidden_pass
 def select_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns, once for each epoch that takes them.
 

@@ -44,6 +44,7 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .passing import hidden_pass
 from .store import discard, settle
 
 FOLDS = 5
@@ -616,6 +617,7 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(_language(docs), F.col("text").cast("string"))
 
 
+@hidden_pass
 def score_documents(docs: DataFrame, labels: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` with the columns ``perplexity`` (a character), ``threshold`` and ``keep`` after its own; trusted are the
     documents that ``labels`` (doc_id, quality) gives quality 1."""
@@ -647,6 +649,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, shard_chars: int = SHARD
     return rows.select(*docs.columns, F.exp("nats").alias("perplexity"), F.exp(F.col("_median") + F.col("_limit")).alias("threshold"), keep.alias("keep"))
 
 
+@hidden_pass
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they had."""
     odd = {c: f"_own_{c}" for c in ("perplexity", "threshold", "keep", "nats") if c in docs.columns}

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
+from .passing import hidden_pass
 from .store import settle
 
 MAX_BITS = 4
@@ -127,6 +128,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@hidden_pass
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns: the row that has the group's smallest doc_id.
 

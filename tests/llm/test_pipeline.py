@@ -1,5 +1,9 @@
+import pathlib
+import re
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from skeinflow.llm import bpe, queries
 
@@ -31,3 +35,32 @@ def test_odd_documents(spark, odd, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, odd, SF).count() > 0
     assert stage(spark, empty, SF).count() == 0
+
+
+def working_names():
+    """Every name with an underscore in front that the operators' modules write."""
+    folder = pathlib.Path(bpe.__file__).parent
+    return sorted({n for f in folder.glob("*.py") for n in re.findall(r'"(_[a-z][a-z_0-9]*)"', f.read_text())})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_names_of_working_columns_pass(spark, documents, name):
+    """Columns named like the operators' own come back unchanged, and change nothing."""
+    names = working_names()
+    assert {"_n", "_row", "_limit", "_d", "_h", "_near", "_row_key", "_drop", "_mix_place", "_own_key", "_sh_row", "_bpe_text"} <= set(names)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = documents.where("doc_id < 120")
+    clashing = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    plain, found = stage(spark, docs, SF), stage(spark, clashing, SF)
+    assert found.columns == clashing.columns
+    rows = found.collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert sorted(tuple(r[c] for c in docs.columns) for r in rows) == sorted(map(tuple, plain.collect()))
+
+
+def test_names_of_working_columns_pass_the_encoder(spark, documents):
+    names = working_names()
+    docs = documents.limit(5).withColumns({n: F.lit(n) for n in names})
+    found = bpe.bpe_encode(docs, queries.VOCABULARY)
+    assert found.columns == [*docs.columns, "ids"]
+    assert all(r[n] == n for r in found.collect() for n in names)
