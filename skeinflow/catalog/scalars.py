@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, scalars as S
-from ..operators import networks as N
+from ..operators import networks as N, templates as O
 from ..plans.flow_view import duck, flow_view
 from .registry import long, query, rounded, table
 
@@ -148,7 +148,7 @@ def ja3_intel(spark):
 def netflow_template_join(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("source_id"), (F.col("event_id") % 3).alias("template_id"), F.col("event_id").alias("seq"), "value")
     marks = rows.where("seq % 97 = 50").withColumn("fields", F.concat(F.lit("f"), F.col("seq").cast("string"))).drop("value")
-    return rounded(N.template_join(rows.where("seq % 97 <> 50"), marks))
+    return rounded(O.template_join(rows.where("seq % 97 <> 50"), marks))
 
 
 @query("""WITH s AS (SELECT source AS grp, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM documents),

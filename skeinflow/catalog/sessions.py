@@ -42,24 +42,27 @@ def tls_flow_features(spark, sf_dir):
     return out.select(*S.KEYS, "session", "tls_ja3", F.concat_ws(",", F.transform("pst_sequence", lambda x: x.cast("string"))).alias("pst"))
 
 
-@query(duck(BASE + ", c AS (SELECT ep_a, ep_b, protocol, session, forward, tcp_seq, payload_len, count(*) - 1 AS again FROM r GROUP BY ALL) SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, forward, CAST(sum(again) AS BIGINT) AS duplicates FROM c GROUP BY ALL"))
+REPEATS = f", again AS (SELECT {ID}, forward, tcp_seq, payload_len, count(*) - 1 AS again FROM r GROUP BY ALL), dup AS (SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, forward, CAST(sum(again) AS BIGINT) AS duplicates FROM again GROUP BY ALL)"
+
+
+@query(duck(BASE + REPEATS + " SELECT * FROM dup"))
 def tcp_duplicates(spark, sf_dir):
     return S.tcp_duplicates(session_view(spark, sf_dir), TIMEOUT_US)
 
 
-@query(duck(BASE + """, q AS (SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, forward, list({'q': tcp_seq, 'l': payload_len, 'r': rst, 'x': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)} ORDER BY place) AS p FROM r GROUP BY ALL)
- SELECT ep_a, ep_b, protocol, session, forward, list_reduce(p, lambda w, x: {'q': x.q, 'l': x.l, 'r': x.r, 'x': CASE WHEN w.x > 0 AND x.q < w.x AND NOT x.r THEN w.x WHEN x.q > 0 THEN greatest(w.x, x.q + greatest(x.l, 1)) ELSE w.x END,
-   'n': w.n + CASE WHEN w.x > 0 AND x.q < w.x AND NOT x.r THEN 1 ELSE 0 END}, {'q': CAST(0 AS BIGINT), 'l': CAST(0 AS BIGINT), 'r': false, 'x': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}).n AS out_of_order FROM q"""))
+LATE = """, lq AS (SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, forward, list({'q': tcp_seq, 'l': payload_len, 'r': rst, 'x': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)} ORDER BY place) AS p FROM r GROUP BY ALL),
+ late AS (SELECT ep_a, ep_b, protocol, session, forward, list_reduce(p, lambda w, x: {'q': x.q, 'l': x.l, 'r': x.r, 'x': CASE WHEN w.x > 0 AND x.q < w.x AND NOT x.r THEN w.x WHEN x.q > 0 THEN greatest(w.x, x.q + greatest(x.l, 1)) ELSE w.x END,
+   'n': w.n + CASE WHEN w.x > 0 AND x.q < w.x AND NOT x.r THEN 1 ELSE 0 END}, {'q': CAST(0 AS BIGINT), 'l': CAST(0 AS BIGINT), 'r': false, 'x': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}).n AS out_of_order FROM lq)"""
+
+
+@query(duck(BASE + LATE + " SELECT * FROM late"))
 def tcp_out_of_order(spark, sf_dir):
     return S.tcp_out_of_order(session_view(spark, sf_dir), TIMEOUT_US)
 
 
-@query(
-    duck(
-        BASE
-        + """, m AS (SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, place, forward, syn, ack, fin, rst, ts_us FROM r), q AS (
- SELECT ep_a, ep_b, protocol, session, list({'f': forward, 's': syn, 'a': ack, 'n': fin, 'r': rst, 't': ts_us} ORDER BY place) AS p FROM m GROUP BY ALL)
- SELECT ep_a, ep_b, protocol, session, CAST(len(p) AS BIGINT) AS packets, z.st AS state, z.hs AS handshake, round(z.rtt, 6) + 0.0 AS rtt_ms FROM (SELECT *, list_reduce(list_transform(p, lambda x: {'f': x.f, 's': x.s, 'a': x.a, 'n': x.n, 'r': x.r, 't': x.t, 'st': '', 'ff': false, 'rf': false, 'sy': CAST(NULL AS BIGINT), 'hs': false, 'rtt': CAST(NULL AS DOUBLE)}), lambda w, x: {
+TCP = """, m AS (SELECT ep_a, ep_b, protocol, CAST(session AS BIGINT) AS session, place, forward, syn, ack, fin, rst, ts_us FROM r), q AS (
+ SELECT ep_a, ep_b, protocol, session, list({'f': forward, 's': syn, 'a': ack, 'n': fin, 'r': rst, 't': ts_us} ORDER BY place) AS p FROM m GROUP BY ALL),
+ tcp AS (SELECT ep_a, ep_b, protocol, session, CAST(len(p) AS BIGINT) AS packets, z.st AS state, z.hs AS handshake, round(z.rtt, 6) + 0.0 AS rtt_ms FROM (SELECT *, list_reduce(list_transform(p, lambda x: {'f': x.f, 's': x.s, 'a': x.a, 'n': x.n, 'r': x.r, 't': x.t, 'st': '', 'ff': false, 'rf': false, 'sy': CAST(NULL AS BIGINT), 'hs': false, 'rtt': CAST(NULL AS DOUBLE)}), lambda w, x: {
    'f': x.f, 's': x.s, 'a': x.a, 'n': x.n, 'r': x.r, 't': x.t,
    'st': CASE WHEN x.r THEN 'CLOSED' WHEN x.n AND (CASE WHEN x.f THEN w.rf ELSE w.ff END) THEN 'CLOSED' WHEN x.n THEN 'FIN_WAIT' WHEN w.st = 'SYN_SENT' AND x.f AND x.s AND NOT x.a THEN 'SYN_SENT' WHEN w.st = 'SYN_SENT' AND NOT x.f AND x.s AND x.a THEN 'SYN_RCVD'
       WHEN w.st = 'SYN_SENT' AND x.f AND NOT x.s THEN 'MIDSTREAM_ESTABLISHED' WHEN w.st = 'SYN_SENT' AND NOT x.f AND NOT x.s THEN 'HALF_OPEN_OBSERVED' WHEN w.st = 'SYN_RCVD' AND x.f AND x.a AND NOT x.s THEN 'ESTABLISHED' ELSE w.st END,
@@ -67,9 +70,10 @@ def tcp_out_of_order(spark, sf_dir):
    'sy': CASE WHEN NOT x.r AND NOT x.n AND w.st = 'SYN_SENT' AND x.f AND x.s AND NOT x.a THEN x.t ELSE w.sy END,
    'hs': w.hs OR (NOT x.r AND NOT x.n AND w.st = 'SYN_RCVD' AND x.f AND x.a AND NOT x.s),
    'rtt': CASE WHEN NOT x.r AND NOT x.n AND w.st = 'SYN_RCVD' AND x.f AND x.a AND NOT x.s AND w.sy IS NOT NULL THEN (x.t - w.sy) / 1000 ELSE w.rtt END
- }, {'f': true, 's': false, 'a': false, 'n': false, 'r': false, 't': 0, 'st': 'SYN_SENT', 'ff': false, 'rf': false, 'sy': CAST(NULL AS BIGINT), 'hs': false, 'rtt': CAST(NULL AS DOUBLE)}) AS z FROM q)"""
-    )
-)
+ }, {'f': true, 's': false, 'a': false, 'n': false, 'r': false, 't': 0, 'st': 'SYN_SENT', 'ff': false, 'rf': false, 'sy': CAST(NULL AS BIGINT), 'hs': false, 'rtt': CAST(NULL AS DOUBLE)}) AS z FROM q))"""
+
+
+@query(duck(BASE + TCP + " SELECT * FROM tcp"))
 def tcp_state(spark, sf_dir):
     return rounded(S.tcp_state(session_view(spark, sf_dir), TIMEOUT_US))
 

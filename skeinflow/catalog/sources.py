@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, functions as F
 
 from ..functions.scalars import ip_to_long
-from ..operators import networks as N, periodicity as P, windows as W
+from ..operators import periodicity as P, templates as O
 from ..plans.flow_view import duck, flow_view
 from ..plans.stages import new_path
 from ..sources import captures as C, flow_logs as L, netflow as X, tls as T
@@ -92,7 +92,11 @@ def datagrams(spark, sf_dir):
     return flows.select(F.col("event_id").alias("arrival_seq"), payload.alias("payload"))
 
 
-@query(duck(""", k AS (SELECT event_id % 101 = 100 AS bad, event_id % 50 = 7 AS tpl FROM fv) SELECT 'corrupt' AS kind, count(*) AS n FROM k WHERE bad UNION ALL SELECT 'template', count(*) FROM k WHERE NOT bad AND tpl UNION ALL SELECT 'data', count(*) FROM k WHERE NOT bad"""))
+#: Which datagrams are broken, and which carry a template.
+DATAGRAMS = ", k AS (SELECT event_id, CAST(user_id % 4 AS BIGINT) AS source_id, event_id % 101 = 100 AS bad, event_id % 50 = 7 AS tpl FROM fv)"
+
+
+@query(duck(DATAGRAMS + """ SELECT 'corrupt' AS kind, count(*) AS n FROM k WHERE bad UNION ALL SELECT 'template', count(*) FROM k WHERE NOT bad AND tpl UNION ALL SELECT 'data', count(*) FROM k WHERE NOT bad"""))
 def netflow_flowsets(spark, sf_dir):
     return X.netflow_flowsets(datagrams(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -101,7 +105,7 @@ def netflow_flowsets(spark, sf_dir):
 def netflow_decode(spark, sf_dir):
     sets = X.netflow_flowsets(datagrams(spark, sf_dir))
     data = sets.where("kind = 'data'").select("source_id", "template_id", "seq", "unix_secs", "uptime_ms", "body")
-    joined = N.template_join(data, sets.where("kind = 'template'").select("source_id", "template_id", "seq", "fields"))
+    joined = O.template_join(data, sets.where("kind = 'template'").select("source_id", "template_id", "seq", "fields"))
     return X.netflow_decode(joined).select("seq", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "length", "syn", "ack", "fin", "rst")
 
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..plans.flow_view import DAY_US, duck, flow_view, session_view
 from ..plans.stages import new_path
-from ..streaming import flows as S
-from . import alerts as CA, detect as D, sessions as XC, windows as WC
+from ..sources import netflow as X
+from ..streaming import flows as S, stateful as T
+from . import alerts as CA, detect as D, sessions as XC, sources as SC, windows as WC
 from .registry import query, rounded
 
 #: A stream ends at its watermark: what is still open then stays in state.
@@ -19,6 +20,16 @@ def stream_of(spark, df, name: str, columns: str = "*"):
     return S.stamped(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path))
 
 
+def stream_in_steps(spark, df, name: str, at: str, steps: int = 3):
+    """``df`` written in ``steps`` files in order of ``at`` and read as a stream of as many micro-batches."""
+    path = new_path(spark, name)
+    cuts = df.agg(F.percentile_approx(at, F.array(*[F.lit(k / steps) for k in range(1, steps)]), 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(F.col(at) > low)
+        (part if high is None else part.where(F.col(at) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(duck(XC.BASE + f" SELECT ep_a, ep_b, protocol, initiator, start_us, end_us, fwd_packets + rev_packets AS packets, fwd_bytes + rev_bytes AS bytes FROM ses WHERE end_us + {XC.TIMEOUT_US} < (SELECT max(ts_us) FROM sv)"))
 def stream_flow_sessions(spark, sf_dir):
     flows = stream_of(spark, session_view(spark, sf_dir), "in-sessions")
@@ -53,11 +64,43 @@ def stream_pair_beacon(spark, sf_dir):
     return rounded(last)
 
 
-@query()
+HALF_US = DAY_US // 2
+
+
+@query(duck(WC.hop("dst", DAY_US, HALF_US) + f" SELECT window_us, dst_ip, n, syn, ack, round(src_entropy, 6) + 0.0 AS src_entropy FROM hop WHERE window_us + {DAY_US} <= {OPEN}"))
+def stream_sliding_dst_features(spark, sf_dir):
+    flows = S.stamped(stream_in_steps(spark, flow_view(spark, sf_dir), "in-hops", "ts_us"))
+    return rounded(S.run_available(S.stream_dst_features(flows, "1 day", "12 hours"), spark, "hops"))
+
+
+@query(duck(WC.hop("src", DAY_US, HALF_US) + f" SELECT window_us, src_ip, n, syn, dst_ports, dst_ips FROM hop WHERE window_us + {DAY_US} <= {OPEN}"))
+def stream_sliding_src_features(spark, sf_dir):
+    flows = S.stamped(stream_in_steps(spark, flow_view(spark, sf_dir), "in-hops", "ts_us"))
+    return S.run_available(S.stream_src_features(flows, "1 day", "12 hours"), spark, "hops")
+
+
+@query(duck(XC.BASE + XC.TCP + XC.REPEATS + XC.LATE + """, way AS (SELECT dup.*, out_of_order FROM dup JOIN late ON late.ep_a = dup.ep_a AND late.ep_b = dup.ep_b AND late.protocol = dup.protocol AND late.session = dup.session AND late.forward = dup.forward)
+ SELECT tcp.ep_a, tcp.ep_b, tcp.protocol, start_us, state, handshake, rtt_ms, packets, coalesce(f.duplicates, 0) AS fwd_duplicates, coalesce(v.duplicates, 0) AS rev_duplicates, coalesce(f.out_of_order, 0) AS fwd_out_of_order, coalesce(v.out_of_order, 0) AS rev_out_of_order FROM tcp
+ JOIN ses ON ses.ep_a = tcp.ep_a AND ses.ep_b = tcp.ep_b AND ses.protocol = tcp.protocol AND ses.session = tcp.session
+ LEFT JOIN way f ON f.ep_a = tcp.ep_a AND f.ep_b = tcp.ep_b AND f.protocol = tcp.protocol AND f.session = tcp.session AND f.forward
+ LEFT JOIN way v ON v.ep_a = tcp.ep_a AND v.ep_b = tcp.ep_b AND v.protocol = tcp.protocol AND v.session = tcp.session AND NOT v.forward"""))
 def stream_tcp_state(spark, sf_dir):
-    flows = stream_of(spark, session_view(spark, sf_dir), "in-tcp")
-    out = S.run_available(S.stream_tcp_state(flows, 30 * 86_400_000), spark, "tcp")
-    return out.groupBy("ep_a", "ep_b").agg(F.max_by(F.struct("state", "handshake", "packets"), "packets").alias("r")).select("ep_a", "ep_b", "r.*")
+    """The last word on each session, of three micro-batches."""
+    T.keep_state_in_rocksdb(spark)
+    flows = S.stamped(stream_in_steps(spark, session_view(spark, sf_dir), "in-tcp", "ts_us"))
+    out = S.run_available(T.stream_tcp_state(flows, XC.TIMEOUT_US), spark, "tcp").drop("expired")
+    last = out.groupBy("ep_a", "ep_b", "protocol", "start_us").agg(F.max_by(F.struct("*"), "packets").alias("r"))
+    return rounded(last.select("r.*"))
+
+
+@query(duck(f"""{SC.DATAGRAMS}, d AS (SELECT source_id, event_id AS seq FROM k WHERE NOT bad), t AS (SELECT source_id, min(event_id) AS first FROM k WHERE tpl AND NOT bad GROUP BY ALL)
+ SELECT d.source_id, CAST(256 AS INTEGER) AS template_id, seq, CASE WHEN seq >= first THEN 'before' ELSE 'after' END AS resolution, CAST(7 AS INTEGER) AS fields FROM d JOIN t ON t.source_id = d.source_id"""))
+def stream_template_join(spark, sf_dir):
+    """Datagrams in three micro-batches; data that came before their exporter's first template waited for it."""
+    T.keep_state_in_rocksdb(spark)
+    sets = X.netflow_flowsets(stream_in_steps(spark, SC.datagrams(spark, sf_dir), "in-netflow", "arrival_seq"))
+    out = S.run_available(T.stream_template_join(sets), spark, "netflow")
+    return out.select("source_id", "template_id", "seq", "resolution", F.size("fields").alias("fields"))
 
 
 @query(duck(WC.DST + ", raw AS (" + D.SQL["ddos"] + ")" + D.INCIDENTS[len(D.RAW) :] + " SELECT entity_id, first_us AS ts_us FROM alerts"))

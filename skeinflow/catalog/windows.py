@@ -28,6 +28,15 @@ DOMAIN = f""", e AS (SELECT label, greatest(0, log2(sum(c)) - sum(c * log2(c)) /
  dom AS (SELECT client, domain, count(*) AS queries, max(ts_us) AS last_us, avg(length(dns_query)) FILTER (WHERE r <= 50) AS avg_length, max(h) FILTER (WHERE r <= 50) AS max_entropy, count(*) FILTER (WHERE dns_qtype = 'TXT') / count(*) AS txt_ratio FROM q GROUP BY ALL)"""
 
 
+def hop(by: str, window_us: int, slide_us: int) -> str:
+    """The CTE ``hop``: features by destination or source over windows that overlap."""
+    spread = f", ov AS (SELECT *, unnest(range(CAST(floor(ts_us / {slide_us}) AS BIGINT) * {slide_us} - {window_us - slide_us}, CAST(floor(ts_us / {slide_us}) AS BIGINT) * {slide_us} + 1, {slide_us})) AS window_us FROM fv)"
+    if by == "src":
+        return spread + ", hop AS (SELECT window_us, src_ip, count(*) AS n, count(*) FILTER (WHERE syn) AS syn, count(DISTINCT dst_port) AS dst_ports, count(DISTINCT dst_ip) AS dst_ips FROM ov GROUP BY ALL)"
+    return spread + f""", oc AS (SELECT window_us, dst_ip, src_ip, count(*) AS c, count(*) FILTER (WHERE syn) AS syn, count(*) FILTER (WHERE ack) AS ack FROM ov GROUP BY ALL),
+ hop AS (SELECT window_us, dst_ip, CAST(sum(c) AS BIGINT) AS n, CAST(sum(syn) AS BIGINT) AS syn, CAST(sum(ack) AS BIGINT) AS ack, {ENTROPY} AS src_entropy FROM oc GROUP BY ALL)"""
+
+
 def R(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
 
@@ -42,6 +51,16 @@ def src_window_features(spark, sf_dir):
     return rounded(W.src_window_features(flow_view(spark, sf_dir), DAY_US))
 
 
+@query(duck(hop("dst", DAY_US, DAY_US // 4) + f" SELECT window_us, dst_ip, n, syn, ack, {R('src_entropy')} FROM hop"))
+def dst_overlapping_features(spark, sf_dir):
+    return rounded(W.dst_window_features(flow_view(spark, sf_dir), DAY_US, slide_us=DAY_US // 4).select("window_us", "dst_ip", "n", "syn", "ack", "src_entropy"))
+
+
+@query(duck(hop("src", DAY_US, DAY_US // 4) + " SELECT window_us, src_ip, n, syn, dst_ports, dst_ips FROM hop"))
+def src_overlapping_features(spark, sf_dir):
+    return W.src_window_features(flow_view(spark, sf_dir), DAY_US, slide_us=DAY_US // 4).drop("syn_ratio")
+
+
 @query(duck(f", c AS (SELECT dst_ip, protocol, src_port % 16 AS p, count(*) AS c FROM fv GROUP BY ALL) SELECT dst_ip, protocol, CAST(sum(c) AS BIGINT) AS n, count(*) AS categories, round({ENTROPY}, 6) + 0.0 AS entropy FROM c GROUP BY ALL"))
 def categorical_entropy(spark, sf_dir):
     flows = flow_view(spark, sf_dir).withColumn("p", F.col("src_port") % 16)

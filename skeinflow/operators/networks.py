@@ -77,19 +77,3 @@ def disjoint_splits(splits: DataFrame, split: str = "split", group: str = "grp")
         row = of(a).intersect(of(b)).agg(F.count("*").alias("shared")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "shared")
         out = row if out is None else out.unionAll(row)
     return out
-
-
-def template_join(data: DataFrame, templates: DataFrame) -> DataFrame:
-    """``data`` (source_id, template_id, seq, ...) with the fields of its template: the newest at or before ``seq``, else the
-    first one after it; ``resolution`` says before, after or none. Rows of both sides are ordered together once."""
-    from pyspark.sql import Window
-
-    keys = ["source_id", "template_id"]
-    columns = [c for c in data.columns if c not in (*keys, "seq")]
-    rows = data.select(*keys, "seq", F.lit(1).alias("_side"), F.struct(*columns).alias("_row"), F.lit(None).cast(templates.schema["fields"].dataType).alias("_fields"))
-    marks = templates.select(*keys, "seq", F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("fields").alias("_fields"))
-    order = Window.partitionBy(*keys).orderBy("seq", "_side")
-    both = rows.unionByName(marks)
-    both = both.withColumn("_before", F.last("_fields", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_fields", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    how = F.when(F.col("_before").isNotNull(), "before").when(F.col("_after").isNotNull(), "after").otherwise("none")
-    return both.where("_side = 1").select(*keys, "seq", *[F.col("_row")[c].alias(c) for c in columns], F.coalesce("_before", "_after").alias("fields"), how.alias("resolution"))

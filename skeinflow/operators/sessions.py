@@ -7,7 +7,9 @@ one pair of ends and protocol in which no gap is over the timeout; order is (ts_
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from . import tcp
 
 KEYS = ["ep_a", "ep_b", "protocol"]
 FLAGS = ("syn", "ack", "fin", "rst")
@@ -103,26 +105,6 @@ def tcp_out_of_order(flows: DataFrame, timeout_us: int) -> DataFrame:
     return packets.mapInArrow(_late_packets, "ep_a string, ep_b string, protocol string, session long, forward boolean, out_of_order long")
 
 
-def tcp_step(state: Column, row: Column) -> Column:
-    """The state of a connection after a packet (forward, syn, ack, fin, rst, ts_us)."""
-    fwd, syn, ack, fin, rst = (row[c] for c in ("forward", "syn", "ack", "fin", "rst"))
-    was = state["state"]
-    peer_fin = F.when(fwd, state["rev_fin"]).otherwise(state["fwd_fin"])
-    opening = (
-        F.when(fwd & syn & ~ack, "SYN_SENT").when(~fwd & syn & ack, "SYN_RCVD").when(fwd & ~syn, "MIDSTREAM_ESTABLISHED").when(~fwd & ~syn, "HALF_OPEN_OBSERVED").otherwise(was)
-    )
-    done = (was == "SYN_RCVD") & fwd & ack & ~syn
-    after = F.when(rst, "CLOSED").when(fin & peer_fin, "CLOSED").when(fin, "FIN_WAIT").when(was == "SYN_SENT", opening).when(done, "ESTABLISHED").otherwise(was)
-    quiet = ~rst & ~fin
-    syn_us = F.when(quiet & (was == "SYN_SENT") & fwd & syn & ~ack, row["ts_us"]).otherwise(state["syn_us"])
-    shaken = state["handshake"] | (quiet & done)
-    rtt = F.when(quiet & done & state["syn_us"].isNotNull(), (row["ts_us"] - state["syn_us"]) / 1000.0).otherwise(state["rtt_ms"])
-    return F.struct(
-        after.alias("state"), (state["fwd_fin"] | (~rst & fin & fwd)).alias("fwd_fin"), (state["rev_fin"] | (~rst & fin & ~fwd)).alias("rev_fin"),
-        syn_us.alias("syn_us"), shaken.alias("handshake"), rtt.alias("rtt_ms"),
-    )
-
-
 def tcp_state(flows: DataFrame, timeout_us: int) -> DataFrame:
     """The state machine of each session: state, handshake and round trip, by an ordered fold of the few packets that matter.
 
@@ -140,8 +122,7 @@ def tcp_state(flows: DataFrame, timeout_us: int) -> DataFrame:
     last = lambda c: F.max(F.when(c, packet))
     kept = [first(leaves), last(fwd & syn & ~ack & ~F.col("_left")), first(F.col("_left") & fwd & ack & ~syn & ~ends), first(fin & ~rst & fwd), first(fin & ~rst & ~fwd), first(ends), last(ends)]
     lists = rows.groupBy(*KEYS, "session").agg(F.count("*").alias("packets"), F.array_sort(F.array_distinct(F.array_compact(F.array(*kept)))).alias("p"))
-    start = F.struct(F.lit("SYN_SENT").alias("state"), F.lit(False).alias("fwd_fin"), F.lit(False).alias("rev_fin"), F.lit(None).cast("long").alias("syn_us"), F.lit(False).alias("handshake"), F.lit(None).cast("double").alias("rtt_ms"))
-    folded = lists.withColumn("s", F.aggregate("p", start, tcp_step))
+    folded = lists.withColumn("s", F.aggregate("p", tcp.start_state(), tcp.step))
     return folded.select(*KEYS, "session", "packets", F.col("s.state").alias("state"), F.col("s.handshake").alias("handshake"), F.col("s.rtt_ms").alias("rtt_ms"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import autocorr_peak, shannon_entropy
+from . import sweeps as S
 
 
 def window_start(window_us: int) -> Column:
@@ -28,15 +29,34 @@ def c_log_c(count: str) -> Column:
     return F.sum(F.col(count) * F.log2(F.col(count).cast("double")))
 
 
-def dst_window_features(flows: DataFrame, window_us: int, reverse_bytes: bool = True) -> DataFrame:
+def in_windows(panes: DataFrame, window_us: int, slide_us: int | None) -> DataFrame:
+    """Rows summed by panes of the slide (``window_us`` is a pane's start) -> a row for each window that the pane is part of."""
+    if not slide_us or slide_us == window_us:
+        return panes
+    back = F.sequence(F.lit(0), F.lit(window_us - slide_us), F.lit(slide_us))
+    return panes.withColumn("window_us", F.explode(F.transform(back, lambda b: F.col("window_us") - b)))
+
+
+def pane_start(window_us: int, slide_us: int | None) -> Column:
+    if slide_us and window_us % slide_us:
+        raise ValueError("a window is a whole number of slides")
+    return window_start(slide_us or window_us)
+
+
+def dst_window_features(flows: DataFrame, window_us: int, reverse_bytes: bool = True, slide_us: int | None = None) -> DataFrame:
     """By destination and window: events, rate, SYNs, ACKs, their ratio, entropy of the sources, UDP bytes in and out and
-    their ratio. With ``reverse_bytes`` false there are no bytes out."""
+    their ratio. With ``reverse_bytes`` false there are no bytes out. Windows overlap with a shorter slide: then events are
+    summed by slide first."""
     seconds = window_us / 1e6
     udp_in = F.sum(F.when(F.col("protocol") == "UDP", F.col("length")).otherwise(0))
-    by_source = flows.groupBy(window_start(window_us), "dst_ip", "src_ip").agg(F.count("*").alias("c"), count_if(F.col("syn")).alias("syn"), count_if(F.col("ack")).alias("ack"), udp_in.alias("udp_in"))
+    by_source = flows.groupBy(pane_start(window_us, slide_us), "dst_ip", "src_ip").agg(F.count("*").alias("c"), count_if(F.col("syn")).alias("syn"), count_if(F.col("ack")).alias("ack"), udp_in.alias("udp_in"))
+    if slide_us:
+        by_source = in_windows(by_source, window_us, slide_us).groupBy("window_us", "dst_ip", "src_ip").agg(*[F.sum(c).alias(c) for c in ("c", "syn", "ack", "udp_in")])
     out = by_source.groupBy("window_us", "dst_ip").agg(F.sum("c").alias("n"), F.sum("syn").alias("syn"), F.sum("ack").alias("ack"), c_log_c("c").alias("clogc"), F.sum("udp_in").alias("udp_bytes_in"))
     if reverse_bytes:
-        sent = flows.where("protocol = 'UDP'").groupBy(window_start(window_us), F.col("src_ip").alias("dst_ip")).agg(F.sum("length").alias("udp_bytes_out"))
+        sent = flows.where("protocol = 'UDP'").groupBy(pane_start(window_us, slide_us), F.col("src_ip").alias("dst_ip")).agg(F.sum("length").alias("udp_bytes_out"))
+        if slide_us:
+            sent = in_windows(sent, window_us, slide_us).groupBy("window_us", "dst_ip").agg(F.sum("udp_bytes_out").alias("udp_bytes_out"))
         out = out.join(sent, ["window_us", "dst_ip"], "left").withColumn("udp_bytes_out", F.coalesce("udp_bytes_out", F.lit(0)).cast("long"))
     else:
         out = out.withColumn("udp_bytes_out", F.lit(0).cast("long"))
@@ -47,11 +67,14 @@ def dst_window_features(flows: DataFrame, window_us: int, reverse_bytes: bool =
     )
 
 
-def src_window_features(flows: DataFrame, window_us: int) -> DataFrame:
-    """By source and window: events, distinct destination ports and addresses, SYNs and their share."""
-    out = flows.groupBy(window_start(window_us), "src_ip").agg(
-        F.count("*").alias("n"), F.count_distinct("dst_port").alias("dst_ports"), F.count_distinct("dst_ip").alias("dst_ips"), count_if(F.col("syn")).alias("syn")
-    )
+def src_window_features(flows: DataFrame, window_us: int, slide_us: int | None = None) -> DataFrame:
+    """By source and window, which may slide: events, distinct destination ports and addresses, SYNs and their share."""
+    if slide_us:
+        panes = flows.groupBy(pane_start(window_us, slide_us), "src_ip", "dst_port", "dst_ip").agg(F.count("*").alias("c"), count_if(F.col("syn")).alias("syn"))
+        n, syn, rows = F.sum("c"), F.sum("syn"), in_windows(panes, window_us, slide_us).groupBy("window_us", "src_ip")
+    else:
+        n, syn, rows = F.count("*"), count_if(F.col("syn")), flows.groupBy(window_start(window_us), "src_ip")
+    out = rows.agg(n.alias("n"), F.count_distinct("dst_port").alias("dst_ports"), F.count_distinct("dst_ip").alias("dst_ips"), syn.alias("syn"))
     return out.withColumn("syn_ratio", F.col("syn") / F.col("n"))
 
 
@@ -119,26 +142,19 @@ def periodicity_flags(pairs: DataFrame, spectral: Column | None = None) -> DataF
     return pairs.withColumn("rigid", rigid).withColumn("jittered", jittered)
 
 
-def _trailing(key: str, window_us: int):
-    return Window.partitionBy(key).orderBy("ts_us").rangeBetween(-window_us, 0)
-
-
 def dst_sliding_features(flows: DataFrame, window_us: int) -> DataFrame:
-    """For each event, its destination over the trailing window, both ends included; events of one time are peers."""
-    w = _trailing("dst_ip", window_us)
-    sources = F.collect_list("src_ip").over(w)
-    rows = flows.select("event_id", "dst_ip", "ts_us", F.count("*").over(w).alias("n"), F.sum(F.col("syn").cast("long")).over(w).alias("syn"), F.sum(F.col("ack").cast("long")).over(w).alias("ack"), sources.alias("sources"))
-    counts = F.transform(F.array_distinct("sources"), lambda s: F.size(F.filter("sources", lambda x: x == s)).cast("double"))
-    spread = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c))
-    return rows.select("event_id", "dst_ip", "n", "syn", "ack", (F.col("syn") / (F.col("ack") + 1)).alias("syn_ack_ratio"), entropy_of(F.col("n"), spread).alias("src_entropy"))
+    """For each event, its destination over the trailing window, both ends included; events of one time are peers. Events
+    without a destination have no row."""
+    found = S.trailing(flows, "dst_ip", window_us, {"syn": F.col("syn"), "ack": F.col("ack")}, {"spread": ("src_ip", S.c_log_c)})
+    rows = S.at_events(flows, "dst_ip", found)
+    return rows.select("event_id", "dst_ip", "n", "syn", "ack", (F.col("syn") / (F.col("ack") + 1)).alias("syn_ack_ratio"), entropy_of(F.col("n"), F.col("spread").cast("double")).alias("src_entropy"))
 
 
 def src_sliding_features(flows: DataFrame, window_us: int) -> DataFrame:
-    """For each event, its source over the trailing window, both ends included."""
-    w = _trailing("src_ip", window_us)
-    distinct = lambda c: F.size(F.collect_set(c).over(w)).cast("long")
-    rows = flows.select("event_id", "src_ip", F.count("*").over(w).alias("n"), distinct("dst_port").alias("dst_ports"), distinct("dst_ip").alias("dst_ips"), F.sum(F.col("syn").cast("long")).over(w).alias("syn"))
-    return rows.withColumn("syn_ratio", F.col("syn") / F.col("n"))
+    """For each event, its source over the trailing window, both ends included; events without a source have no row."""
+    found = S.trailing(flows, "src_ip", window_us, {"syn": F.col("syn")}, {"dst_ports": ("dst_port", S.is_there), "dst_ips": ("dst_ip", S.is_there)})
+    rows = S.at_events(flows, "src_ip", found)
+    return rows.select("event_id", "src_ip", "n", "dst_ports", "dst_ips", "syn", (F.col("syn") / F.col("n")).alias("syn_ratio"))
 
 
 def sample_snapshots(snapshots: DataFrame, order: list[str], key: str, every: int = 5) -> DataFrame:

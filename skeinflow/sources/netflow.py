@@ -1,4 +1,4 @@
-"""NetFlow v9 export: datagrams -> flowsets and templates -> records. The data-template join is ``networks.template_join``."""
+"""NetFlow v9 export: datagrams -> flowsets and templates -> records. The data-template join is ``templates.template_join``."""
 
 from __future__ import annotations
 

@@ -29,20 +29,36 @@ def stream_flow_sessions(flows: DataFrame, timeout: str, watermark: str = "0 sec
     return out.drop("w")
 
 
-def stream_dst_features(flows: DataFrame, window: str, watermark: str = "0 seconds") -> DataFrame:
-    """By destination and tumbling window: events, SYNs, ACKs, and the exact entropy of sources, by two chained aggregations."""
+def _window(window: str, slide: str | None):
+    return (F.window("ts", window, slide) if slide else F.window("ts", window)).alias("w")
+
+
+def stream_dst_features(flows: DataFrame, window: str, slide: str | None = None, watermark: str = "0 seconds") -> DataFrame:
+    """By destination and window, which may slide: events, SYNs, ACKs, and the exact entropy of sources, by two chained
+    aggregations of the same windows."""
     rows = flows.withWatermark("ts", watermark)
-    by_source = rows.groupBy(F.window("ts", window).alias("w"), "dst_ip", "src_ip").agg(F.count("*").alias("c"), F.sum(F.col("syn").cast("long")).alias("syn"), F.sum(F.col("ack").cast("long")).alias("ack"))
-    again = by_source.select(F.window_time("w").alias("at"), "dst_ip", "c", "syn", "ack").groupBy(F.window("at", window).alias("w"), "dst_ip")
-    out = again.agg(F.sum("c").alias("n"), F.sum("syn").alias("syn"), F.sum("ack").alias("ack"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("clogc"))
+    by_source = rows.groupBy(_window(window, slide), "dst_ip", "src_ip").agg(F.count("*").alias("c"), F.sum(F.col("syn").cast("long")).alias("syn"), F.sum(F.col("ack").cast("long")).alias("ack"))
+    out = by_source.groupBy("w", "dst_ip").agg(F.sum("c").alias("n"), F.sum("syn").alias("syn"), F.sum("ack").alias("ack"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("clogc"))
     return out.select(F.unix_micros("w.start").alias("window_us"), "dst_ip", "n", "syn", "ack", entropy_of(F.col("n"), F.col("clogc")).alias("src_entropy"))
 
 
-def stream_src_features(flows: DataFrame, window: str, slide: str | None = None, watermark: str = "0 seconds") -> DataFrame:
-    """By source and window, which may slide: events, SYNs, and approximate numbers of ports and destinations."""
+def stream_src_features(flows: DataFrame, window: str, slide: str | None = None, watermark: str = "0 seconds", approximate: bool = False) -> DataFrame:
+    """By source and window, which may slide: events, SYNs, and distinct ports and destinations.
+
+    Spark refuses exact distinct counts in a stream, so a first aggregation keeps each port and each address of a source and
+    window once, and a second one counts them. ``approximate`` keeps a sketch for each source instead (1 % off, and state that
+    does not grow with the ports)."""
     rows = flows.withWatermark("ts", watermark)
-    w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    out = rows.groupBy(w.alias("w"), "src_ip").agg(F.count("*").alias("n"), F.sum(F.col("syn").cast("long")).alias("syn"), F.approx_count_distinct("dst_port", 0.01).alias("dst_ports"), F.approx_count_distinct("dst_ip", 0.01).alias("dst_ips"))
+    syn = F.sum(F.col("syn").cast("long"))
+    if approximate:
+        sketch = lambda c: F.approx_count_distinct(c, 0.01).alias(f"{c}s")
+        out = rows.groupBy(_window(window, slide), "src_ip").agg(F.count("*").alias("n"), syn.alias("syn"), sketch("dst_port"), sketch("dst_ip"))
+    else:
+        seen = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in ("dst_port", "dst_ip")]))
+        once = rows.withColumn("_seen", seen).groupBy(_window(window, slide), "src_ip", F.col("_seen.kind").alias("kind"), F.col("_seen.value").alias("value")).agg(F.count("*").alias("c"), syn.alias("syn"))
+        ports = F.col("kind") == "dst_port"
+        there = F.col("value").isNotNull()
+        out = once.groupBy("w", "src_ip").agg(F.sum(F.when(ports, F.col("c"))).alias("n"), F.sum(F.when(ports, F.col("syn"))).alias("syn"), F.count_if(ports & there).alias("dst_ports"), F.count_if(~ports & there).alias("dst_ips"))
     return out.select(F.unix_micros("w.start").alias("window_us"), "src_ip", "n", "syn", "dst_ports", "dst_ips")
 
 
@@ -71,60 +87,6 @@ def stream_pair_beacon(flows: DataFrame) -> DataFrame:
     return flows.select("src_ip", "dst_ip", "ts_us").groupBy("src_ip", "dst_ip").applyInPandasWithState(_beacon, "src_ip string, dst_ip string, seen long, samples long, iat_mean double, iat_std double, iat_cv double", "times array<long>, seen long", "update", "NoTimeout")
 
 
-def step(state: dict, forward: bool, syn: bool, ack: bool, fin: bool, rst: bool, ts_us: int) -> None:
-    """One packet's change of a connection's state, in place."""
-    was = state["state"]
-    own, peer = ("fwd_fin", "rev_fin") if forward else ("rev_fin", "fwd_fin")
-    if rst:
-        state["state"] = "CLOSED"
-    elif fin:
-        state[own] = True
-        state["state"] = "CLOSED" if state[peer] else "FIN_WAIT"
-    elif was == "SYN_SENT":
-        if forward and syn and not ack:
-            state["syn_us"] = ts_us
-        elif not forward and syn and ack:
-            state["state"] = "SYN_RCVD"
-        elif not syn:
-            state["state"] = "MIDSTREAM_ESTABLISHED" if forward else "HALF_OPEN_OBSERVED"
-    elif was == "SYN_RCVD" and forward and ack and not syn:
-        state["state"], state["handshake"] = "ESTABLISHED", True
-        if state["syn_us"] is not None:
-            state["rtt_ms"] = (ts_us - state["syn_us"]) / 1000
-
-
-_TCP = ["initiator", "state", "fwd_fin", "rev_fin", "syn_us", "handshake", "rtt_ms", "packets"]
-
-
-def _tcp(key, frames, state):
-    names = ["ep_a", "ep_b", "protocol", "state", "handshake", "rtt_ms", "packets", "expired"]
-    if state.hasTimedOut:
-        now = dict(zip(_TCP, state.get))
-        state.remove()
-        yield pd.DataFrame([[*key, now["state"], now["handshake"], now["rtt_ms"], now["packets"], True]], columns=names)
-        return
-    now = dict(zip(_TCP, state.get)) if state.exists else dict(zip(_TCP, [None, "SYN_SENT", False, False, None, False, None, 0]))
-    rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-    for r in rows.itertuples():
-        now["initiator"] = now["initiator"] or r.src
-        step(now, r.src == now["initiator"], r.syn, r.ack, r.fin, r.rst, r.ts_us)
-        now["packets"] += 1
-    state.update(tuple(now[n] for n in _TCP))
-    state.setTimeoutTimestamp(max(int(rows["ts_us"].max()) // 1000 + int(rows["timeout_ms"].iloc[0]), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([[*key, now["state"], now["handshake"], now["rtt_ms"], now["packets"], False]], columns=names)
-
-
-def stream_tcp_state(flows: DataFrame, timeout_ms: int, watermark: str = "0 seconds") -> DataFrame:
-    """By connection, after each micro-batch that has it and once more when it expires: its state, handshake, round trip and
-    packets. State leaves by an event-time timeout."""
-    src = F.concat(F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"))
-    dst = F.concat(F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string"))
-    rows = flows.where("protocol = 'TCP'").select("ts", "ts_us", "event_id", src.alias("src"), F.least(src, dst).alias("ep_a"), F.greatest(src, dst).alias("ep_b"), "protocol", "syn", "ack", "fin", "rst", F.lit(timeout_ms).alias("timeout_ms"))
-    return rows.withWatermark("ts", watermark).groupBy("ep_a", "ep_b", "protocol").applyInPandasWithState(
-        _tcp, "ep_a string, ep_b string, protocol string, state string, handshake boolean, rtt_ms double, packets long, expired boolean",
-        "initiator string, state string, fwd_fin boolean, rev_fin boolean, syn_us long, handshake boolean, rtt_ms double, packets long", "append", "EventTimeTimeout")
-
-
 def _incident(key, frames, state):
     names = ["threat_class", "entity_id", "ts_us", "detections", "peak", "evidence"]
     if state.hasTimedOut:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.functions import scalars as S
-from skeinflow.operators import evaluate as V, graph as G, incidents as I, ledger as L, models as M, networks as N, rules as R, sessions as X, windows as W
+from skeinflow.operators import evaluate as V, graph as G, incidents as I, ledger as L, models as M, networks as N, rules as R, sessions as X, tcp as T, templates as O, windows as W
 from skeinflow.sources import captures, netflow
 
 FLOW = "event_id long, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, length long, syn boolean, ack boolean, fin boolean, rst boolean, dns_query string, dns_qtype string, tls_ja3 string, tcp_seq long, payload_len long"
@@ -105,9 +105,8 @@ def test_tcp_state_equals_the_fold_of_all_packets(spark):
     data = flows(spark, *rows)
     shown = lambda df: sorted(map(str, df.select(*X.KEYS, "session", "packets", "state", "handshake", "rtt_ms").collect()))
     packet = F.struct("place", "forward", "syn", "ack", "fin", "rst", "ts_us")
-    start = F.struct(F.lit("SYN_SENT").alias("state"), F.lit(False).alias("fwd_fin"), F.lit(False).alias("rev_fin"), F.lit(None).cast("long").alias("syn_us"), F.lit(False).alias("handshake"), F.lit(None).cast("double").alias("rtt_ms"))
     whole = X.with_sessions(data, 30 * SEC).groupBy(*X.KEYS, "session").agg(F.count("*").alias("packets"), F.array_sort(F.collect_list(packet)).alias("p"))
-    assert shown(X.tcp_state(data, 30 * SEC)) == shown(whole.withColumn("s", F.aggregate("p", start, X.tcp_step)).select("*", "s.*"))
+    assert shown(X.tcp_state(data, 30 * SEC)) == shown(whole.withColumn("s", F.aggregate("p", T.start_state(), T.step)).select("*", "s.*"))
 
 
 def test_duplicates_and_late_packets(spark):
@@ -203,7 +202,7 @@ def test_orphan_and_redefined_templates(spark):
     body = bytes([10, 0, 0, 1, 10, 0, 0, 2]) + (9999).to_bytes(4, "big")
     data = spark.createDataFrame([(1, 256, 5, 1000, 0, bytearray(body)), (1, 256, 9, 1000, 0, bytearray(body)), (2, 256, 1, 0, 0, bytearray(b""))], "source_id long, template_id int, seq long, unix_secs long, uptime_ms long, body binary")
     marks = spark.createDataFrame([(1, 256, 7, fields((8, 4), (12, 4), (1, 4)))], f"source_id long, template_id int, seq long, fields {netflow.FIELDS}")
-    joined = N.template_join(data, marks)
+    joined = O.template_join(data, marks)
     assert {(r["source_id"], r["seq"]): r["resolution"] for r in joined.collect()} == {(1, 5): "after", (1, 9): "before", (2, 1): "none"}
     found = netflow.netflow_decode(joined).first()
     assert (found["src_ip"], found["dst_ip"], found["length"]) == ("10.0.0.1", "10.0.0.2", 9999)
