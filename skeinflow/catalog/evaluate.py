@@ -91,7 +91,13 @@ def merkle_root(spark, sf_dir):
     return G.ledger_chain(_alerts(spark, sf_dir)).select("block_height", "merkle_root")
 
 
-@query()
+SEALED = "sha256(unhex({prev}) || unhex(blk.x) || encode(blk.t) || '\\x00'::BLOB || encode('{meta}'))"
+CHAIN = f""", tm AS (SELECT n // 10 AS h, max(ts_us) AS us FROM lf GROUP BY ALL), blk AS (SELECT b4.h, x, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ') AS t FROM b4 JOIN tm ON tm.h = b4.h),
+ ch AS (SELECT h, '{G.GENESIS}' AS prev, x, t, {SEALED.format(prev=f"'{G.GENESIS}'", meta=G.METADATA)} AS own FROM blk WHERE h = 0 UNION ALL SELECT blk.h, ch.own, blk.x, blk.t, {SEALED.format(prev="ch.own", meta=G.METADATA)} FROM ch JOIN blk ON blk.h = ch.h + 1)
+ SELECT h AS block_height, prev AS prev_block_hash, x AS merkle_root, t AS timestamp, '{G.METADATA}' AS metadata, own AS block_hash FROM ch"""
+
+
+@query(duck(LEDGER + CHAIN).replace("WITH ", "WITH RECURSIVE ", 1))
 def ledger_chain(spark, sf_dir):
     return G.ledger_chain(_alerts(spark, sf_dir)).drop("leaves")
 

@@ -6,23 +6,34 @@ from ..functions.scalars import subnet_group
 from ..operators import graph as G, models as M, windows as W
 from ..plans.flow_view import DAY_US, duck, flow_view
 from ..plans.stages import settle
+from . import windows as WC
 from .registry import query, rounded, table
 
 FEATURES = ["n", "pps", "syn", "ack", "src_entropy", "udp_bytes_in"]
 
 
 def training_rows(spark, sf_dir):
-    """Destination windows with a label, a group and a split; the label is the flood rule, which the features only hint at."""
-    rows = W.dst_window_features(flow_view(spark, sf_dir), DAY_US, reverse_bytes=False)
-    rows = rows.withColumn("y_true", ((F.col("syn_ack_ratio") >= 2) & (F.col("n") >= 2)).cast("int")).withColumn("grp", F.col("dst_ip"))
+    """Destination windows with a label, a group and a split. The label is what the windows' features do not hold: whether at
+    least a third of its events are errors; SYNs and sources hint at that."""
+    flows = flow_view(spark, sf_dir)
+    rows = W.dst_window_features(flows, DAY_US, reverse_bytes=False)
+    kinds = flows.join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    told = kinds.groupBy(W.window_start(DAY_US), "dst_ip").agg((3 * F.count_if(F.col("event_type") == "error") >= F.count("*")).cast("int").alias("y_true"))
+    rows = rows.join(told, ["window_us", "dst_ip"]).withColumn("grp", F.col("dst_ip"))
     return settle(rows.join(M.group_split(rows, "grp"), "grp").withColumns({c: F.col(c).cast("double") for c in FEATURES}), "training")
 
 
-@query(duck(" SELECT DISTINCT dst_ip, CAST(4 AS BIGINT) AS features FROM fv"))
+KEPT = ["n", "pps", "src_entropy", "syn_ack_ratio"]
+
+
+@query(duck(WC.DST + " SELECT feature, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS largest FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM dst" for c in KEPT) + ") GROUP BY feature"))
 def select_features(spark, sf_dir):
-    rows = W.dst_window_features(flow_view(spark, sf_dir), DAY_US)
-    names = M.select_features(rows, ["dst_ip", "window_ts_us", "n", "pps", "src_entropy", "syn_ack_ratio"])
-    return rows.select("dst_ip", F.lit(len(names)).cast("long").alias("features")).distinct()
+    """The features of a table that are no identifiers, and what their columns hold."""
+    rows = W.dst_window_features(flow_view(spark, sf_dir), DAY_US).withColumn("window_ts_us", F.col("window_us")).withColumn("dst_port", F.lit(443))
+    names = M.select_features(rows, ["dst_ip", "window_ts_us", "dst_port", "absent_ratio", *KEPT])
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names]))
+    found = rows.select(values.alias("v")).groupBy(F.col("v.feature").alias("feature"))
+    return rounded(found.agg(F.count("v.value").alias("n"), F.avg("v.value").alias("mean"), F.max("v.value").alias("largest")))
 
 
 @query()

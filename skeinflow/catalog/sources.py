@@ -1,9 +1,10 @@
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, functions as F
 
 from ..functions.scalars import ip_to_long
 from ..operators import periodicity as P, templates as O
+from ..operators.ledger import ordered_number
 from ..plans.flow_view import duck, flow_view
 from ..plans.stages import new_path
 from ..sources import captures as C, flow_logs as L, netflow as X, tls as T
@@ -47,7 +48,8 @@ def read_domain_rank(spark, sf_dir):
 
     path = new_path(spark, "rank")
     names = hosts(spark, sf_dir).select("domain").distinct().where("domain <> ''")
-    names.select(F.row_number().over(Window.orderBy("domain")).alias("rank"), "domain").write.csv(path)
+    first = F.conv(F.rpad(F.hex(F.substring(F.encode("domain", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")  # in order of the names' bytes
+    ordered_number(names.withColumn("_first", first), ["domain"], "_first").select((F.col("n") + 1).alias("rank"), "domain").write.csv(path)
     return L.read_domain_rank(spark, path)
 
 
@@ -59,13 +61,18 @@ def read_ja3_intel(spark, sf_dir):
     return L.read_ja3_intel(spark, path).select("ja3", "family")
 
 
-@query()
+@query(duck(""", f AS (SELECT DISTINCT event_id // 250 AS part FROM fv) SELECT CAST(part AS VARCHAR) AS name, CASE part % 4 WHEN 1 THEN 'mismatch' WHEN 2 THEN 'unregistered' ELSE 'ok' END AS status FROM f UNION ALL SELECT 'gone' || part, 'missing' FROM f WHERE part % 4 = 3"""))
 def file_checksum_audit(spark, sf_dir):
+    """Files of 250 flows, against digests of what they should hold: one in four has another, one in four is not registered,
+    and for one in four another file is missing."""
     path = new_path(spark, "files")
-    flow_view(spark, sf_dir).select("protocol", F.concat_ws(",", "event_id", "src_ip").alias("value")).repartition(4, "protocol").write.partitionBy("protocol").text(path)
-    files = spark.read.format("binaryFile").load(f"{path}/protocol=*/*.txt").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    manifest = files.withColumn("sha256", F.when(F.col("name").contains("part-00000"), F.lit("0" * 64)).otherwise(F.col("sha256")))
-    return L.file_checksum_audit(spark, f"{path}/protocol=*/*.txt", manifest).groupBy("status").agg(F.count("*").alias("files"))
+    rows = flow_view(spark, sf_dir).select(F.floor(F.col("event_id") / 250).alias("part"), "event_id", F.concat_ws(",", "event_id", "src_ip").alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"]), "\n"), F.lit("\n"))
+    whole = rows.groupBy("part").agg(F.sha2(text, 256).alias("sha256"))
+    told = whole.where("part % 4 <> 2").select(F.col("part").cast("string").alias("name"), F.when(F.col("part") % 4 == 1, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = whole.where("part % 4 = 3").select(F.concat(F.lit("gone"), F.col("part").cast("string")).alias("name"), "sha256")
+    return L.file_checksum_audit(spark, f"{path}/part=*/*.txt", told.unionAll(gone), F.regexp_extract("path", "part=([0-9]+)/", 1))
 
 
 def _be(value: Column | int, size: int) -> Column:
@@ -109,7 +116,20 @@ def netflow_decode(spark, sf_dir):
     return X.netflow_decode(joined).select("seq", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "length", "syn", "ack", "fin", "rst")
 
 
-@query()
+#: The histogram's transform as sums of cosines and sines, frequency by frequency.
+SPECTRUM = """, s AS (SELECT src_ip, dst_ip, ts_us, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_us DESC, event_id DESC) AS r FROM fv),
+ t AS (SELECT src_ip, dst_ip, ts_us, lead(ts_us) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_us) - ts_us AS gap FROM s WHERE r <= 64),
+ p AS (SELECT src_ip, dst_ip, count(*) AS contacts, min(ts_us) AS t0, max(ts_us) - min(ts_us) AS span, coalesce(avg(gap) FILTER (WHERE gap > 50000), 0) / 1e6 AS m, coalesce(stddev_pop(gap / 1e6) FILTER (WHERE gap > 50000), 0) AS sd FROM t GROUP BY ALL HAVING count(*) >= 4),
+ l AS (SELECT *, least(span // 1000000 + 1, 1024) AS bins FROM p WHERE contacts >= 6 AND span > 10000000),
+ cb AS (SELECT l.src_ip, l.dst_ip, bins, contacts, least((ts_us - t0) * bins // span, bins - 1) AS b, count(*) AS c FROM t JOIN l ON l.src_ip = t.src_ip AND l.dst_ip = t.dst_ip GROUP BY ALL),
+ f AS (SELECT src_ip, dst_ip, contacts, k, sqrt(power(sum(c * cos(2 * pi() * ((k * b) % bins) / bins)), 2) + power(sum(c * sin(2 * pi() * ((k * b) % bins) / bins)), 2)) AS g FROM cb, range(1, 513) z(k) WHERE k <= bins // 2 GROUP BY ALL),
+ h AS (SELECT src_ip, dst_ip, k, CASE WHEN g < 1e-9 * contacts THEN 0 ELSE g END AS g FROM f), w AS (SELECT src_ip, dst_ip, max(g) AS top, sum(g) AS total FROM h GROUP BY ALL),
+ pk AS (SELECT h.src_ip, h.dst_ip, min(k) AS k, arg_min(g, k) AS g, any_value(total) AS total FROM h JOIN w ON w.src_ip = h.src_ip AND w.dst_ip = h.dst_ip WHERE g >= top * (1 - 1e-9) GROUP BY ALL)
+ SELECT p.src_ip, p.dst_ip, p.contacts, round(CASE WHEN total > 0 THEN k / (p.span / 1e6) WHEN total = 0 THEN 0 WHEN m > 0 THEN 1 / m ELSE 0 END, 6) + 0.0 AS dominant_hz, round(CASE WHEN total > 0 THEN p.span / 1e6 / k WHEN total = 0 THEN 0 ELSE m END, 6) + 0.0 AS dominant_s,
+  round(CASE WHEN total > 0 THEN g / total WHEN total = 0 THEN 0 WHEN m > 0 AND sd < 0.1 * m THEN 0.9 ELSE 0.5 END, 6) + 0.0 AS spectral_power FROM p LEFT JOIN pk ON pk.src_ip = p.src_ip AND pk.dst_ip = p.dst_ip"""
+
+
+@query(duck(SPECTRUM))
 def spectral_profile(spark, sf_dir):
     return rounded(P.spectral_profile(flow_view(spark, sf_dir)))
 
@@ -163,25 +183,19 @@ def frames(spark, sf_dir):
     return flows.select(F.col("dst_ip").alias("capture"), k.alias("seq"), "ts_us", F.lit(1).alias("linktype"), frame.alias("frame"))
 
 
-def _little(value: Column | int, size: int) -> Column:
-    return F.concat(*[F.substring(_be(value, size), i, 1) for i in range(size, 0, -1)])
-
-
-CAPTURE_EVENTS = 4096
+#: Flows in a capture file, and bytes in a range of one: small, so that small tables have many of both.
+FILE_EVENTS, SPLIT_BYTES = 4096, 1 << 16
 
 
-@query(duck(" SELECT dst_ip AS capture, row_number() OVER (PARTITION BY dst_ip ORDER BY event_id) - 1 AS seq, ts_us, CAST(1 AS INTEGER) AS linktype FROM fv"))
-def capture_frames(spark, sf_dir, events=CAPTURE_EVENTS):
-    """Frames of files of at most ``events`` flows, one for each destination and range of event_id; places go on from file to file."""
-    head = F.concat(_be(0xD4C3B2A1, 4), _be(0, 16), _little(1, 4))
-    record = F.concat(_little(F.floor(F.col("ts_us") / 1_000_000), 4), _little(F.col("ts_us") % 1_000_000, 4), _little(F.length("frame"), 4), _little(F.length("frame"), 4), F.col("frame"))
-    rows = frames(spark, sf_dir).withColumn("part", F.floor(F.col("seq") / events)).withColumn("file", F.concat_ws("/", "capture", F.col("part").cast("string")))
-    order = Window.partitionBy("capture").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("capture", "part", "file").agg(F.count("*").alias("n")).select("file", F.col("capture").alias("name"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex(record).alias("r")))), lambda x: x["r"])
-    content = rows.groupBy("file").agg(F.concat(head, F.unhex(F.array_join(listed, ""))).alias("content"))
-    found = C.split_captures(content.withColumnRenamed("file", "capture")).withColumnRenamed("capture", "file").join(files, "file")
-    return found.select(F.col("name").alias("capture"), (F.col("before") + F.col("seq")).alias("seq"), "ts_us", "linktype")
+@query(duck(f""" SELECT CAST(event_id // {FILE_EVENTS} AS BIGINT) AS capture, row_number() OVER (PARTITION BY event_id // {FILE_EVENTS} ORDER BY event_id) - 1 AS seq, ts_us, CAST(1 AS INTEGER) AS linktype, CASE WHEN o THEN src_ip END AS src_ip, CASE WHEN o THEN dst_port END AS dst_port,
+ CASE WHEN o THEN dns_query END AS dns_query, CASE WHEN o AND protocol = 'TCP' THEN event_id * 10 + 1 END AS tcp_seq FROM (SELECT *, event_id % 31 <> 30 AND event_id % 29 <> 28 AS o FROM fv)"""))
+def capture_frames(spark, sf_dir, split_bytes=SPLIT_BYTES):
+    """Frames written to capture files, read from there in ranges, and decoded."""
+    path = new_path(spark, "captures")
+    C.write_captures(frames(spark, sf_dir).withColumn("capture", F.floor(F.col("seq") / FILE_EVENTS).cast("string")), path)
+    found = C.decode_frames(C.capture_frames(spark, f"{path}/*.pcap", split_bytes), link=True)
+    name = F.regexp_extract("capture", "([0-9]+)[.]pcap$", 1).cast("long")
+    return found.select(name.alias("capture"), "seq", "ts_us", "linktype", "src_ip", "dst_port", "dns_query", "tcp_seq")
 
 
 @query(duck(""" SELECT event_id AS seq, CASE WHEN event_id % 31 = 30 THEN 'no_ip' WHEN event_id % 29 = 28 THEN 'fragment' ELSE 'ok' END AS status, CASE WHEN o THEN src_ip END AS src_ip, CASE WHEN o THEN dst_port END AS dst_port, CASE WHEN o THEN protocol END AS l4_proto,

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..plans.flow_view import DAY_US, duck, flow_view, session_view
 from ..plans.stages import new_path
-from ..sources import netflow as X
+from ..operators import ingest as I
+from ..sources import captures as C, netflow as X
 from ..streaming import flows as S, stateful as T
 from . import alerts as CA, detect as D, sessions as XC, sources as SC, windows as WC
 from .registry import query, rounded
@@ -79,6 +80,25 @@ def stream_sliding_src_features(spark, sf_dir):
     return S.run_available(S.stream_src_features(flows, "1 day", "12 hours"), spark, "hops")
 
 
+#: The counters of the frames that ``sources.frames`` makes of the flow view.
+COUNTERS = """, c AS (SELECT *, event_id % 31 <> 30 AND event_id % 29 <> 28 AS o FROM fv) SELECT unnest(['packets_read', 'packets_parsed', 'dropped_fragments', 'dropped_link', 'dropped_non_ip', 'dropped_short', 'vlan_tagged', 'ipv4', 'ipv6', 'tcp', 'udp', 'icmp']) AS item,
+ unnest([count(*), count(*) FILTER (WHERE o), count(*) FILTER (WHERE event_id % 31 <> 30 AND event_id % 29 = 28), 0, count(*) FILTER (WHERE event_id % 31 = 30), 0, count(*) FILTER (WHERE event_id % 7 = 6), count(*) FILTER (WHERE o), 0, count(*) FILTER (WHERE o AND protocol = 'TCP'), count(*) FILTER (WHERE o AND protocol = 'UDP'), 0]) AS value FROM c"""
+
+
+@query(duck(COUNTERS))
+def ingest_counters(spark, sf_dir):
+    return I.counters(C.decode_frames(SC.frames(spark, sf_dir)), I.frame_counters()).where("item <> 'bytes_read'")
+
+
+@query(duck(COUNTERS))
+def stream_ingest_counters(spark, sf_dir):
+    """The same counters, observed in a stream of three micro-batches."""
+    found = C.decode_frames(stream_in_steps(spark, SC.frames(spark, sf_dir), "in-frames", "seq"))
+    rows, totals = I.observed(found, I.frame_counters(), "frames")
+    S.run_available(rows.drop("payload"), spark, "frames")
+    return I.stop_listening(spark, totals).where("item <> 'bytes_read'")
+
+
 @query(duck(XC.BASE + XC.TCP + XC.REPEATS + XC.LATE + """, way AS (SELECT dup.*, out_of_order FROM dup JOIN late ON late.ep_a = dup.ep_a AND late.ep_b = dup.ep_b AND late.protocol = dup.protocol AND late.session = dup.session AND late.forward = dup.forward)
  SELECT tcp.ep_a, tcp.ep_b, tcp.protocol, start_us, state, handshake, rtt_ms, packets, coalesce(f.duplicates, 0) AS fwd_duplicates, coalesce(v.duplicates, 0) AS rev_duplicates, coalesce(f.out_of_order, 0) AS fwd_out_of_order, coalesce(v.out_of_order, 0) AS rev_out_of_order FROM tcp
  JOIN ses ON ses.ep_a = tcp.ep_a AND ses.ep_b = tcp.ep_b AND ses.protocol = tcp.protocol AND ses.session = tcp.session
@@ -121,9 +141,9 @@ def stream_alert_tail(spark, sf_dir):
 def stream_ledger_commit(spark, sf_dir):
     from ..operators.ledger import verify_ledger
 
-    rows = stream_of(spark, CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class"), "in-ledger").drop("ts")
+    rows = stream_in_steps(spark, CA.alert_table(spark, sf_dir).select("alert_id", "ts_us", "threat_class"), "in-ledger", "ts_us")
     path = new_path(spark, "ledger")
     rows.writeStream.foreachBatch(S.ledger_writer(path)).option("checkpointLocation", new_path(spark, "ledger-marks")).trigger(availableNow=True).start().awaitTermination()
-    blocks = spark.read.parquet(path).drop("batch")
+    blocks = spark.read.parquet(f"{path}/blocks").drop("batch")
     bad = verify_ledger(blocks).where("errors <> ''").agg(F.count("*").alias("errors"))
     return blocks.agg(F.sum(F.size("leaves")).cast("long").alias("alerts")).crossJoin(bad)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -23,8 +25,8 @@ def select_features(df: DataFrame, columns: list[str], strict: bool = False) ->
     """The names that are no identifiers; with ``strict`` an identifier is an error."""
 
     def identifies(name: str) -> bool:
-        parts = name.lower().split("_")
-        return (any(i in parts or name.lower() == i for i in IDENTIFIERS)) and not any(s in parts for s in SUMMARIES)
+        parts = f"_{name.lower()}_"
+        return any(f"_{i}_" in parts for i in IDENTIFIERS) and not any(f"_{s}_" in parts for s in SUMMARIES)
 
     bad = [c for c in columns if identifies(c)]
     if bad and strict:
@@ -34,25 +36,35 @@ def select_features(df: DataFrame, columns: list[str], strict: bool = False) ->
 
 def augment_rows(df: DataFrame, features: list[str], min_rows: int, seed: int = 42) -> DataFrame:
     """``df`` with copies until there are ``min_rows``, their features moved by normal noise of 0.01; ``copy`` is 0 for rows
-    of the input."""
+    of the input.
+
+    The noise is drawn by a hash of the row's values, the copy and the feature, so a task that runs again, or other
+    partitions, give the same rows; rows that are equal have equal copies."""
     n = df.count()
     times = max(1, -(-min_rows // max(n, 1)))
-    rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    noise = lambda i: F.when(F.col("copy") == 0, 0.0).otherwise(F.randn(seed + i) * 0.01)
-    return rows.withColumns({c: F.col(c) + noise(i) for i, c in enumerate(features)})
+    rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    uniform = lambda i, k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(k), "_row", "copy"), F.lit(1 << 52)) + 0.5) / (1 << 52)
+    normal = lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))
+    noise = lambda i: F.when(F.col("copy") == 0, 0.0).otherwise(normal(i) * 0.01)
+    return rows.withColumns({c: F.col(c) + noise(i) for i, c in enumerate(features)}).drop("_row")
 
 
 def group_split(df: DataFrame, group: str, shares=(0.6, 0.2, 0.2), seed: int = 42) -> DataFrame:
-    """(group, split): whole groups to train, val and test, at least one each, in order of a seeded hash."""
+    """(group, split): whole groups to train, val and test, at least one each, in order of a seeded hash: places within the
+    ranges of the hash's first digits, and the ranges' sums."""
     names = df.select(F.col(group).alias("grp")).distinct()
     n = names.count()
     if n < 3:
         raise ValueError("a split needs three groups")
     train = min(max(1, round(n * shares[0])), n - 2)
     val = min(max(1, round(n * shares[1])), n - train - 1)
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp").cast("string")))))
+    hashed = names.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("grp").cast("string"), F.lit("")))))
+    hashed = hashed.withColumn("_range", F.substring("_h", 1, 3))
+    sums = hashed.groupBy("_range").agg(F.count("*").alias("_c"))  # 4096 rows at most
+    sums = sums.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_base"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", "grp"))
     split = F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "val").otherwise("test")
-    return names.withColumn("r", place).select("grp", split.alias("split"))
+    return hashed.join(F.broadcast(sums), "_range").withColumn("r", place).select("grp", split.alias("split"))
 
 
 def leakage_probe(df: DataFrame, features: list[str], scenario: str, limit: float = 0.90, check: bool = True) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .files import file_digests
 from ..functions.scalars import leftmost_label, parse_flow_port, parse_flow_state, parse_flow_time
 
 FLOW_LOG = "StartTime string, Dur string, Proto string, SrcAddr string, Sport string, Dir string, DstAddr string, Dport string, State string, sTos string, dTos string, TotPkts string, TotBytes string, SrcBytes string, Label string"
@@ -59,8 +60,9 @@ def read_ja3_intel(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ja3", F.lower(F.trim("ja3"))).where(F.col("ja3").rlike("^[0-9a-f]{32}$"))
 
 
-def file_checksum_audit(spark: SparkSession, glob: str, manifest: DataFrame) -> DataFrame:
-    """(name, status) of files against a manifest (name, sha256): ok, mismatch, unregistered or missing."""
-    files = spark.read.format("binaryFile").load(glob).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+def file_checksum_audit(spark: SparkSession, glob: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """(name, status) of files, by the last part of their path or an expression of ``path``, against a manifest (name, sha256): ok, mismatch, unregistered or missing. Files are read in
+    chunks where they are digested, whatever their size; a name that several files have is audited for each."""
+    files = file_digests(spark, glob).select((F.element_at(F.split("path", "/"), -1) if name is None else name).alias("name"), F.col("sha256").alias("found"))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unregistered").when(F.col("found") == F.lower("sha256"), "ok").otherwise("mismatch")
-    return files.join(manifest, "name", "full_outer").select("name", status.alias("status"))
+    return files.join(manifest.select("name", "sha256"), "name", "full_outer").select("name", status.alias("status"))

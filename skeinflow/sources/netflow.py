@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 FIELDS = "array<struct<type:int,len:int>>"
-FLOWSET = f"source_id long, seq long, unix_secs long, uptime_ms long, kind string, template_id int, fields {FIELDS}, body binary"
+FLOWSET = f"source_id long, seq long, unix_secs long, uptime_ms long, kind string, template_id int, fields {FIELDS}, body binary, scope_fields int"
 
 #: Field types that records give, and protocol numbers.
 FIELD_TYPES = {"in_bytes": 1, "in_packets": 2, "protocol": 4, "tcp_flags": 6, "src_port": 7, "src_v4": 8, "dst_port": 11, "dst_v4": 12, "last_ms": 21, "first_ms": 22}
@@ -17,15 +17,16 @@ FLAG_BITS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32}
 
 
 def _split(payload: bytes):
-    """(kind, template_id, fields, body) of each flowset; kind "corrupt" for what breaks its bounds."""
+    """(kind, template_id, fields, body, scope fields) of each flowset; kind "corrupt" for what breaks its bounds. An options
+    template's fields are those of its scope, so many, and then its options."""
     if payload is None or len(payload) < 20 or struct.unpack_from("!H", payload)[0] != 9:
-        return (0, 0, 0, 0), [("corrupt", None, None, None)]
+        return (0, 0, 0, 0), [("corrupt", None, None, None, None)]
     _, _, uptime, secs, seq, source = struct.unpack_from("!HHIIII", payload)
     at, out = 20, []
     while at + 4 <= len(payload):
         which, size = struct.unpack_from("!HH", payload, at)
         if size < 4 or at + size > len(payload):
-            out.append(("corrupt", None, None, None))
+            out.append(("corrupt", None, None, None, None))
             break
         body = payload[at + 4 : at + size]
         if which == 0:
@@ -35,27 +36,37 @@ def _split(payload: bytes):
                 if template < 256 or i + 4 + 4 * n > len(body):
                     break
                 pairs = struct.unpack_from(f"!{2 * n}H", body, i + 4)
-                out.append(("template", template, [{"type": t, "len": l} for t, l in zip(pairs[::2], pairs[1::2])], None))
+                out.append(("template", template, [{"type": t, "len": l} for t, l in zip(pairs[::2], pairs[1::2])], None, None))
                 i += 4 + 4 * n
         elif which >= 256:
-            out.append(("data", which, None, body))
+            out.append(("data", which, None, body, None))
+        elif which == 1:
+            i = 0
+            while i + 6 <= len(body):
+                template, scope, options = struct.unpack_from("!HHH", body, i)
+                n = (scope + options) // 4
+                if template < 256 or i + 6 + 4 * n > len(body):
+                    break
+                pairs = struct.unpack_from(f"!{2 * n}H", body, i + 6)
+                out.append(("options", template, [{"type": t, "len": l} for t, l in zip(pairs[::2], pairs[1::2])], None, scope // 4))
+                i += 6 + 4 * n
         else:
-            out.append(("options", which, None, None))
+            out.append(("reserved", which, None, body, None))
         at += size
     return (source, seq, secs, uptime), out
 
 
 def _flowsets(batches):
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.int32(), pa.list_(pa.struct([("type", pa.int32()), ("len", pa.int32())])), pa.binary()]
-    names = [x.split()[0] for x in ("source_id", "seq", "unix_secs", "uptime_ms", "kind", "template_id", "fields", "body")]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int32(), pa.list_(pa.struct([("type", pa.int32()), ("len", pa.int32())])), pa.binary(), pa.int32()]
+    names = [x.split()[0] for x in ("source_id", "seq", "unix_secs", "uptime_ms", "kind", "template_id", "fields", "body", "scope_fields")]
     for batch in batches:
         rows = [(head[0], arrival, head[2], head[3], *part) for arrival, payload in zip(*(c.to_pylist() for c in batch.columns)) for head, parts in [_split(payload)] for part in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [()] * 8, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows)] or [()] * 9, kinds)], names)
 
 
 def netflow_flowsets(datagrams: DataFrame) -> DataFrame:
-    """Rows (source_id, seq, unix_secs, uptime_ms, kind, template_id, fields, body) of datagrams (arrival_seq, payload); kind
-    is template, data, options or corrupt, ``seq`` is the arrival."""
+    """Rows (source_id, seq, unix_secs, uptime_ms, kind, template_id, fields, body, scope_fields) of datagrams (arrival_seq,
+    payload); kind is template, data, options (a template of options), reserved or corrupt, ``seq`` is the arrival."""
     return datagrams.select(F.col("arrival_seq").cast("long"), F.col("payload").cast("binary")).mapInArrow(_flowsets, FLOWSET)
 
 

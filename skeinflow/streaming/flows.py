@@ -121,16 +121,20 @@ def stream_alert_tail(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame
 def ledger_writer(path: str, size: int = 10):
     """A function for ``foreachBatch``: seals each micro-batch's alerts into blocks that go on from the last sealed one.
 
-    A batch's blocks are one folder named by its id, written over if the batch runs again, so commits are idempotent."""
+    A batch's blocks are one folder of ``<path>/blocks`` named by its id, and the head of the chain after it is one row of
+    ``<path>/heads`` named likewise. A batch reads the head of the one before it and nothing else, and is written over if it
+    runs again, so commits are idempotent and cost the same however long the chain is."""
+    head = "block_height long, block_hash string"
 
     def commit(alerts: DataFrame, batch_id: int) -> None:
         spark = alerts.sparkSession
-        last = None
-        if batch_id:
-            heads = spark.read.option("mergeSchema", False).parquet(path).where(F.col("batch") < batch_id)
-            last = heads.orderBy(F.desc("block_height")).select("block_height", "block_hash").first()
+        last = spark.read.schema(head).parquet(f"{path}/heads/batch={batch_id - 1}").first() if batch_id else None
         height, prev = (last["block_height"] + 1, last["block_hash"]) if last else (0, GENESIS)
-        ledger_chain(alerts, size, prev, height).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        ledger_chain(alerts, size, prev, height).write.mode("overwrite").parquet(f"{path}/blocks/batch={batch_id}")
+        sealed = spark.read.parquet(f"{path}/blocks/batch={batch_id}")
+        after = sealed.orderBy(F.desc("block_height")).select("block_height", "block_hash").limit(1)
+        found = after.first() or (last and tuple(last))
+        spark.createDataFrame([tuple(found)] if found else [], head).coalesce(1).write.mode("overwrite").parquet(f"{path}/heads/batch={batch_id}")
 
     return commit
 
