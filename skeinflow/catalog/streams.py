@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..plans.flow_view import DAY_US, duck, flow_view, session_view
 from ..plans.stages import new_path
 from ..operators import ingest as I
-from ..sources import captures as C, netflow as X
+from ..sources import captures as C, netflow as X, tail as L
 from ..streaming import flows as S, stateful as T
 from . import alerts as CA, detect as D, sessions as XC, sources as SC, windows as WC
 from .registry import query, rounded
@@ -137,6 +137,16 @@ def stream_alert_tail(spark, sf_dir):
     return S.run_available(S.stream_alert_tail(found), spark, "alerts").select("alert_id", "threat_class")
 
 
+@query(duck(CA.AL + " SELECT alert_id, threat_class, severity FROM al"))
+def stream_tailed_alerts(spark, sf_dir):
+    """Alerts of JSON-lines files, followed as files that grow: ranges of bytes, lines once each, a broken line between."""
+    path = new_path(spark, "tailed")
+    rows = CA.alert_table(spark, sf_dir).select("alert_id", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), "threat_class", "severity")
+    rows.select(F.concat(F.to_json(F.struct("*")), F.lit('\n{"alert_id": "broken')).alias("value")).write.text(path)
+    found = L.tail_alerts(spark, f"{path}/*.txt", split_bytes=1 << 14)
+    return S.run_available(S.stream_alert_tail(found), spark, "tailed-alerts").select("alert_id", "threat_class", "severity")
+
+
 @query(duck(CA.AL + " SELECT count(*) AS alerts, CAST(0 AS BIGINT) AS errors FROM al"))
 def stream_ledger_commit(spark, sf_dir):
     from ..operators.ledger import verify_ledger

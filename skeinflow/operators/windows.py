@@ -125,13 +125,11 @@ def domain_features(flows: DataFrame, key: str = "parent", newest: int = 50) ->
     """By client and domain: queries and share of TXT ones over all, mean length and largest entropy of the newest names."""
     rows = flows.where("dns_query is not null").select(F.col("src_ip").alias("client"), domain_key(F.col("dns_query"), key).alias("domain"), "dns_query", "dns_qtype", "ts_us", "event_id")
     order = Window.partitionBy("client", "domain").orderBy(F.desc("ts_us"), F.desc("event_id"))
-    rows = rows.withColumn("r", F.row_number().over(order))
-    late = F.col("r") <= newest
-    out = rows.groupBy("client", "domain").agg(
-        F.count("*").alias("queries"), F.max("ts_us").alias("last_us"), F.avg(F.when(late, F.length("dns_query"))).alias("avg_length"),
-        F.max(F.when(late, shannon_entropy(F.split_part("dns_query", F.lit("."), F.lit(1))))).alias("max_entropy"), count_if(F.col("dns_qtype") == "TXT").alias("txt"),
-    )
-    return out.select("client", "domain", "queries", "last_us", "avg_length", "max_entropy", (F.col("txt") / F.col("queries")).alias("txt_ratio"))
+    totals = rows.groupBy("client", "domain").agg(F.count("*").alias("queries"), F.max("ts_us").alias("last_us"), count_if(F.col("dns_qtype") == "TXT").alias("txt"))
+    # only the newest of each task are ordered with those of the others
+    late = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= newest)
+    late = late.groupBy("client", "domain").agg(F.avg(F.length("dns_query")).alias("avg_length"), F.max(shannon_entropy(F.split_part("dns_query", F.lit("."), F.lit(1)))).alias("max_entropy"))
+    return totals.join(late, ["client", "domain"]).select("client", "domain", "queries", "last_us", "avg_length", "max_entropy", (F.col("txt") / F.col("queries")).alias("txt_ratio"))
 
 
 def periodicity_flags(pairs: DataFrame, spectral: Column | None = None) -> DataFrame:
