@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: The technique that exports name for each class, and the pattern of its indicators.
+#: For each class the technique that exports name, the pattern of its indicators and its detector; and the order of
+#: severities.
 CLASS_TECHNIQUES = {"VOLUMETRIC_DDOS": "T1498", "C2_BEACONING": "T1071", "DGA_DOMAIN": "T1568.002", "DNS_TUNNELLING": "T1071.004", "PORT_SCANNING": "T1046", "DATA_EXFILTRATION": "T1041", "TLS_MALWARE": "T1573"}
 CLASS_PATTERNS = {
     "VOLUMETRIC_DDOS": "[network-traffic:dst_port > 0]", "C2_BEACONING": "[network-traffic:dst_ref.type = 'ipv4-addr']", "DGA_DOMAIN": "[domain-name:value MATCHES '[a-z0-9]{12,}']",

@@ -5,6 +5,7 @@ All of them take a watermark; rows later than it are dropped by Spark and counte
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,17 +94,19 @@ def _incident(key, frames, state):
         state.remove()
         return
     last, n, peak, evidence, first = state.get if state.exists else (None, 0, 0.0, "", 0)
-    rows = pd.concat(list(frames)).sort_values(["ts_us", "confidence"])
-    out = []
-    for r in rows.itertuples():
-        if last is None or r.ts_us - last > r.gap_us:
-            n, peak, evidence, first = 0, 0.0, "", r.ts_us
-            out.append([*key, r.ts_us, 1, float(r.confidence), r.evidence])
-        last, n, peak = r.ts_us, n + 1, max(peak, float(r.confidence))
-        evidence = ",".join(sorted({*filter(None, evidence.split(",")), *r.evidence.split(",")}))
-    state.update((int(last), n, peak, evidence, int(first)))
-    state.setTimeoutTimestamp(max(int(last) // 1000 + int(rows["gap_us"].iloc[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=names)
+    rows = pd.concat(list(frames)).sort_values(["ts_us", "confidence"], kind="stable")
+    times, gap = rows["ts_us"].to_numpy(), int(rows["gap_us"].iloc[0])
+    starts = np.append(last is None or times[0] - last > gap, np.diff(times) > gap)
+    own = rows
+    if starts.any():  # the state is that of the last incident
+        at = int(np.flatnonzero(starts)[-1])
+        own, n, peak, evidence, first = rows.iloc[at:], 0, 0.0, "", int(times[at])
+    peak = max(peak, float(own["confidence"].max()))
+    seen = {*filter(None, evidence.split(",")), *filter(None, ",".join(own["evidence"].fillna("")).split(","))}
+    state.update((int(times[-1]), n + len(own), peak, ",".join(sorted(seen)), first))
+    state.setTimeoutTimestamp(max((int(times[-1]) + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    new = rows[starts]
+    yield pd.DataFrame({"threat_class": key[0], "entity_id": key[1], "ts_us": new["ts_us"], "detections": 1, "peak": new["confidence"].astype(float), "evidence": new["evidence"]}, columns=names)
 
 
 def stream_incidents(detections: DataFrame, gap_us: int, watermark: str = "0 seconds") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.functions import scalars as S
-from skeinflow.operators import evaluate as V, graph as G, incidents as I, ledger as L, models as M, networks as N, rules as R, sessions as X, tcp as T, templates as O, windows as W
+from skeinflow.operators import evaluate as V, graph as G, incidents as I, ingest, ledger as L, models as M, networks as N, rules as R, sessions as X, tcp as T, templates as O, windows as W
 from skeinflow.sources import captures, netflow
 
 FLOW = "event_id long, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, length long, syn boolean, ack boolean, fin boolean, rst boolean, dns_query string, dns_qtype string, tls_ja3 string, tcp_seq long, payload_len long"
@@ -227,3 +227,40 @@ def test_fragments_are_no_events():
     assert [captures.decode(1, ethernet + v4(flags))[0] for flags in ((0, 0), (0x40, 0), (0x20, 0), (0, 1))] == ["ok", "ok", "fragment", "fragment"]
     v6 = bytes([0x60, 0, 0, 0, 0, 8, 44, 64]) + bytes(32) + bytes(8)
     assert captures.decode(1, bytes(12) + b"\x86\xdd" + v6)[0] == "fragment"
+
+
+def test_network_tables_on_both_sides_of_the_bound(spark, monkeypatch):
+    """Ranges against a broadcast up to the bound, prefixes beyond it: the same answers."""
+    nets = spark.createDataFrame([("10.0.0.0/8",), ("10.1.0.0/16",), ("192.168.1.0/24",), ("8.8.8.8/32",)], "cidr string")
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(["10.1.2.3", "11.0.0.0", "9.255.255.255", "10.255.255.255", "192.168.1.255", "192.168.2.0", "8.8.8.8", "8.8.8.9", "x", None])], "k long, ip string")
+    answers = []
+    for bound in (3, 4, 5):
+        monkeypatch.setattr(N, "RANGE_JOIN_ROWS", bound)
+        found = N.ip_in_networks(rows, nets, "ip")
+        assert ("cidr" in str(found.columns)) is False
+        answers.append([r["inside"] for r in found.orderBy("k").collect()])
+    assert answers[0] == answers[1] == answers[2] == [True, False, False, True, True, False, True, False, False, False]
+
+
+def test_options_templates_and_reserved_flowsets(spark):
+    def flowset(which, body):
+        return which.to_bytes(2, "big") + (4 + len(body)).to_bytes(2, "big") + body
+
+    number = lambda *xs: b"".join(x.to_bytes(2, "big") for x in xs)
+    head = number(9, 1) + bytes(4) + (1000).to_bytes(4, "big") + bytes(4) + (7).to_bytes(4, "big")
+    options = flowset(1, number(300, 4, 8, 1, 4, 34, 4, 35, 1) + bytes(2))
+    broken = flowset(1, number(301, 40, 8, 1, 4))
+    rows = [(1, bytearray(head + options + flowset(2, b"abcd") + flowset(300, b"data"))), (2, bytearray(head + broken)), (3, bytearray(b"short")), (4, None)]
+    found = netflow.netflow_flowsets(spark.createDataFrame(rows, "arrival_seq long, payload binary")).collect()
+    got = [(r["seq"], r["kind"], r["template_id"], r["fields"] and [tuple(f) for f in r["fields"]], r["scope_fields"]) for r in found]
+    assert got == [(1, "options", 300, [(1, 4), (34, 4), (35, 1)], 1), (1, "reserved", 2, None, None), (1, "data", 300, None, None), (3, "corrupt", None, None, None), (4, "corrupt", None, None, None)]
+
+
+def test_causes_of_drops_are_counted(spark):
+    v4 = bytes([0x45, 0, 0, 28, 0, 1, 0, 0, 64, 17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + bytes([0, 53, 0, 54, 0, 8, 0, 0])
+    v6 = bytes([0x60, 0, 0, 0, 0, 8, 58, 64]) + bytes(32) + bytes(8)
+    ether = lambda kind, body: bytes(12) + kind + body
+    frames = [(1, ether(b"\x08\x00", v4)), (1, ether(b"\x81\x00\x00\x05\x08\x00", v4)), (1, ether(b"\x86\xdd", v6)), (1, ether(b"\x08\x06", b"arp")), (113, b"cooked"), (1, b"tiny"), (1, ether(b"\x08\x00", v4[:6] + b"\x20\x00" + v4[8:]))]
+    rows = spark.createDataFrame([("c", i, 0, link, bytearray(f)) for i, (link, f) in enumerate(frames)], captures.FRAME)
+    found = {r["item"]: r["value"] for r in ingest.counters(captures.decode_frames(rows), ingest.frame_counters()).collect()}
+    assert found == {"bytes_read": sum(len(f) for _, f in frames), "packets_read": 7, "packets_parsed": 3, "dropped_fragments": 1, "dropped_link": 1, "dropped_non_ip": 1, "dropped_short": 1, "vlan_tagged": 1, "ipv4": 2, "ipv6": 1, "tcp": 0, "udp": 2, "icmp": 1}
