@@ -6,7 +6,7 @@ the edges of what the pattern matches, and inside a word between two bytes that
 vocabulary. No merge ever reaches over such a cut, so each fragment is merged by itself, in order of merge rank, and the ids
 are concatenated; only the last fragment of a word has the end-of-word suffix.
 
-Rows are independent: no shuffle. A task keeps the tokens of words it has met, up to twice
+Rows are independent: no shuffle. A task keeps the ids of words it has met, up to twice
 ``CACHE_WORDS`` short ones, of which the older half goes first. Decoding joins the tokens by one space, special tokens included, which is what the library does for a file
 without a decoder.
 
@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .caches import held
 from .passing import hidden_pass
 
 CACHE_WORDS = 300_000
@@ -67,9 +68,9 @@ class Vocabulary:
         #: Pairs of characters that stand side by side inside some token: every other pair is a certain cut.
         bare = (t.removesuffix(self.suffix) for t in self.ids)
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
-        #: Words met lately, and those met before them: word -> (ids, tokens), each joined by one space.
-        self.recent: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        #: Words met lately, and those met before them: word -> ids joined by one space.
+        self.recent: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.normalizer, self.splitter = _normalizer(spec), pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
 
     def fragments(self, word: str) -> list[list[str]]:
@@ -119,12 +120,11 @@ class Vocabulary:
                     heapq.heappush(heap, (found, a, parts[a], parts[b]))
         return [p for p in parts if p is not None]
 
-    def encode_word(self, word: str) -> tuple[str, str]:
-        """The ids and the tokens of a word, each joined by one space."""
+    def encode_word(self, word: str) -> str:
+        """The ids of a word, joined by one space."""
         found = self.older.get(word)
         if found is None:
-            tokens = [t for part in self.fragments(word) for t in self.merge(part)]
-            found = " ".join([self.shown[t] for t in tokens]), " ".join(tokens)
+            found = " ".join([self.shown[t] for part in self.fragments(word) for t in self.merge(part)])
         if len(word) <= CACHE_CHARS:
             if len(self.recent) >= CACHE_WORDS:
                 self.recent, self.older = {}, self.recent
@@ -138,38 +138,28 @@ class Vocabulary:
             return self.words(unicodedata.normalize("NFC", text).lower())
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
-    def encode(self, text: str) -> tuple[list[str], list[str]]:
-        """Ids and tokens of a text, in groups that are joined by one space."""
-        ids, tokens, at = [], [], 0
+    def encode(self, text: str) -> list[str]:
+        """The ids of a text, in groups that are joined by one space."""
+        ids, at = [], 0
         for found in [*self.at_special.finditer(text), None]:
             words = self.split(text[at : found.start() if found else len(text)])
             known = [*map(self.recent.get, words)]
             if None in known:
                 known = [k or self.recent.get(w) or self.encode_word(w) for k, w in zip(known, words)]
-            if known:
-                part_ids, part_tokens = zip(*known)
-                ids += part_ids
-                tokens += part_tokens
+            ids += known
             if found:
                 ids.append(str(self.special[found[0]]))
-                tokens.append(found[0])
                 at = found.end()
-        return ids, tokens
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         names = self.__dict__.get("names") or self.__dict__.setdefault("names", {i: t for t, i in (self.ids | self.special).items()})
         return " ".join(names[i] for i in ids)
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def _vocabulary(content: str, key: str) -> Vocabulary:
     """One for each worker process: it lasts over tasks."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(content)
-    return _LOADED[key]
+    return held("bpe", key, lambda: Vocabulary(content))
 
 
 def _spread(docs: DataFrame, path: str):
@@ -188,7 +178,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         vocabulary = _vocabulary(content.value, key)
         for batch in batches:
-            found = [[int(i) for group in vocabulary.encode(t or "")[0] for i in group.split(" ")] for t in batch.column("_bpe_text").to_pylist()]
+            found = [[int(i) for group in vocabulary.encode(t or "") for i in group.split(" ")] for t in batch.column("_bpe_text").to_pylist()]
             kept_columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_bpe_text"]
             yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(found, pa.list_(pa.int32()))], names)
 
@@ -210,7 +200,7 @@ def bpe_decode(rows: DataFrame, path: str) -> DataFrame:
 
 def digests(vocabulary: Vocabulary, text: str | None) -> tuple[int, str, str]:
     """The number of ids of a text, and the digests of the ids and of what they decode to."""
-    ids = " ".join(vocabulary.encode(text or "")[0])
+    ids = " ".join(vocabulary.encode(text or ""))
     numbers = [*map(int, ids.split(" "))] if ids else []
     return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(vocabulary.decode(numbers).encode()).hexdigest()
 

@@ -44,6 +44,7 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .caches import lean
 from .passing import hidden_pass
 from .store import discard, settle
 
@@ -290,6 +291,7 @@ def _sums_from(values: np.ndarray, new: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------------------------------------------
 
 
+@lean
 def _count_words(batches, shards: int):
     """(shard, lang, size, words, n) of (lang, text): words and their numbers, summed over many texts, by a hash of the word."""
     counts: dict[tuple[str, str], int] = {}
@@ -315,6 +317,7 @@ def _word_batch(counts: dict, shards: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "lang", "size", "words", "n"])
 
 
+@lean
 def _sum_words(batches):
     """Shards of ``_count_words`` -> (lang, word, n)."""
     for rows in _runs(batches):
@@ -378,6 +381,7 @@ def lexicon(training: DataFrame, shards: int) -> Lexicon | None:
     return Lexicon(ids, language, hot.astype(np.int64), {k: v for k, v in letters.items() if k in spelled}, spelled)
 
 
+@lean
 def _trigram_batches(batches, lexicon: Lexicon, shards: int):
     """(shard, size, keys, n) of the training texts: distinct trigrams of a block and their numbers."""
     for block in _blocks(batches, lexicon):
@@ -413,6 +417,7 @@ def _bigrams(trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(((trigrams >> (2 * BITS)) << BITS) | (trigrams & MASK), return_counts=True)
 
 
+@lean
 def _statistics(batches, lexicon: Lexicon):
     """(kind, a, b, n): 3 and 2, language a: how many trigrams and bigrams are counted b times; 1: how many words stand before
     word a; 0: how many stand before bigram a of a hot word, in this shard."""
@@ -524,6 +529,7 @@ def negative_logs(model: Model, trigrams: np.ndarray, counts: np.ndarray):
     return scored
 
 
+@lean
 def _document_batches(batches, lexicon: Lexicon, shards: int):
     """(shard, size, docs, block, keys, doc, trains): the trigrams of a block for a shard, with the numbers of their documents in
     the block. One row for each block has size 0 and what belongs to the documents: their keys, lengths and costs of spellings.
@@ -560,6 +566,7 @@ def _parts(rows: list[dict], offsets: np.ndarray):
             del part
 
 
+@lean
 def _score_batches(batches, model: Model):
     """Shards of ``_document_batches`` -> (block, docs, nats, row, chars): sums of a block's documents in the shard; the rows
     that tell of the documents pass with their keys and lengths."""
@@ -586,6 +593,7 @@ def _score_batches(batches, model: Model):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "docs", "nats", "row", "chars"])
 
 
+@lean
 def _sum_batches(batches):
     """Blocks of ``_score_batches`` -> (row, nats, chars)."""
     for rows in _runs(batches, "block"):

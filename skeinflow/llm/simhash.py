@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
+from .caches import lean
 from .passing import hidden_pass
 from .store import settle
 
@@ -50,6 +51,7 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
+@lean
 def _fingerprint_batches(batches):
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -77,6 +79,7 @@ def _forest(ids: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+@lean
 def _link_batches(batches):
     """Rows (key, fp, id) in order of key -> edges (a, b) between ids of fingerprints that share a key and link.
 

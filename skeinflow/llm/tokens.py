@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
+from .caches import held
 
 CACHE_WORDS = 500_000
 CACHE_CHARS = 64
@@ -75,9 +76,6 @@ class Counter:
         return tokens, words, whole
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, n_words, n_whole) of every row of ``docs`` (doc_id, text): UTF-8 bytes, tokens,
     whether these are over ``limit``, pre-tokens, and pre-tokens that the shortcut counted."""
@@ -85,10 +83,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     whole = docs.sparkSession.sparkContext.broadcast(proven_whole(bpe._vocabulary(content.value, key)))
 
     def run(batches):
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Counter(bpe.Vocabulary(content.value), frozenset(whole.value))
-        counter = _LOADED[key]
+        counter = held("tokens", key, lambda: Counter(bpe.Vocabulary(content.value), frozenset(whole.value)))
         for batch in batches:
             found = [counter.count(t) if t else (0, 0, 0) for t in batch.column(2).to_pylist()]
             tokens, words, shortcut = (pa.array(c, pa.int64()) for c in ([*zip(*found)] or [()] * 3))

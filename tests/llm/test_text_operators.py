@@ -59,10 +59,9 @@ def test_bpe_ids_and_round_trip(documents):
 @settings(max_examples=300, deadline=None)
 @given(st.text() | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "'s", "Σ", "İ", "e\u0301", "\x85", "\x1c", "the", " ", "12", "漢", "ʼn", "zq"])).map("".join))
 def test_bpe_any_text(text):
-    groups, tokens = OWN.encode(text)
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
-    assert [int(i) for g in groups for i in g.split(" ")] == ids
-    assert " ".join(tokens) == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert [int(i) for g in OWN.encode(text) for i in g.split(" ")] == ids
+    assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_cuts_are_certain():
