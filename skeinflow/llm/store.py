@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +29,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once and read back: what follows starts from files that survive a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, parent)
+
+
+def settle_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()``, settled; the tables that were settled on the way to it go once it is written."""
+    _OPEN.append([])
+    try:
+        out = settle(make(), name)
+    finally:
+        made = _OPEN.pop()
+    for path in made[:-1]:
+        _delete(out.sparkSession, path)
+    return out

@@ -39,6 +39,12 @@ BASE_BYTES = 32768
 MOST_BYTES = 8192
 TOXIC_ROWS = 1500
 ORDINARY_ROWS = 6000
+#: Bounds of the model, all of them parameters: fragments that the toxic dictionary takes, commonest first; ordinary words that
+#: each half of the ordinary text is drawn from; and from how many samples, and times the dictionary's size, zstandard's
+#: training chooses among them - with fewer it has nothing to choose from, and all of them are the dictionary.
+FRAGMENTS = 600
+ORDINARY_WORDS = 60_000
+LEAST_SAMPLES, LEAST_TIMES = 200, 20
 
 
 @dataclass(frozen=True)
@@ -73,7 +79,7 @@ def distance(text: bytes | None, toxic, ordinary) -> float:
 def _trained(samples: list[bytes], size: int) -> bytes:
     """The content that zstandard's training picks from the samples; the samples themselves where they are few."""
     total = sum(map(len, samples))
-    if len(samples) > 200 and total > 20 * size:
+    if len(samples) > LEAST_SAMPLES and total > LEAST_TIMES * size:
         header = 300  # tables come first, content last
         return zstandard.train_dictionary(size + header, samples, k=32, d=6).as_bytes()[header:]
     return b"".join(samples)[-size:]
@@ -143,10 +149,10 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
         return Model(b"", b"", 0.0, float(np.log(1 / 3)))
     words = [w for t in ordinary for w in _words(t)]
     order = np.random.default_rng(1).permutation(len(words))
-    half = min(len(words) // 2, 60_000)
+    half = min(len(words) // 2, ORDINARY_WORDS)
     base = _trained([words[i] for i in order[:half]], BASE_BYTES)
     # the commonest stand last, where a match costs least
-    own = b"".join(f for f, _ in fragments.most_common(600)[::-1])[-MOST_BYTES:]
+    own = b"".join(f for f, _ in fragments.most_common(FRAGMENTS)[::-1])[-MOST_BYTES:]
     more = _trained([words[i] for i in order[half : 2 * half]], len(own))
     pair = _compressor(base + own), _compressor(base + more)
     x = np.array([distance(t, *pair) for k in (0, 1) for t in kept[k]])

@@ -2,12 +2,16 @@ import pathlib
 import re
 
 import corpus_pipeline
+import duckdb
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from skeinflow.llm import bpe, queries
+from skeinflow.llm import bpe, mixing, queries, store
 
 from .conftest import SF
+from .test_neighbours import groups_of, plain_fingerprint
+from .test_text_operators import brute_lines
 
 
 def test_stages_keep_columns(spark, documents):
@@ -30,6 +34,39 @@ def test_run_is_the_stages(spark, documents):
     assert got == {r["doc_id"]: r["n_tokens"] for r in bpe.bpe_digests(docs, queries.VOCABULARY).collect()}
 
 
+def test_run_leaves_one_table(spark):
+    """Of all that the stages write, the last stage's input alone is still there."""
+    folder = pathlib.Path(store.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, SF)
+    assert [p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before] == ["stage-mixing"]
+    assert out.count() > 0
+
+
+def test_stages_equal_brute_force(spark, documents):
+    """Each stage after the classifier against plain code or SQL, over what its predecessor kept."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    docs = store.settle(stages["quality"](spark, documents, SF), "brute")
+    deduped = store.settle(stages["line_dedup"](spark, docs, SF), "brute")
+    assert rows(deduped) == brute_lines([*rows(docs).items()])
+    assert all(r["n_chars"] == len(r["text"]) for r in deduped.collect())
+    chosen = store.settle(stages["simhash"](spark, deduped, SF), "brute")
+    texts = rows(deduped)
+    prints = {d: plain_fingerprint(t) for d, t in texts.items()}
+    group = groups_of(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    assert rows(chosen) == {d: t for d, t in texts.items() if group[d] == d}
+    mixed = store.settle(stages["mixing"](spark, chosen, SF), "brute")
+    db = duckdb.connect()
+    db.register("documents", chosen.toPandas())
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r[0] for r in db.execute(f"SELECT doc_id FROM ({mixing.ORACLE})").fetchall())
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= {*texts.items()}
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    got = sorted((r["doc_id"], r["ids"], r["n_tokens"]) for r in stages["bpe"](spark, mixed, SF).collect())
+    ids = [(r["doc_id"], library.encode(r["text"], add_special_tokens=False).ids) for r in mixed.collect()]
+    assert got == sorted((d, i, len(i)) for d, i in ids)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_odd_documents(spark, odd, empty, name):
     stage = dict(corpus_pipeline.STAGES)[name]
