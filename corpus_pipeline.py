@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over ``documents``. A stage's table goes when the next one is written, and so do those that
+    stages write for themselves; the last one remains, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = store.settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = store.settle_alone(lambda: stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            store.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
