@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
@@ -36,6 +38,18 @@ class Inputs:
     def sessions(self) -> DataFrame:
         return self.keep(XC.sessions(self.spark, self.sf_dir), "sessions")
 
+    @cached_property
+    def names(self) -> DataFrame:
+        return self.keep(names(self.flows), "names")
+
+    def prepare(self) -> Inputs:
+        """What is written once is written at the same time: three jobs that do not need each other."""
+        run = [inheritable_thread_target(self.spark)(partial(getattr, self, name)) for name in ("sessions", "model", "names")]
+        with ThreadPoolExecutor(len(run)) as pool:
+            for job in [pool.submit(r) for r in run]:
+                job.result()
+        return self
+
     @cached_property
     def model(self) -> DataFrame:
         return self.keep(L.train_trigram_lm(C.hosts(self.spark, self.sf_dir).select("domain")), "model")
@@ -59,7 +73,7 @@ def names(flows: DataFrame) -> DataFrame:
 
 
 def dga(inputs: Inputs) -> DataFrame:
-    rows = inputs.keep(names(inputs.flows), "names")
+    rows = inputs.names
     lexical = rows.select("domain", "ts_us", *[c.alias(n) for n, c in S.lexical_features(F.col("domain")).items()])
     return R.detect_dga(lexical.join(L.trigram_perplexity(rows, inputs.model, "domain"), "domain"), T)
 
@@ -85,7 +99,7 @@ def detections(inputs: Inputs, detectors=DETECTORS) -> DataFrame:
 
 
 def incidents(spark, sf_dir) -> DataFrame:
-    return I.dedup_incidents(detections(Inputs(spark, sf_dir, shared=True)), 2 * DAY_US)
+    return I.dedup_incidents(detections(Inputs(spark, sf_dir, shared=True).prepare()), 2 * DAY_US)
 
 
 def _shown(df: DataFrame) -> DataFrame:
