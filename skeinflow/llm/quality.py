@@ -457,17 +457,19 @@ def train(training: DataFrame, shards: int) -> tuple[Broadcast, Model] | None:
     spread = training.sparkSession.sparkContext.broadcast(found)
     packed = training.mapInArrow(lambda b: _trigram_batches(b, spread.value, shards), "shard int, size long, keys binary, n binary")
     rows = to_shards(packed, shards).mapInArrow(lambda b: _statistics(b, spread.value), "kind long, a long, b long, n long")
-    rows = rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+    # Arrow's columns as they come: a frame would hold them twice
+    found_rows = rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    kind, a, b, n = (found_rows.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
     language, languages = found.language, len(found.ids)
     times = {3: np.zeros((languages, 8)), 2: np.zeros((languages, 8))}
-    for kind in (2, 3):
-        part = rows[rows.kind == kind]
-        times[kind][part["a"], part["b"]] = part["n"]
-    hot = rows[rows.kind == 0].sort_values("a")
-    hot_bigrams, hot_counts = hot["a"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
+    for k in (2, 3):
+        times[k][a[kind == k], b[kind == k]] = n[kind == k]
+    hot = np.flatnonzero(kind == 0)
+    hot = hot[np.argsort(a[hot], kind="stable")]
+    hot_bigrams, hot_counts = a[hot], n[hot]
     np.add.at(times[2], (language[hot_bigrams >> BITS], np.minimum(hot_counts, 5)), 1)
     before = np.zeros(len(language), np.int64)
-    np.add.at(before, rows.loc[rows.kind == 1, "a"].to_numpy(np.int64), rows.loc[rows.kind == 1, "n"].to_numpy(np.int64))
+    np.add.at(before, a[kind == 1], n[kind == 1])
     np.add.at(before, hot_bigrams & MASK, 1)
     discount = {k: np.stack([discounts(*t[1:5]) for t in x]) for k, x in times.items()}
     single = np.zeros(len(language))
