@@ -21,6 +21,7 @@ import heapq
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +34,8 @@ CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 LONG_SYMBOLS = 48
 NEVER = 1 << 60
+#: Rows of a batch whose ids are in memory at a time, as four bytes each.
+PART_ROWS = 500
 
 #: Texts of these characters alone have the same words under any version of Unicode.
 PLAIN = regex.compile("[\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u4e00-\\u9fa5]*+").fullmatch
@@ -177,10 +180,11 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         vocabulary = _vocabulary(content.value, key)
-        for batch in batches:
-            found = [[int(i) for group in vocabulary.encode(t or "") for i in group.split(" ")] for t in batch.column("_bpe_text").to_pylist()]
+        for batch in (whole.slice(at, PART_ROWS) for whole in batches for at in range(0, whole.num_rows, PART_ROWS)):
+            found = [np.fromiter(map(int, " ".join(vocabulary.encode(t or "")).split()), np.int32) for t in batch.column("_bpe_text").to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
             kept_columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_bpe_text"]
-            yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(found, pa.list_(pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([*kept_columns, ids], names)
 
     return kept.withColumn("_bpe_text", F.col("text").cast("string")).mapInArrow(run, kept.withColumn("ids", F.lit(None).cast("array<int>")).schema)
 
