@@ -341,18 +341,34 @@ def _spell_batches(letters: dict[str, np.ndarray]):
     return run
 
 
+def most_frequent(counted: DataFrame, most: int) -> tuple[list[str], list[str], np.ndarray, int]:
+    """The languages, words and numbers of the ``most`` most frequent of (lang, word, n), ties by language and word, and the sum
+    of all numbers.
+
+    How many words stand n times comes to the driver first: one row for each n, so under sqrt(2 * the sum of all numbers) rows.
+    Words below the number that fills the vocabulary go where they are. The others are ordered by Spark's tasks and come as
+    Arrow columns: rows collected in order would be each task's ``most``, merged on the driver."""
+    times = counted.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
+    n, rows = (times.column(c).to_numpy() for c in ("n", "rows"))
+    total, order = int(n @ rows), np.argsort(-n)
+    filled = np.flatnonzero(np.cumsum(rows[order]) >= most)
+    least = int(n[order[filled[0]]]) if len(filled) else 1
+    known = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").limit(most).toArrow()
+    return known.column("lang").to_pylist(), known.column("word").to_pylist(), known.column("n").to_numpy(), total
+
+
 def lexicon(training: DataFrame, shards: int) -> Lexicon | None:
     """The tokens of training texts (lang, text)."""
     packed = training.mapInArrow(lambda b: _count_words(b, shards), "shard int, lang string, size long, words binary, n binary")
     counted = settle(to_shards(packed, shards).mapInArrow(_sum_words, "lang string, word string, n long"), "words")
-    known = counted.orderBy(F.desc("n"), "lang", "word").limit(VOCABULARY).toPandas()  # bounded by VOCABULARY
+    known_langs, known_words, times, total = most_frequent(counted, VOCABULARY)
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not languages:
         return None
     ids: dict[str, dict[str, int]] = {lang: {} for lang in languages}
-    for at, (lang, word) in enumerate(zip(known["lang"], known["word"])):
+    for at, (lang, word) in enumerate(zip(known_langs, known_words)):
         ids[lang][word] = at
-    after = len(known)
+    after = len(times)
     for lang in languages:
         for word in (BOUNDARY, OTHER, REPEAT):
             ids[lang][word] = after
@@ -362,10 +378,9 @@ def lexicon(training: DataFrame, shards: int) -> Lexicon | None:
     language = np.zeros(after, np.int32)
     for i, lang in enumerate(languages):
         language[list(ids[lang].values())] = i
-    total = counted.agg(F.sum("n")).first()[0]
-    hot = np.flatnonzero(known["n"].to_numpy() * HOT > total) if len(known) else np.empty(0, np.int64)
+    hot = np.flatnonzero(times * HOT > total)
     # a word outside the vocabulary is one text for the spelling, however often it stands
-    least = (int(known["n"].iloc[-1]), known["lang"].iloc[-1], known["word"].iloc[-1]) if len(known) == VOCABULARY else (1, "", "")
+    least = (int(times[-1]), known_langs[-1], known_words[-1]) if len(times) == VOCABULARY else (1, "", "")
     n, lang, word = F.col("n"), F.col("lang"), F.col("word")
     others = counted.where((n < least[0]) | (n == 1) | ((n == least[0]) & ((lang > least[1]) | ((lang == least[1]) & (word > least[2])))))
     chars = others.select("lang", F.explode(F.split("word", "")).alias("c")).where("c <> ''").groupBy("lang", "c").agg(F.count("*").alias("n"))

@@ -318,6 +318,42 @@ def test_quality_equals_brute_force(spark, monkeypatch, shards, hot):
             assert total == pytest.approx(1.0, rel=1e-9)
 
 
+def test_quality_vocabulary_in_tasks(spark, monkeypatch):
+    """The most frequent words, ties by language and word; the driver gets these alone, not each task's."""
+    monkeypatch.setattr(quality, "VOCABULARY", 2_000)
+    rng = np.random.default_rng(3)
+    texts = [(lang, " ".join(f"{w:x}" for w in [*rng.integers(0, 900, 5_000), *rng.integers(1 << 40, 1 << 41, 4_000)])) for lang in ("de", "en") for _ in range(8)]
+    asked = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    context.setJobGroup("vocabulary", "vocabulary")
+    try:
+        found = quality.lexicon(spark.createDataFrame(texts, "lang string, text string"), 16)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    count = Counter((lang, w) for lang, text in texts for w in text.split())
+    want = sorted(count, key=lambda k: (-count[k], *k))[:2_000]
+    assert {k: i for i, k in enumerate(want)} == {(lang, w): i for lang, ids in found.ids.items() for w, i in ids.items() if i < 2_000}
+    assert found.hot.tolist() == [i for i, k in enumerate(want) if count[k] * quality.HOT > sum(count.values())]
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("vocabulary") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    assert 0 < max(store.lastStageAttempt(s).resultSize() for s in stages) < 500_000
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 4, 7, 9])
+def test_quality_most_frequent(spark, most):
+    rows = [("b", "x", 5), ("a", "y", 2), ("a", "x", 2), ("b", "a", 2), ("c", "z", 1), ("a", "z", 1), ("a", "", 1)]
+    langs, found, n, total = quality.most_frequent(spark.createDataFrame(rows, "lang string, word string, n long"), most)
+    assert [*zip(langs, found, n.tolist())] == sorted(rows, key=lambda r: (-r[2], *r[:2]))[:most] and total == 14
+    langs, found, n, total = quality.most_frequent(spark.createDataFrame([], "lang string, word string, n long"), most)
+    assert (langs, found, len(n), total) == ([], [], 0, 0)
+
+
 def test_quality_odd(odd, empty, labels):
     out = quality.score_documents(odd, labels)
     assert out.columns[:2] == ["doc_id", "text"] and out.count() == odd.count()
