@@ -19,6 +19,8 @@ from ..plans.stages import settle
 #: Parts of names that identify rows; names with one of the summaries are features all the same.
 IDENTIFIERS = ("ip", "port", "flow_id", "seed", "timestamp", "mac", "ts_us")
 SUMMARIES = ("count", "entropy", "ratio", "distinct", "unique", "mean", "std", "cv")
+#: Labels are 0 and 1; without this a forest has as many classes as its largest label tells, one if no training row is a 1.
+TWO_CLASSES = {"ml_attr": {"type": "binary"}}
 
 
 def select_features(df: DataFrame, columns: list[str], strict: bool = False) -> list[str]:
@@ -80,7 +82,9 @@ def leakage_probe(df: DataFrame, features: list[str], scenario: str, limit: floa
 
 
 def train_detector(rows: DataFrame, features: list[str], label: str = "y_true", split: str = "split") -> tuple[PipelineModel, IsotonicRegressionModel]:
-    """A forest of 40 trees of depth 6 on the training rows, calibrated by isotonic regression on the validation rows."""
+    """A forest of 40 trees of depth 6 on the training rows, calibrated by isotonic regression on the validation rows. A split
+    may hold one label alone: trees that saw no 1 give it a probability of 0."""
+    rows = rows.withMetadata(label, TWO_CLASSES)
     forest = RandomForestClassifier(labelCol=label, featuresCol="_x", numTrees=40, maxDepth=6, seed=42)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), forest]).fit(rows.where(F.col(split) == "train"))
     val = model.transform(rows.where(F.col(split) == "val")).withColumn("_raw", vector_to_array("probability")[1])

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinflow.catalog import QUERIES
 from skeinflow.operators import evaluate as V, graph as G, models as M, periodicity as P
 from skeinflow.plans.stages import shared_dir
 
@@ -205,6 +206,21 @@ def test_detector_learns_and_is_calibrated(spark):
     assert found["auc"] == pytest.approx(auc) and auc > 0.8 and math.isfinite(found["ece"])
 
 
+@pytest.fixture(scope="module")
+def calm(spark, tmp_path_factory):
+    """A folder with the smallest events, none of them an error, so that no destination's window has the label."""
+    at = str(tmp_path_factory.mktemp("calm"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("event_type", F.regexp_replace("event_type", "^error$", "click")).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_a_detector_is_evaluated_without_positive_windows(spark, calm):
+    found = QUERIES["evaluate_detector"](spark, calm).first()
+    assert found["tn"] > 0 and (found["tp"], found["fp"], found["fn"]) == (0, 0, 0)
+    assert (found["accuracy"], found["f1"], found["f1_low"], found["f1_high"], found["auc"], found["brier"], found["ece"]) == (1, 0, 0, 0, 1, 0, 0)
+
+
 def test_identifiers_are_no_features(spark):
     rows = spark.createDataFrame([(1,) * 8], "src_ip int, dst_port int, window_ts_us int, flow_id int, n int, port_entropy int, distinct_ip_count int, tip int")
     assert M.select_features(rows, [*rows.columns, "absent"]) == ["n", "port_entropy", "distinct_ip_count", "tip"]
