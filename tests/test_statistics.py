@@ -221,6 +221,24 @@ def test_a_detector_is_evaluated_without_positive_windows(spark, calm):
     assert (found["accuracy"], found["f1"], found["f1_low"], found["f1_high"], found["auc"], found["brier"], found["ece"]) == (1, 0, 0, 0, 1, 0, 0)
 
 
+@pytest.mark.parametrize("known", [0, 1])
+def test_scores_of_a_detector_that_saw_one_label(spark, known):
+    """Trees that saw one label tell no rows apart, so the calibrated score is the validation's share of 1s, also in other splits."""
+    rows = training(spark, 600).withColumn("y_true", F.when(F.col("split") == "train", known).otherwise(F.col("y_true")))
+    share = rows.where("split = 'val'").agg(F.avg("y_true")).first()[0]
+    scored = M.score_detector(rows.where("split = 'test'"), *M.train_detector(rows, ["a", "b"]))
+    assert scored.columns == [*rows.columns, "y_prob", "y_pred"]
+    got = scored.toPandas()
+    assert len(got) == 120 and set(got.y_true) == {0, 1} and 0 < share < 0.5
+    assert got.y_prob.to_numpy() == pytest.approx(share) and (got.y_pred == 0).all()
+
+
+def test_scores_without_positive_windows(spark, calm):
+    scored = QUERIES["score_detector"](spark, calm).toPandas()
+    assert len(scored) > 0 and not scored.duplicated(["window_us", "dst_ip"]).any()
+    assert (scored.y_true == 0).all() and (scored.y_prob == 0).all() and (scored.y_pred == 0).all()
+
+
 def test_identifiers_are_no_features(spark):
     rows = spark.createDataFrame([(1,) * 8], "src_ip int, dst_port int, window_ts_us int, flow_id int, n int, port_entropy int, distinct_ip_count int, tip int")
     assert M.select_features(rows, [*rows.columns, "absent"]) == ["n", "port_entropy", "distinct_ip_count", "tip"]
