@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.catalog import QUERIES
+from skeinflow.catalog.models import FEATURES
 from skeinflow.operators import evaluate as V, graph as G, models as M, periodicity as P
 from skeinflow.plans.stages import shared_dir
 
@@ -221,6 +222,22 @@ def test_a_detector_is_evaluated_without_positive_windows(spark, calm):
     assert (found["accuracy"], found["f1"], found["f1_low"], found["f1_high"], found["auc"], found["brier"], found["ece"]) == (1, 0, 0, 0, 1, 0, 0)
 
 
+@pytest.mark.parametrize("known", [0, 1])
+def test_a_detector_trained_on_one_label(spark, known):
+    """Two classes whatever the rows hold, no feature that counts, and one step of calibration."""
+    rows = training(spark, 600).withColumn("y_true", F.lit(known))
+    model, calibration = M.train_detector(rows, ["a", "b"])
+    forest = model.stages[-1]
+    assert forest.numClasses == 2 and forest.getNumTrees == 40 and not forest.featureImportances.toArray().any()
+    assert {tuple(r["probability"]) for r in model.transform(rows).select("probability").collect()} == {(1.0 - known, float(known))}
+    assert list(calibration.boundaries) == [known] and list(calibration.predictions) == [known]
+
+
+def test_importances_without_positive_windows(spark, calm):
+    found = QUERIES["train_detector"](spark, calm).collect()
+    assert sorted(r["feature"] for r in found) == sorted(FEATURES) and {(r["importance"], r["calibration_steps"]) for r in found} == {(0.0, 1)}
+
+
 @pytest.mark.parametrize("known", [0, 1])
 def test_scores_of_a_detector_that_saw_one_label(spark, known):
     """Trees that saw one label tell no rows apart, so the calibrated score is the validation's share of 1s, also in other splits."""
